@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrion.llm import factorization, substring, winnowing
+from quarrion.llm import factorization, forest, substring, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_decontamination, op4_quality_classifier)}
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_decontamination, op4_quality_classifier, op8_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
