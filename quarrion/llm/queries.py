@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrion.llm import factorization, forest, maintext, piecewise, substring, winnowing
+from quarrion.llm import factorization, forest, licences, maintext, mixing, piecewise, substring, urllists, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeat_digests(_table(spark, sf_dir, "documents"))
 
@@ -27,14 +32,126 @@ def op5_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def _captures(pages: DataFrame) -> DataFrame:
+    """The pages as captures; the tables hold no fetch time, so the id gives one within January 2024."""
+    seconds = F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(2592000))
+    return pages.select("page_id", "url", F.timestamp_seconds(seconds).alias("fetched_at"))
+
+
+def _list_entries(pages: DataFrame, events: DataFrame) -> DataFrame:
+    """The events as dated list entries for the host, or at sign-ups for the parent domain, of the page whose id is the user's."""
+    hosts = pages.select(F.col("page_id").alias("user_id"), urllists.host_of(F.col("url")).alias("host"))
+    domain = F.when(F.col("event_type") == "signup", F.regexp_replace("host", r"^[^.]*\.", "")).otherwise(F.col("host"))
+    return events.join(hosts, "user_id").select(domain.alias("domain"), F.col("event_type").isin("error", "signup").alias("listed"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def op6_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = urllists.evaluate(_captures(pages), _list_entries(pages, _table(spark, sf_dir, "events")))
+    return found.select("page_id", "url", "host", "fetched_at", "blocked", "matched", "since", "until")
+
+
+def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_piecewise_fingerprints, op8_minhash_near_dedup, op10_html_main_text)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_derivatives, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_piecewise_fingerprints,
+        op6_temporal_url_lists, op7_source_mixture, op8_minhash_near_dedup, op9_licence_digests, op10_html_main_text,
+    )
+}
+
+
+def _quoted(text: str) -> str:
+    """A DuckDB string constant; line ends and other controls are spelt as chr()."""
+    parts = [f"'{p}'" for p in text.replace("'", "''").split("\n")]
+    return "(" + " || chr(10) || ".join(parts).replace("\r", "' || chr(13) || '") + ")"
+
+
+def _replaced(column: str, steps) -> str:
+    for pattern, by in steps:
+        column = f"regexp_replace({column}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    return column
+
+
+def _uuid_sql(text: str) -> str:
+    h = f"sha256({text})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+_OP1 = f"""
+WITH response AS (
+  SELECT {_uuid_sql("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")} AS record_id, url AS target_uri, coalesce(html, '') AS payload FROM pages
+), source AS (
+  SELECT record_id, target_uri, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload) AS source_headers,
+    'sha256:' || sha256(payload) AS source_digest, {_replaced("payload", warc.TEXT_STEPS)} AS text,
+    trim(regexp_replace(regexp_extract(payload, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '\\s+', ' ', 'g')) AS title,
+    len(regexp_extract_all(payload, '(?i)<a\\b[^>]*\\bhref=')) AS links
+  FROM response
+), both_kinds AS (
+  SELECT 'metadata' AS warc_type, 'application/warc-fields' AS content_type, 'software: {warc.SOFTWARE}' || chr(13) || chr(10) || 'source-digest: ' || source_digest || chr(13) || chr(10) || 'text-digest: sha256:' || sha256(text)
+    || chr(13) || chr(10) || 'title: ' || title || chr(13) || chr(10) || 'outlinks: ' || links || chr(13) || chr(10) || 'source-headers: ' || replace(source_headers, chr(13) || chr(10), chr(13) || chr(10) || ' ') || chr(13) || chr(10) AS block, * EXCLUDE (text, title, links) FROM source
+  UNION ALL
+  SELECT 'conversion', 'text/plain; charset=utf-8', text, * EXCLUDE (text, title, links) FROM source
+)
+SELECT {_uuid_sql("warc_type || '|' || record_id")} AS record_id, warc_type, record_id AS refers_to, target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type,
+  CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, source_headers, block
+FROM both_kinds
+"""
+
+_HOST_SQL = "regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', '')"
+
+_OP6 = f"""
+WITH hosted AS (
+  SELECT page_id, url, {_HOST_SQL} AS host, make_timestamp(CAST((1704067200 + (page_id * 7919) % 2592000) * 1000000 AS BIGINT)) AS fetched_at FROM pages
+), entry AS (
+  SELECT CASE WHEN event_type = 'signup' THEN regexp_replace(host, '^[^.]*\\.', '') ELSE host END AS domain, ts, max(event_type IN ('error', 'signup')) AS listed
+  FROM events JOIN hosted ON page_id = user_id GROUP BY ALL
+), valid AS (
+  SELECT domain, listed, ts AS since, lead(ts) OVER (PARTITION BY domain ORDER BY ts) AS until FROM entry
+), asked AS (
+  SELECT DISTINCT host, fetched_at, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))) AS domain FROM hosted
+), hit AS (
+  SELECT host, fetched_at, domain, since, until, row_number() OVER (PARTITION BY host, fetched_at ORDER BY length(domain) DESC) AS n
+  FROM asked JOIN valid USING (domain) WHERE listed AND since <= fetched_at AND (until IS NULL OR fetched_at < until)
+)
+SELECT page_id, url, host, fetched_at, domain IS NOT NULL AS blocked, domain AS matched, since, until
+FROM hosted LEFT JOIN (SELECT * FROM hit WHERE n = 1) USING (host, fetched_at)
+"""
+
+
+def _canonical_sql(text: str) -> str:
+    c = f"regexp_replace(lower(regexp_replace(coalesce({text}, ''), {_quoted(licences.COPYRIGHT_LINE)}, '', 'g')), {_quoted(r'[^\p{L}\p{N}' + chr(10) + ']+')}, ' ', 'g')"
+    for old, new in licences.SPELLINGS:
+        c = f"replace({c}, '{old}', '{new}')"
+    return f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+_KNOWN_SQL = ", ".join(f"('{i}', {_quoted(t)})" for i, t in licences.KNOWN)
+
+_OP9 = f"""
+WITH known AS (
+  SELECT sha256(array_to_string(lines, ' ')) AS digest, min(licence_id) AS licence_id
+  FROM (SELECT licence_id, {_canonical_sql("text")} AS lines FROM (VALUES {_KNOWN_SQL}) AS v(licence_id, text)) WHERE len(lines) > 0 GROUP BY 1
+), doc AS (SELECT doc_id, {_canonical_sql("text")} AS lines FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS line FROM doc),
+met AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence_id, ',' ORDER BY licence_id) AS ids FROM line JOIN known ON sha256(line) = digest GROUP BY 1)
+SELECT doc.doc_id, len(lines) AS n_lines, sha256(array_to_string(lines, ' ')) AS text_digest, licence_id, coalesce(n, 0) AS n_notices, coalesce(ids, '') AS notices
+FROM doc LEFT JOIN known ON sha256(array_to_string(lines, ' ')) = digest LEFT JOIN met ON met.doc_id = doc.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_derivatives": _OP1, "op6_temporal_url_lists": _OP6, "op9_licence_digests": _OP9}
