@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quarrion.plans import lists
+from quarrion.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "o01_page"
+MODULES = (lists,)
+
+__all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]

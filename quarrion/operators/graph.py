@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quarrion.storage import checkpointed
 
 
+#: Edges that one task works on; small graphs are not dealt out to more tasks than that takes.
+EDGES_A_TASK = 50_000
+
+
 def _state(edges: DataFrame) -> tuple:
     """A fingerprint of an edge set, to see that an iteration changed nothing."""
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(xxhash64(b, a) % 1000003 as long)"))).first())
@@ -23,14 +27,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     raw = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     now = checkpointed(raw.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(now)
+    tasks = max(1, -(-before[0] // EDGES_A_TASK))
+    now = now.coalesce(tasks)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b >= a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b >= a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
         down = large.where("a > b")
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = down.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
         small = down.join(lowest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = checkpointed(small.union(lowest.select("a", F.col("m").alias("b"))).union(large.where("a = b")).distinct())
+        now = checkpointed(small.coalesce(tasks).union(lowest.select("a", F.col("m").alias("b"))).union(large.where("a = b")).distinct().coalesce(tasks))
         after = _state(now)
         if after == before:
             break
