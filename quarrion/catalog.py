@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarrion.plans import lists
+from quarrion.plans import lists, summaries
 from quarrion.plans.registry import ORACLES, QUERIES
 
-FLAGSHIP = "o01_page"
-MODULES = (lists,)
+FLAGSHIP = "flagship_step_summary"
+MODULES = (lists, summaries)
 
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
