@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarrion.plans import lists, summaries
+from quarrion.plans import lists, scalars, summaries
 from quarrion.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "flagship_step_summary"
-MODULES = (lists, summaries)
+MODULES = (lists, scalars, summaries)
 
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
