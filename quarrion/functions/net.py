@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrion.functions.text import col, is_blank
 
@@ -31,12 +32,11 @@ def is_local_ipv4(c: Column | str) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-@F.pandas_udf("boolean")
 def _local_ipv6(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def local(text: str | None) -> bool:
         try:
             a = ipaddress.IPv6Address(text)
-        except (ValueError, ipaddress.AddressValueError):
+        except ValueError:
             return False
         return a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified
 
@@ -47,7 +47,10 @@ def _local_ipv6(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def is_local(c: Column | str, ipv6: bool = False) -> Column:
     """True for addresses inside a private network; ``ipv6`` also looks at IPv6 ones (in Arrow batches)."""
     own = is_local_ipv4(c)
-    return own | (F.coalesce(F.contains(col(c), F.lit(":")), F.lit(False)) & _local_ipv6(col(c))) if ipv6 else own
+    if not ipv6:
+        return own
+    check = F.pandas_udf(_local_ipv6, T.BooleanType())
+    return own | (F.coalesce(F.contains(col(c), F.lit(":")), F.lit(False)) & check(col(c)))
 
 
 def is_uplink(flag: Column | str, src: Column | str, dst: Column | str) -> Column:

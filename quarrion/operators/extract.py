@@ -120,12 +120,16 @@ def products(df: DataFrame, keys: Sequence[str], text: str, known: Sequence[Fing
     return df.select(*keys, F.explode(F.filter(F.array(*hits), lambda h: h["by"].isNotNull())).alias("h")).select(*keys, "h.product", "h.by")
 
 
+def _named(product: str, name: str):
+    return lambda v: F.struct(F.lit(product).alias("product"), F.lit(name).alias("name"), v.alias("value"))
+
+
 def credentials(df: DataFrame, keys: Sequence[str], text: str, known: Sequence[Fingerprint]) -> DataFrame:
     """(keys, product, name, value): every match of every named group."""
     parts = []
     for k in known:
         for pattern, name, n in k.groups():
-            parts.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(n)), lambda v, k=k, name=name: F.struct(F.lit(k.product).alias("product"), F.lit(name).alias("name"), v.alias("value"))))
+            parts.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(n)), _named(k.product, name)))
     return df.select(*keys, F.explode(F.flatten(F.array(*parts))).alias("c")).select(*keys, "c.*").where("value <> ''")
 
 

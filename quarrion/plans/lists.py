@@ -10,7 +10,8 @@ from quarrion.operators import relational as R
 from quarrion.operators.similarity import mode_share, without_contained
 from quarrion.plans.registry import Tables, query
 
-RECENT = [F.desc("o_orderdate"), F.desc("o_orderkey")]
+def _recent() -> list:
+    return [F.desc("o_orderdate"), F.desc("o_orderkey")]
 
 
 @query("SELECT * FROM orders WHERE o_orderpriority ILIKE '%high%' AND o_orderstatus = 'F' AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' AND o_custkey = o_custkey")
@@ -104,7 +105,7 @@ def j02_join_for_a_filter(t: Tables) -> DataFrame:
 @query("SELECT o_orderkey, o_orderdate, c_name, n_name FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 50) LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey ORDER BY o_orderdate DESC, o_orderkey DESC")
 def j03_deferred_page_join(t: Tables) -> DataFrame:
     lookups = [(t.customer, F.col("o_custkey") == F.col("c_custkey")), (t.nation, F.col("c_nationkey") == F.col("n_nationkey"))]
-    return R.page_with(t.orders, "o_orderkey", RECENT, lookups, number=2, size=50).select("o_orderkey", "o_orderdate", "c_name", "n_name")
+    return R.page_with(t.orders, "o_orderkey", _recent(), lookups, number=2, size=50).select("o_orderkey", "o_orderdate", "c_name", "n_name")
 
 
 @query("SELECT n_name, count(o_orderkey) AS n, max(o_orderdate) AS latest FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1")
@@ -158,12 +159,12 @@ def j22_nearest_version(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 40")
 def o01_page(t: Tables) -> DataFrame:
-    return R.page(t.orders, RECENT, number=3, size=20).select("o_orderkey", "o_orderdate", "o_totalprice")
+    return R.page(t.orders, _recent(), number=3, size=20).select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
 def o02_latest_of_one(t: Tables) -> DataFrame:
-    return R.page(t.orders.where("o_custkey = 7"), RECENT, size=1).select("o_orderkey", "o_orderdate")
+    return R.page(t.orders.where("o_custkey = 7"), _recent(), size=1).select("o_orderkey", "o_orderdate")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END, 1000000), o_orderdate, o_orderkey LIMIT 1")
@@ -174,7 +175,7 @@ def o03_next_by_priority(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
 def o04_clamped_page(t: Tables) -> DataFrame:
-    return R.page(t.orders, RECENT, number=-3, size=5000).select("o_orderkey")
+    return R.page(t.orders, _recent(), number=-3, size=5000).select("o_orderkey")
 
 
 @query("SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 10000")
@@ -222,7 +223,7 @@ def u08_first_non_empty(t: Tables) -> DataFrame:
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 def w02_newest_of_each(t: Tables) -> DataFrame:
-    return R.newest(t.orders, ["o_custkey"], RECENT).select("o_custkey", "o_orderkey", "o_orderdate")
+    return R.newest(t.orders, ["o_custkey"], _recent()).select("o_custkey", "o_orderkey", "o_orderdate")
 
 
 @query("SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderkey FROM orders")
