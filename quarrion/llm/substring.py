@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from quarrion.llm import words as W
 
 #: Words of a window, and words of the runs among which the minimiser is chosen.
-WINDOW, MINIMISER = 20, 5
+WINDOW, MINIMISER = 20, 3
+#: Bytes of text that a task packs together (of which only the first of equal windows travels), and level of compression.
+PACKED_BYTES, LEVEL = 2_000_000, 6
 #: Windows that a bucket sorts in one pass.
-PASS_WINDOWS = 2_000_000
+PASS_WINDOWS = 1_500_000
 #: Stands for a document without id; such rows count as one last document.
 NO_ID = int(np.iinfo(np.int64).max)
 
@@ -74,13 +76,14 @@ def _spans(doc: np.ndarray, pos: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 def _pack(doc: np.ndarray, pos: np.ndarray, count: np.ndarray, body: bytes) -> bytes:
     head = np.array([len(doc)], dtype="<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + doc.astype("<i8").tobytes() + pos.astype("<i4").tobytes() + count.astype("<i4").tobytes() + body)
+    steps = np.diff(doc, prepend=np.int64(0))  # documents come in order, so most steps are small
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + steps.astype("<i8").tobytes() + pos.astype("<i4").tobytes() + count.astype("<i4").tobytes() + body)
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     data = zstandard.ZstdDecompressor().decompress(block)
     n = int(np.frombuffer(data, dtype="<i8", count=1)[0])
-    doc = np.frombuffer(data, dtype="<i8", count=n, offset=8)
+    doc = np.cumsum(np.frombuffer(data, dtype="<i8", count=n, offset=8))
     pos = np.frombuffer(data, dtype="<i4", count=n, offset=8 + 8 * n)
     count = np.frombuffer(data, dtype="<i4", count=n, offset=8 + 12 * n)
     return doc, pos, count, data[8 + 16 * n :]
@@ -126,7 +129,7 @@ def _to_buckets(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int)
         doc_ids, texts = W.ids(batch.column(0), NO_ID), W.as_bytes(batch.column(1))
         order = np.argsort(doc_ids, kind="stable")
         doc_ids, texts = doc_ids[order], [texts[i] for i in order]
-        for part in W.groups(texts, 4 * W.GROUP_BYTES):
+        for part in W.groups(texts, PACKED_BYTES):
             rows = list(_packed_group(doc_ids[part], texts[part], k, m, buckets))
             for i in range(0, len(rows), 256):
                 bucket, local, windows, block = zip(*rows[i : i + 256], strict=True)
@@ -179,7 +182,7 @@ def repeated_spans(documents: DataFrame, *, k: int = WINDOW, m: int = MINIMISER,
     """
     spark = documents.sparkSession
     if buckets is None:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * documents.rdd.getNumPartitions())
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * documents.rdd.getNumPartitions())
     packed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         lambda batches: _to_buckets(batches, k, m, buckets), "bucket int, local boolean, windows int, block binary"
     )

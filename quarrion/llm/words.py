@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text is a group of its own.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1_000_000
 #: Multipliers of the two word polynomials and of the two window polynomials (odd, hence invertible).
 WORD_MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 RUN_MULT = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)

@@ -61,6 +61,29 @@ def pair_overlaps(members: DataFrame, least_shared: int = 1, most_df: int | None
     return shared.where(F.col("shared") >= least_shared).select("l", "r", "shared", "l_size", "r_size", (F.col("shared") / union).alias("jaccard"), (F.col("shared") / F.least("l_size", "r_size")).alias("containment"))
 
 
+def pairs_above(members: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
+    """(l, r, shared, l_size, r_size, jaccard) of all pairs at or above a threshold, found by prefix filtering.
+
+    Every node sorts its features from rare to frequent; two sets of that likeness share a feature
+    among the first ``size - ceil(threshold * size) + 1`` of each. Only those are joined, so frequent
+    features bring no candidates, and no pair is lost; candidates are then counted on full sets.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie above 0 and not above 1")
+    size = members.groupBy("node").agg(F.count("*").alias("size"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "feature"))
+    ordered = members.join(document_frequency(members), "feature").join(size, "node").withColumn("rank", rank)
+    head = ordered.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1)
+    a = head.select("feature", F.col("node").alias("l"), F.col("size").alias("l_size"))
+    b = head.select("feature", F.col("node").alias("r"), F.col("size").alias("r_size"))
+    alike = F.least("l_size", "r_size") >= F.greatest("l_size", "r_size") * F.lit(threshold) - 1e-9
+    pairs = a.join(b, "feature").where((F.col("l") < F.col("r")) & alike).select("l", "r", "l_size", "r_size").distinct()
+    left = pairs.join(members.select(F.col("node").alias("l"), "feature"), "l")
+    shared = left.join(members.select(F.col("node").alias("r"), "feature"), ["r", "feature"]).groupBy("l", "r", "l_size", "r_size").agg(F.count("*").alias("shared"))
+    rated = shared.withColumn("jaccard", F.col("shared") / (F.col("l_size") + F.col("r_size") - F.col("shared")))
+    return rated.where(F.col("jaccard") > threshold if strict else F.col("jaccard") >= threshold).select("l", "r", "shared", "l_size", "r_size", "jaccard")
+
+
 def weighted_cosine(members: DataFrame, weights: DataFrame) -> DataFrame:
     """(l, r, shared, cosine) with the square of a feature's weight as its share of the product."""
     w = members.join(weights.select("feature", (F.col("idf") * F.col("idf")).alias("w2")), "feature")
@@ -79,12 +102,12 @@ def families(links: DataFrame, least: int = 2) -> DataFrame:
     return found.join(size, "family").select("node", "family", "size")
 
 
-def staged_families(stages: list[tuple[str, DataFrame]], link: Column, least: int = 3) -> DataFrame:
+def staged_families(stages: list[tuple[str, DataFrame]], threshold: float, least: int = 3) -> DataFrame:
     """(node, stage, family, size): each stage clusters the nodes that earlier stages left over."""
     out: DataFrame | None = None
     for name, members in stages:
         rest = members if out is None else members.join(out.select("node"), "node", "left_anti")
-        found = families(pair_overlaps(rest).where(link), least).withColumn("stage", F.lit(name))
+        found = families(pairs_above(rest, threshold), least).withColumn("stage", F.lit(name))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -80,10 +80,10 @@ def j15_weighted_products(t: Tables) -> DataFrame:
     return S.weighted_cosine(m, S.idf(m)).withColumn("cosine", F.round("cosine", 8))
 
 
-@query(f"SELECT * FROM ({_COS}) WHERE cosine >= 0.35 AND shared >= 3")
+@query(f"SELECT * FROM ({_COS}) WHERE cosine >= 0.27 AND shared >= 3")
 def f33_cosine_links(t: Tables) -> DataFrame:
     m = _members(t)
-    return S.weighted_cosine(m, S.idf(m)).withColumn("cosine", F.round("cosine", 8)).where("cosine >= 0.35 and shared >= 3")
+    return S.weighted_cosine(m, S.idf(m)).withColumn("cosine", F.round("cosine", 8)).where("cosine >= 0.27 and shared >= 3")
 
 
 @query("SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS sim FROM (SELECT doc_id, list_distinct(list_filter(string_split(left(regexp_replace(text, '\\s', ' ', 'g'), 200), ' '), lambda x: x <> '')) AS a, ['the', 'de', 'of'] AS b FROM documents)")
@@ -93,10 +93,9 @@ def f32_jaccard(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", jaccard(words, F.array(*map(F.lit, ("the", "de", "of"))), 1.0).alias("sim"))
 
 
-@query(f"SELECT l, r FROM ({_PAIRS}) WHERE jaccard > 0.2")
+@query(f"SELECT l, r FROM ({_PAIRS}) WHERE jaccard > 0.16")
 def f34_thresholded_pairs(t: Tables) -> DataFrame:
-    """Pairs above a threshold: sizes that cannot reach it are dropped before the counts are taken."""
-    return _rounded(S.pair_overlaps(_members(t), most_ratio=1 / 0.2)).where("jaccard > 0.2").select("l", "r")
+    return S.pairs_above(_members(t), 0.16, strict=True).select("l", "r")
 
 
 @query(f"SELECT m.node, m.feature, d.df FROM ({_MEMBERS}) m JOIN ({_DF}) d USING (feature) WHERE df BETWEEN 2 AND 14")
@@ -122,27 +121,27 @@ def g10_strict_groups(t: Tables) -> DataFrame:
 
 @query()
 def g18_linkage_families(t: Tables) -> DataFrame:
-    links = S.pair_overlaps(_members(t)).where("jaccard > 0.15")
+    links = S.pairs_above(_members(t), 0.15)
     clusters = S.linkage_clusters(links, S.families(links), cut=0.85 - 1e-12)
     return S.medoids(clusters, least=2)
 
 
 @query()
 def g19_similarity_families(t: Tables) -> DataFrame:
-    return S.families(S.pair_overlaps(_members(t)).where("jaccard > 0.22"))
+    return S.families(S.pairs_above(_members(t), 0.17))
 
 
 @query()
 def g17_staged_families(t: Tables) -> DataFrame:
     m = _members(t)
     more = t.lineitem.where("l_quantity < 3").select(F.col("l_suppkey").alias("node"), (F.col("l_partkey") % 300).cast("string").alias("feature")).distinct()
-    return S.staged_families([("first", m), ("second", more)], F.col("jaccard") > 0.22)
+    return S.staged_families([("first", m), ("second", more)], 0.17)
 
 
 @query()
 def g15_ordered_fingerprints(t: Tables) -> DataFrame:
     m = _members(t)
-    found = S.families(S.pair_overlaps(m).where("jaccard > 0.22"))
+    found = S.families(S.pairs_above(m, 0.17))
     return S.fingerprints(found.select("node", "family"), m)
 
 
