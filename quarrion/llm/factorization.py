@@ -6,7 +6,8 @@ of features, summed in linear time:
 
     sum over i<j of <v_i, v_j> x_i x_j  =  1/2 sum over f of ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
 
-Training reads a bounded sample of labelled rows (``max_rows``); scoring reads every text whole.
+Training reads a bounded sample of labelled rows (``max_rows``), in one task; the driver gets the
+weights alone. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -94,6 +95,12 @@ class Machine:
     centre: np.ndarray
     spread: np.ndarray
 
+    @classmethod
+    def of(cls, row) -> Machine:
+        """A machine of a row of weights, as _fitted gives it."""
+        w, v, centre, spread = (np.frombuffer(row[c], dtype=np.float32) for c in ("w", "v", "centre", "spread"))
+        return cls(row["w0"], w, v.reshape(len(w), -1), centre, spread)
+
     def scale(self, x: np.ndarray) -> np.ndarray:
         b = x.shape[1] - len(self.centre)
         x[:, b:] = np.clip((x[:, b:] - self.centre) / self.spread, -4, 4) * 0.5
@@ -153,6 +160,17 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
 
 
+_MACHINE = "w0 double, w binary, v binary, centre binary, spread binary"
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], buckets: int, rank: int) -> Iterator[pa.RecordBatch]:
+    """The weights learnt from the rows (label, x) of a bounded sample, which one task holds (a limit made it one partition)."""
+    data = sorted(r for batch in batches for r in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True))
+    x = np.frombuffer(b"".join(r for r, _ in data), dtype=np.float32).reshape(len(data), buckets + len(STRUCTURE))
+    m = fit(x, np.array([y for _, y in data], dtype=np.float64), rank=rank)
+    yield pa.RecordBatch.from_arrays([pa.array([m.w0])] + [pa.array([a.astype(np.float32).tobytes()], pa.binary()) for a in (m.w, m.v, m.centre, m.spread)], names=["w0", "w", "v", "centre", "spread"])
+
+
 def _text_columns(documents: DataFrame) -> list:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return [text.alias("text"), F.length(text).cast("double").alias("n")]
@@ -179,10 +197,9 @@ def train(documents: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS,
     )
     own = documents.select(F.col("doc_id").cast("long").alias("_id"), *_text_columns(documents))
     rows = own.join(F.broadcast(wanted), "_id")  # at most max_rows rows
-    found = rows.select("label", "text", "n").mapInArrow(lambda b: _feature_rows(b, buckets), "label double, x binary").limit(4 * max_rows).toArrow()
-    data = sorted(zip(found.column("x").to_pylist(), found.column("label").to_pylist(), strict=True))
-    x = np.frombuffer(b"".join(r for r, _ in data), dtype=np.float32).reshape(len(data), buckets + len(STRUCTURE))
-    return fit(x, np.array([y for _, y in data], dtype=np.float64), rank=rank)
+    sample = rows.select("label", "text", "n").mapInArrow(lambda b: _feature_rows(b, buckets), "label double, x binary").limit(4 * max_rows)
+    found = sample.mapInArrow(lambda b: _fitted(b, buckets, rank), _MACHINE).collect()  # one row of weights
+    return Machine.of(found[0]) if found else fit(np.zeros((0, buckets + len(STRUCTURE)), np.float32), np.zeros(0), rank=rank)
 
 
 def _scores(texts: list[bytes], n: np.ndarray, machine: Machine, buckets: int) -> np.ndarray:
