@@ -11,7 +11,8 @@ Rates are rounded into whole copies: all documents of a source get the whole par
 to documents in the order of a hash of theirs, as many as the missing words allow. Prefix sums are
 taken in two levels (hash buckets of a source, then rows of a bucket), so no source has to be sorted
 in one task. What the first document beyond the need leaves over is spent in further passes on
-documents that still fit, the larger powers of two first.
+documents that still fit, the larger powers of two first. At the end one unit that goes beyond the
+need is taken where that is nearer to the target, so a source misses it by half a unit at most.
 """
 
 from __future__ import annotations
@@ -85,6 +86,20 @@ def _spend(rows: DataFrame, need: DataFrame, most: int, large_first: bool) -> Da
     return summed.select("key", "hash", "doc_id", "source", "size", "n", "words", "base", "target", "source_size", taken.alias("extra"))
 
 
+def _missing(rows: DataFrame):
+    """(key, need): the words that a source still lacks, one row a source."""
+    got = rows.groupBy("key").agg(F.sum(F.col("words") * (F.col("base") + F.col("extra"))).alias("got"), F.first("target").alias("target"))
+    return got.select("key", (F.col("target") - F.col("got")).alias("need"))
+
+
+def _nearest(rows: DataFrame, most: int) -> DataFrame:
+    """rows with one more extra copy a source, of the least unit beyond the missing words, where that leads nearer to the target."""
+    may = (F.col("base") + F.col("extra") < most) & (F.col("words") > F.col("need")) & (F.col("words") < 2 * F.col("need"))
+    least = rows.join(_missing(rows), "key").where(may).groupBy("key").agg(F.min(F.struct("words", "hash", "doc_id", "size")).alias("pick"))
+    picked = F.struct("words", "hash", "doc_id", "size").eqNullSafe(F.col("pick"))
+    return rows.join(least, "key", "left").withColumn("extra", F.col("extra") + F.when(picked, 1).otherwise(0)).drop("pick")
+
+
 def copies(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(doc_id, source, size, n, source_size, target, copies) of the units of documents.
 
@@ -98,8 +113,8 @@ def copies(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share:
     keyed = all_units.join(rated.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = checkpointed(keyed.select("key", F.xxhash64("doc_id", "size").alias("hash"), "doc_id", "source", "size", "n", (F.col("size") * F.col("n")).alias("words"), "base", "target", "source_size", F.lit(0).alias("extra")))
     for turn in range(PASSES):
-        got = rows.groupBy("key").agg(F.sum(F.col("words") * (F.col("base") + F.col("extra"))).alias("got"), F.first("target").alias("target"))
-        rows = checkpointed(_spend(rows, got.select("key", (F.col("target") + 0.5 - F.col("got")).alias("need")), most, large_first=turn > 0))
+        rows = checkpointed(_spend(rows, _missing(rows).withColumn("need", F.col("need") + 0.5), most, large_first=turn > 0))
+    rows = _nearest(rows, most)
     return rows.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("base") + F.col("extra")).alias("copies"))
 
 
