@@ -26,6 +26,8 @@ from quarrion.storage import checkpointed
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Newton steps, hash buckets of a source, and passes of rounding.
 STEPS, BUCKETS, PASSES = 60, 1024, 6
+#: Sources whose table may be broadcast (some 100 bytes each), and salts of a source beyond that.
+FEW_SOURCES, SALTS = 20_000, 64
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,7 +69,19 @@ def tilt(target, size):
     return F.when(ratio > 0, step)
 
 
-def _spend(rows: DataFrame, need: DataFrame, most: int, large_first: bool) -> DataFrame:
+def _with_source(rows: DataFrame, sources: DataFrame, spread: str, few: bool, how: str = "inner") -> DataFrame:
+    """rows joined to a table of one row a source by key.
+
+    The table is broadcast if it has few rows; otherwise it is repeated for every salt, so a source with
+    a large part of all rows is dealt over SALTS tasks. ``spread`` is the column that gives the salt.
+    """
+    if few:
+        return rows.join(F.broadcast(sources), "key", how)
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], how).drop("salt")
+
+
+def _spend(rows: DataFrame, need: DataFrame, most: int, large_first: bool, few: bool) -> DataFrame:
     """rows (key, hash, doc_id, size, words, extra) with one more extra copy where the missing words (key, need) reach.
 
     Rows without words, beyond the need or with most copies are passed over.
@@ -75,7 +89,7 @@ def _spend(rows: DataFrame, need: DataFrame, most: int, large_first: bool) -> Da
     bucket = F.pmod("hash", F.lit(BUCKETS))
     if large_first:
         bucket = bucket - F.floor(F.log2(F.greatest("words", F.lit(1)))) * BUCKETS
-    open_rows = rows.join(need, "key").withColumn("can", (F.col("base") + F.col("extra") < most) & (F.col("words") > 0) & (F.col("words") <= F.col("need"))).withColumn("bucket", bucket)
+    open_rows = _with_source(rows, need, "hash", few).withColumn("can", (F.col("base") + F.col("extra") < most) & (F.col("words") > 0) & (F.col("words") <= F.col("need"))).withColumn("bucket", bucket)
     words = F.when(F.col("can"), F.col("words")).otherwise(0)
     sums = open_rows.groupBy("key", "bucket").agg(F.sum(words).alias("sum"))
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows a source, times the powers of two of sizes at most
@@ -92,12 +106,12 @@ def _missing(rows: DataFrame):
     return got.select("key", (F.col("target") - F.col("got")).alias("need"))
 
 
-def _nearest(rows: DataFrame, most: int) -> DataFrame:
+def _nearest(rows: DataFrame, most: int, few: bool) -> DataFrame:
     """rows with one more extra copy a source, of the least unit beyond the missing words, where that leads nearer to the target."""
     may = (F.col("base") + F.col("extra") < most) & (F.col("words") > F.col("need")) & (F.col("words") < 2 * F.col("need"))
-    least = rows.join(_missing(rows), "key").where(may).groupBy("key").agg(F.min(F.struct("words", "hash", "doc_id", "size")).alias("pick"))
+    least = _with_source(rows, _missing(rows), "hash", few).where(may).groupBy("key").agg(F.min(F.struct("words", "hash", "doc_id", "size")).alias("pick"))
     picked = F.struct("words", "hash", "doc_id", "size").eqNullSafe(F.col("pick"))
-    return rows.join(least, "key", "left").withColumn("extra", F.col("extra") + F.when(picked, 1).otherwise(0)).drop("pick")
+    return _with_source(rows, least, "hash", few, "left").withColumn("extra", F.col("extra") + F.when(picked, 1).otherwise(0)).drop("pick")
 
 
 def copies(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -110,11 +124,14 @@ def copies(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share:
     sizes = all_units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     rated = targets(sizes, weights=weights, share=share, most=most).withColumn("base", F.coalesce(F.floor(F.exp(tilt(F.col("target"), F.col("source_size"))) + 1e-9), F.lit(0)).cast("int"))
     rated = checkpointed(rated.withColumn("key", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
-    keyed = all_units.join(rated.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    few = rated.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source is a source too
+    by_name = rated.withColumnRenamed("key", "number").withColumn("key", named).drop("source")
+    keyed = _with_source(all_units.withColumn("key", named), by_name, "doc_id", few).drop("key").withColumnRenamed("number", "key")
     rows = checkpointed(keyed.select("key", F.xxhash64("doc_id", "size").alias("hash"), "doc_id", "source", "size", "n", (F.col("size") * F.col("n")).alias("words"), "base", "target", "source_size", F.lit(0).alias("extra")))
     for turn in range(PASSES):
-        rows = checkpointed(_spend(rows, _missing(rows).withColumn("need", F.col("need") + 0.5), most, large_first=turn > 0))
-    rows = _nearest(rows, most)
+        rows = checkpointed(_spend(rows, _missing(rows).withColumn("need", F.col("need") + 0.5), most, large_first=turn > 0, few=few))
+    rows = _nearest(rows, most, few)
     return rows.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("base") + F.col("extra")).alias("copies"))
 
 

@@ -76,3 +76,11 @@ def test_newton_finds_the_tilt(spark):
     rows = spark.createDataFrame([(2.0, 1.0), (1e-9, 1.0), (0.3, 1.0), (7.5, 5.0), (0.0, 3.0)], "t double, s double")
     got = [r[0] for r in rows.select(F.exp(mixing.tilt(F.col("t"), F.col("s")))).collect()]
     assert got[:4] == pytest.approx([2.0, 1e-9, 0.3, 1.5]) and got[4] is None
+
+
+def test_many_sources_go_the_salted_way_with_the_same_result(spark, monkeypatch):
+    docs = [(i, " ".join(["w"] * (1 + i * i % 37)), None if i % 11 == 0 else f"s{i % 3}") for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    few = sorted(map(tuple, mixing.mixture(df).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mixture(df).collect())) == few
