@@ -15,27 +15,26 @@ CRLF = "\r\n"
 #: Software field of the metadata records.
 SOFTWARE = "quarrion warc derivatives"
 
-#: Regular expressions (Java and RE2 alike) and replacements that turn HTML into text lines, in this order.
-TEXT_STEPS = (
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (r"(?is)<title\b[^>]*>.*?</title\s*>", ""),
-    (r"[\s]+", " "),
+#: Regular expressions (Java and RE2 alike) and replacements that turn HTML into text lines: markup, then character references, then blanks, in this order.
+MARKUP = (
+    (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<title\b[^>]*>.*?</title\s*>", ""),
+    (r"[\s]{2,}|[\t\n\r\f]", " "),
     (r"(?i)</?(p|div|h[1-6]|li|ul|ol|tr|table|td|th|br|hr|article|section|main|nav|header|footer|aside|blockquote|pre|form|dl|dt|dd|body|html|head)\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
-    (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;", "'"), (r"&copy;", "©"), (r"&middot;", "·"), (r"&amp;", "&"),
-    (r" *\n[ \n]*", "\n"),
-    (r"  +", " "),
-    (r"^[ \n]+", ""),
-    (r"[ \n]+$", ""),
-)
+)
+REFERENCES = ((r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;", "'"), (r"&copy;", "©"), (r"&middot;", "·"), (r"&amp;", "&"))
+BLANKS = ((r" *\n[ \n]*", "\n"), (r"  +", " "), (r"^[ \n]+|[ \n]+$", ""))
+TEXT_STEPS = (*MARKUP, *REFERENCES, *BLANKS)
 
 
 def plain_text(html):
     """Text lines of an HTML column; a null column gives the empty text."""
     text = F.coalesce(html, F.lit(""))
-    for pattern, by in TEXT_STEPS:
+    for pattern, by in MARKUP:
+        text = F.regexp_replace(text, pattern, by)
+    for name, by in REFERENCES:  # plain strings, so no regular expression is run
+        text = F.replace(text, F.lit(name), F.lit(by))
+    for pattern, by in BLANKS:
         text = F.regexp_replace(text, pattern, by)
     return text
 
