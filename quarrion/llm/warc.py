@@ -17,14 +17,16 @@ SOFTWARE = "quarrion warc derivatives"
 
 #: Regular expressions (Java and RE2 alike) and replacements that turn HTML into text lines: markup, then character references, then blanks, in this order.
 MARKUP = (
-    (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<title\b[^>]*>.*?</title\s*>", ""),
+    (r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>|title\b[^>]*>.*?</title\s*>)", ""),
     (r"[\s]{2,}|[\t\n\r\f]", " "),
     (r"(?i)</?(p|div|h[1-6]|li|ul|ol|tr|table|td|th|br|hr|article|section|main|nav|header|footer|aside|blockquote|pre|form|dl|dt|dd|body|html|head)\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
 )
 REFERENCES = ((r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;", "'"), (r"&copy;", "©"), (r"&middot;", "·"), (r"&amp;", "&"))
-BLANKS = ((r" *\n[ \n]*", "\n"), (r"  +", " "), (r"^[ \n]+|[ \n]+$", ""))
-TEXT_STEPS = (*MARKUP, *REFERENCES, *BLANKS)
+BLANKS = ((r"\n[ \n]*", "\n"), (r"  +", " "))
+#: At last no line ends with a blank, and the text begins and ends with neither a blank nor a line end.
+LINE_END, ENDS = (" \n", "\n"), (r"^[ \n]+|[ \n]+$", "")
+TEXT_STEPS = (*MARKUP, *REFERENCES, *BLANKS, LINE_END, ENDS)
 
 
 def plain_text(html):
@@ -36,7 +38,7 @@ def plain_text(html):
         text = F.replace(text, F.lit(name), F.lit(by))
     for pattern, by in BLANKS:
         text = F.regexp_replace(text, pattern, by)
-    return text
+    return F.trim(F.replace(text, *map(F.lit, LINE_END)), F.lit(" \n"))
 
 
 def sha256_label(text):
