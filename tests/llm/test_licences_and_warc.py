@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import textwrap
 from pathlib import Path
 
 from quarrion.llm import licences, warc
@@ -24,6 +25,32 @@ def test_whole_texts_and_notices(spark):
     assert {r.licence_id for r in licences.scan(df, none).collect()} == {None}
 
 
+def test_usual_licences_in_other_layouts_and_notices_in_other_words(spark):
+    def filled(name):
+        """Every paragraph on lines of another width, below a holder's line."""
+        text = (licences.TEXTS / f"{name}.txt").read_text()
+        return "Copyright (c) 2021 A. Person\n\n" + "\n\n".join(textwrap.fill(" ".join(p.split()), 61) for p in text.split("\n\n"))
+
+    whole = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0"]
+    rows = [(i, filled(i)) for i in whole]
+    rows += [(i, (licences.TEXTS / f"{i}.txt").read_text()) for i in ("GPL-2.0", "LGPL-2.1", "GPL-3.0", "LGPL-3.0", "MPL-1.1", "CC0-1.0")]
+    terms = (licences.TEXTS / "Apache-2.0.txt").read_text()
+    rows += [("Apache-2.0", terms[: terms.index("   APPENDIX")].replace("http:", "https:")), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + filled("BSD-3-Clause").replace("1. ", "- ").replace("2. ", "- ").replace("3. ", "- "))]
+    gpl = (licences.TEXTS / "GPL-2.0.txt").read_text()
+    rows += [("GPL-2.0", gpl.replace("\n 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA\n", "\n", 1)), ("GPL-2.0", textwrap.indent(gpl[: gpl.index("            How to Apply")], " * "))]
+    lines = [
+        ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'), ("MIT", "This project is licensed under the MIT License"),
+        ("GPL-3.0-or-later", "This program is distributed under the terms of the GNU General Public License, version 3 or later."), ("BSD-3-Clause", "License: BSD-3-Clause"), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ]
+    rows += [(None, f"Words before.\n{t}\nAnd words after.") for _, t in lines] + [(None, terms + "\nand more"), (None, "An apache has no licence.")]
+    known = licences.known_licences(spark)
+    out = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string"), known).collect()}
+    assert [out[k].licence_id for k in range(len(rows))] == [i for i, _ in rows]
+    first = len(rows) - len(lines) - 2
+    assert [out[first + k].notices for k in range(len(lines))] == [i for i, _ in lines]
+    assert out[len(rows) - 1].n_notices == 0
+
+
 def test_records_refer_to_their_response_and_survive_a_round_trip(spark, tmp_path):
     rows = [(1, "http://h/1", "<title>T &amp; t</title><script>x</script><p>One  <b>two</b><p>a &lt; b&amp;lt;<!-- c -->"), (2, None, None), (None, "http://h/3", ""), (1, "http://h/1", "<p>é")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, block string")
