@@ -2,12 +2,14 @@
 
 import random
 import zipfile
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrion import catalog
 from quarrion.functions import net as N
 from quarrion.functions import text as X
 from quarrion.operators import extract as E
@@ -48,6 +50,18 @@ def test_two_core(spark):
     assert G.k_core(df, 3).count() == 0
 
 
+def test_two_core_of_all_orders(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    edges = {(r.o_custkey, r.o_custkey + r.o_orderkey % 11) for r in rows if r.o_orderkey % 11}
+    while True:
+        degree = Counter(x for e in edges for x in e)
+        left = {e for e in edges if min(degree[x] for x in e) >= 2}
+        if left == edges:
+            break
+        edges = left
+    assert edges and {tuple(r) for r in catalog.QUERIES["g09_two_core"](spark, sf_dir).select("a", "b").collect()} == edges
+
+
 def sets(seed=1):
     rng = random.Random(seed)
     rows = {i: {str(rng.randint(0, 30)) for _ in range(rng.randint(1, 12))} for i in range(40)}
