@@ -5,11 +5,16 @@ from quarrion.operators import intervals as I
 from quarrion.sources import readers, sinks
 from quarrion.streaming import jobs
 
+#: Seconds after which a stream that has not ended fails its test.
+LIMIT = 120
+
 
 def run(spark, stream, name, tmp_path, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(LIMIT), f"{name} does not end"
+    finally:
+        q.stop()
     return spark.table(name)
 
 
@@ -36,20 +41,48 @@ def test_stream_forms_agree_with_batch(spark, sf_dir, tmp_path):
     assert hours.agg(F.sum("n")).first()[0] == events.count()
 
 
+def test_bursts_over_several_batches(spark, tmp_path):
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, "a", 0.0), (2, "a", 0.05), (3, "a", 0.14), (4, "b", 0.2), (5, "a", 0.3), (6, "a", 90.0), (7, "b", 90.05), (8, "a", 90.06)]
+    path = str(tmp_path / "in")
+    for lo in range(0, len(rows), 2):
+        part = [(i, k, day + dt.timedelta(seconds=s)) for i, k, s in rows[lo : lo + 2]]
+        spark.createDataFrame(part, "id int, k string, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.files(spark, path, "id int, k string, ts timestamp", 1)
+    got = run(spark, jobs.without_bursts(stream, ["k"], "ts", 0.1, "10 seconds"), "burst_batches", tmp_path)
+    assert sorted(r.id for r in got.collect()) == [1, 4, 5, 6, 7]
+
+
 def test_requests_meet_their_responses(spark, sf_dir, tmp_path):
-    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role")
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", F.timestamp_seconds(F.lit(1704067200) + F.col("turn")).alias("at"))
     stream = jobs.files(spark, folder(talk, tmp_path), talk.schema)
-    got = {(r.conv_id, r.request): r.response for r in run(spark, jobs.request_pairs(stream, "conv_id", "turn", "role", "user", "assistant"), "pairs", tmp_path).collect()}
+    got = {(r.conv_id, r.request): r.response for r in run(spark, jobs.request_pairs(stream, "conv_id", "turn", "role", "user", "assistant", "at"), "pairs", tmp_path).collect()}
     want = I.request_pairs(talk, "conv_id", "turn", "role", "user", "assistant", []).collect()
     assert got == {(r.conv_id, r.request_turn): r.response_turn for r in want if (r.conv_id, r.request_turn) in got}
     assert {(r.conv_id, r.request_turn) for r in want if r.complete} <= set(got)
 
 
+def test_requests_over_several_batches(spark, tmp_path):
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, 1, "q", 0), (2, 1, "q", 0), (1, 2, "a", 5), (1, 3, "x", 6), (1, 4, "q", 9), (1, 5, "q", 10), (3, 1, "a", 5000), (3, 2, "q", 5001), (3, 3, "a", 9000), (3, 4, "a", 9001)]
+    path = str(tmp_path / "in")
+    for lo in range(0, len(rows), 2):
+        part = [(c, t, k, day + dt.timedelta(seconds=s)) for c, t, k, s in rows[lo : lo + 2]]
+        spark.createDataFrame(part, "c long, t long, k string, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.files(spark, path, "c long, t long, k string, ts timestamp", 1)
+    got = run(spark, jobs.request_pairs(stream, "c", "t", "k", "q", "a", "ts", "1 second", 4000), "pair_batches", tmp_path)
+    assert sorted((r.c, r.request, r.response, r.complete) for r in got.collect()) == [(1, 1, 2, True), (1, 4, None, False), (1, 5, None, False), (2, 1, None, False), (3, 2, 3, True)]
+
+
 def test_micro_batches_have_one_writer(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     stream = jobs.files(spark, folder(df, tmp_path), df.schema)
     seen = []
-    jobs.into_table(stream, lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "check")).awaitTermination()
+    assert jobs.into_table(stream, lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "check")).awaitTermination(LIMIT)
     assert seen == [(0, 2)]
 
 
