@@ -50,6 +50,29 @@ def test_two_core(spark):
     assert G.k_core(df, 3).count() == 0
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(G, "EDGES_A_TASK", 25)
+    monkeypatch.setattr(G, "HUB", 3)
+    rng = random.Random(5)
+    edges = [(7, i) for i in range(20, 60)] + [(i, rng.randint(0, 80)) for i in range(30)] + [(i, 90) for i in range(70, 80)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in G.components(df).collect()} == brute_components(edges)
+
+
+def test_components_of_a_path_that_does_not_settle_fail(spark, monkeypatch):
+    monkeypatch.setattr(G, "EDGES_A_TASK", 10)
+    df = spark.createDataFrame([(i * 37 % 200, i * 37 % 200 + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        G.components(df, max_rounds=0)
+
+
+def test_two_core_of_long_chains(spark):
+    tail = [(i, i + 1) for i in range(1000, 1400)] + [(1400, 1), (1200, 3000), (3000, 3001)] + [(i, i + 1) for i in range(5000, 5300)]
+    ring = [(1, 2), (2, 3), (3, 1)] + [(i, i + 1) for i in range(2000, 2100)] + [(2100, 2000)]
+    df = spark.createDataFrame(tail + ring, "a long, b long")
+    assert sorted(tuple(r) for r in G.k_core(df, 2).collect()) == sorted(tuple(sorted(e)) for e in ring)
+
+
 def test_two_core_of_all_orders(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").collect()
     edges = {(r.o_custkey, r.o_custkey + r.o_orderkey % 11) for r in rows if r.o_orderkey % 11}
