@@ -70,6 +70,45 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert forest.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_repeated_ids_with_other_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (5, a + " y"), (5, "quite another text of id five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(forest.near_duplicates(df, shingle=3, percent=85)) == brute(rows)
+    kept = forest.keep_first(df, shingle=3, percent=85).collect()
+    assert sorted(tuple(r) for r in kept) == sorted([rows[0], rows[1], rows[5]])
+
+
+def test_neighbours_of_dense_and_sparse_regions():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 256, (900, forest.MINIMA), dtype=np.uint8)
+    sig[:300, : forest.DEEP] = 7  # too dense: all of it is one region
+    sig[300:340, : forest.SHALLOW] = 9  # estimates decide: 20 copies of one signature, the others by chance
+    sig[300:320] = sig[300]
+    order = np.lexsort(sig.T[::-1])
+    label = forest.neighbours(np.zeros(900, np.int32), sig[order], 0.65)
+    region = {}
+    for row, at in enumerate(order.tolist()):
+        region.setdefault(int(label[row]), set()).add(at)
+    assert sorted(map(len, region.values()), reverse=True)[:3] == [300, 20, 1]
+    assert set(range(300)) in region.values() and set(range(300, 320)) in region.values()
+
+
+def test_recall_of_candidates(spark):
+    """Pairs at the least similarity or above meet in one region: measured on pairs of 0.85 to 0.9."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        base = [f"v{rng.randrange(5000)}" for _ in range(260)]
+        other = base[: 260 - rng.randint(14, 20)] + [f"u{rng.randrange(5000)}" for _ in range(rng.randint(0, 4))]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    want = [(2 * i, 2 * i + 1) for i in range(400) if dict((r[1], r[3]) for r in brute(rows[2 * i : 2 * i + 2]))[2 * i + 1] == 2 * i]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = {r.doc_id: r.component_id for r in forest.near_duplicates(df, shingle=3, percent=85).collect()}
+    assert len(want) > 300
+    assert sum(found[b] == a for a, b in want) >= 0.99 * len(want)
+
+
 def test_filter_keeps_one_of_each_group(spark):
     rows = corpus(9)
     df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, class long")
