@@ -185,7 +185,8 @@ def train(documents: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS,
     """A machine from at most ``max_rows`` labelled documents that are not held out.
 
     The sample is the same at every run: the rows with the least hash of their id. Labels repeated
-    for one id are averaged (1 from 0.5 on); null labels and null ids are left out.
+    for one id are averaged (1 from 0.5 on); null labels and null ids are left out. Of documents that
+    repeat an id the one with the least text is read.
     """
     wanted = (
         labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("q"))
@@ -196,8 +197,9 @@ def train(documents: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS,
         .limit(max_rows)
     )
     own = documents.select(F.col("doc_id").cast("long").alias("_id"), *_text_columns(documents))
-    rows = own.join(F.broadcast(wanted), "_id")  # at most max_rows rows
-    sample = rows.select("label", "text", "n").mapInArrow(lambda b: _feature_rows(b, buckets), "label double, x binary").limit(4 * max_rows)
+    rows = own.join(F.broadcast(wanted), "_id")  # at most max_rows ids
+    one = rows.groupBy("_id").agg(F.min(F.struct("text", "n", "label")).alias("row"))
+    sample = one.select("row.label", "row.text", "row.n").mapInArrow(lambda b: _feature_rows(b, buckets), "label double, x binary").limit(max_rows)  # one partition; no row is cut
     found = sample.mapInArrow(lambda b: _fitted(b, buckets, rank), _MACHINE).collect()  # one row of weights
     return Machine.of(found[0]) if found else fit(np.zeros((0, buckets + len(STRUCTURE)), np.float32), np.zeros(0), rank=rank)
 

@@ -217,10 +217,11 @@ def _judged(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
 
 
 def _doc_prints(batches: Iterator[pa.RecordBatch], span: int, k: int, lengths: list[int]) -> Iterator[pa.RecordBatch]:
-    """Rows (row_id, length, print, at): fingerprints, and the runs whose length a short item has."""
+    """Rows (text_key, length, print, at): fingerprints, and the runs whose length a short item has."""
     for batch in batches:
-        rows, texts = batch.column(0).to_numpy(), W.as_bytes(batch.column(1))
+        texts = W.as_bytes(batch.column(1))
         for part in W.groups(texts):
+            keys = batch.column(0).slice(part.start, part.stop - part.start)
             w = _lowered(texts[part])
             a = w.hashes(0)
             grams = W.run_hashes(a, k)
@@ -228,28 +229,28 @@ def _doc_prints(batches: Iterator[pa.RecordBatch], span: int, k: int, lengths: l
             found += [(n, at := w.runs(n), W.run_hashes(a, n)[at]) for n in lengths]
             for n, at, h in found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[part][w.text[at]], pa.int64()), pa.array(np.full(len(at), n), pa.int32()), pa.array(h.view(np.int64)), pa.array(at - w.first[w.text[at]], pa.int32())],
-                    names=["row_id", "length", "print", "at"],
+                    [keys.take(pa.array(w.text[at])), pa.array(np.full(len(at), n), pa.int32()), pa.array(h.view(np.int64)), pa.array(at - w.first[w.text[at]], pa.int32())],
+                    names=["text_key", "length", "print", "at"],
                 )
 
 
 def _extended(batches: Iterator[pa.RecordBatch], span: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (row_id, at, length, h1, h2): windows around the hits of rows (row_id, text, hits)."""
+    """Rows (text_key, at, length, h1, h2): windows around the hits of rows (text_key, text, hits)."""
     for batch in batches:
-        for row, text, hits in zip(batch.column(0).to_pylist(), W.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        for key, text, hits in zip(batch.column(0).to_pylist(), W.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             w = _lowered([text])
             a, b = w.hashes(0), w.hashes(1)
             starts = {(h["length"], h["at"] - j) for h in hits for j in range(span - k + 1 if h["length"] == span else 1)}
             for n in {n for n, _ in starts}:
                 at = np.array(sorted(s for m, s in starts if m == n and 0 <= s <= len(a) - n), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), row), pa.int64()), pa.array(at, pa.int32()), pa.array(np.full(len(at), n), pa.int32()), pa.array(W.run_hashes(a, n, 0)[at].view(np.int64)), pa.array(W.run_hashes(b, n, 1)[at].view(np.int64))],
-                    names=["row_id", "at", "length", "h1", "h2"],
+                    [pa.array([key] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(np.full(len(at), n), pa.int32()), pa.array(W.run_hashes(a, n, 0)[at].view(np.int64)), pa.array(W.run_hashes(b, n, 1)[at].view(np.int64))],
+                    names=["text_key", "at", "length", "h1", "h2"],
                 )
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word and hit counts of rows (row_id, doc_id, text, spans, items)."""
+    """Word and hit counts of rows (text_key, doc_id, text, spans, items)."""
     for batch in batches:
         texts = W.as_bytes(batch.column(2))
         n_words = np.concatenate([np.diff(_lowered(texts[p]).first) for p in W.groups(texts)]) if texts else np.zeros(0, np.int64)
@@ -267,18 +268,28 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _by_joins(docs: DataFrame, windows: DataFrame, span: int, k: int) -> DataFrame:
-    """The same result with no broadcast index: fingerprints and windows meet in shuffle joins."""
-    numbered = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
+def _text_key():
+    """128 bits that stand for the text of a row; null for a null text."""
+    return F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
+
+
+def _found(docs: DataFrame, windows: DataFrame, span: int, k: int) -> DataFrame:
+    """Rows (text_key, at, length, item) of the windows that occur in rows (text_key, text): fingerprints and windows meet in shuffle joins."""
     lengths = [r[0] for r in windows.where(F.col("length") < span).select("length").distinct().collect()]  # below span, so a handful
-    prints = numbered.select("row_id", "text").distinct().mapInArrow(lambda b: _doc_prints(b, span, k, lengths), "row_id long, length int, print long, at int")
+    texts = docs.select("text_key", "text").where("text_key is not null").dropDuplicates(["text_key"])
+    prints = texts.mapInArrow(lambda b: _doc_prints(b, span, k, lengths), "text_key binary, length int, print long, at int")
     long_prints = windows.where(F.col("length") == span).select("length", F.explode("prints").alias("print"))
     wanted = long_prints.unionByName(windows.where(F.col("length") < span).select("length", F.col("h1").alias("print"))).distinct()
-    hits = prints.join(wanted, ["length", "print"], "left_semi").groupBy("row_id").agg(F.collect_list(F.struct("length", "at")).alias("hits"))
-    around = numbered.select("row_id", "text").distinct().join(hits, "row_id").select("row_id", "text", "hits").mapInArrow(lambda b: _extended(b, span, k), "row_id long, at int, length int, h1 long, h2 long")
-    found = around.join(windows.select("item", "length", "h1", "h2"), ["length", "h1", "h2"])
-    marks = found.groupBy("row_id").agg(F.collect_set(F.struct("at", "length")).alias("spans"), F.collect_set("item").alias("items"))
-    return numbered.join(marks, "row_id", "left").select("row_id", "doc_id", "text", "spans", "items").mapInArrow(_counts, _OUT)
+    hits = prints.join(wanted, ["length", "print"], "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("length", "at")).alias("hits"))
+    around = texts.join(hits, "text_key").select("text_key", "text", "hits").mapInArrow(lambda b: _extended(b, span, k), "text_key binary, at int, length int, h1 long, h2 long")
+    return around.join(windows.select("item", "length", "h1", "h2"), ["length", "h1", "h2"]).select("text_key", "at", "length", "item")
+
+
+def _by_joins(docs: DataFrame, windows: DataFrame, span: int, k: int) -> DataFrame:
+    """The same result as with a broadcast index."""
+    keyed = docs.withColumn("text_key", _text_key())
+    marks = _found(keyed, windows, span, k).groupBy("text_key").agg(F.collect_set(F.struct("at", "length")).alias("spans"), F.collect_set("item").alias("items"))
+    return keyed.join(marks, "text_key", "left").select("text_key", "doc_id", "text", "spans", "items").mapInArrow(_counts, _OUT)
 
 
 def _clean(batches: Iterator[pa.RecordBatch], index: Index, text_at: int) -> Iterator[pa.RecordBatch]:
@@ -320,14 +331,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, span: int = SPA
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = GRAM, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents without those that hold a benchmark window; columns and texts stay as they are.
 
-    Null and empty texts stay. Beyond max_windows rows with equal ids (null: one id) are judged
-    together and go if any of them is hit.
+    Null and empty texts stay. Every row is judged by its own text, with a broadcast index and with
+    joins alike, whatever its id.
     """
     windows = _windows_of(benchmark, span, k)
     index = _index(windows, span, k, max_windows)
     if index is not None:
         text_at = documents.columns.index("text")
         return documents.mapInArrow(lambda b: _clean(b, index.value, text_at), documents.schema)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bad = _by_joins(docs, windows, span, k).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    docs = documents.select(F.col("text").cast("string").alias("text"), _text_key().alias("text_key"))
+    bad = _found(docs, windows, span, k).select(F.col("text_key").alias("_bad")).distinct()
+    return documents.join(bad, _text_key() == bad["_bad"], "left_anti")

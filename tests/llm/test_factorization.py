@@ -75,3 +75,13 @@ def test_odd_rows(spark):
     good = {(r.doc_id, r.score) for r in got if r.predicted}
     assert kept.count() == sum(r.predicted for r in got) and len(good) <= kept.count()
     assert fm.quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_documents_that_repeat_an_id_do_not_depend_on_order(spark):
+    from quarrion.llm import factorization as fm
+
+    rows = [(i, f"{'good plain words here' if i % 2 else 'BAD | stuff | 99'} {i}", i % 2) for i in range(1, 60)]
+    docs = [(i, t) for i, t, _ in rows] + [(i, t + " again") for i, t, _ in rows[:30] for _ in range(3)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    a, b = (fm.train(spark.createDataFrame(d, "doc_id long, text string").repartition(n), labels, max_rows=20) for d, n in ((docs, 3), (docs[::-1], 5)))
+    assert a.w0 == b.w0 and (a.w == b.w).all() and (a.v == b.v).all()

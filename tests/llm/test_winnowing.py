@@ -66,6 +66,18 @@ def test_filter_keeps_columns_and_clean_rows(spark, limit):
     assert {r.doc_id for r in out.collect()} == {i for i, x in brute(docs, items).items() if not x[4]}
 
 
+@pytest.mark.parametrize("limit", [winnowing.MAX_WINDOWS, 5])
+def test_rows_are_judged_by_their_own_text(spark, limit):
+    passage = " ".join(f"word{i}" for i in range(12))
+    rows = [(1, f"so {passage}"), (1, "clean one"), (None, passage), (None, "clean two"), (4, "clean four"), (4, "clean four"), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, passage), (2, "solo")], "item_id long, text string")
+    out = winnowing.decontaminate(d, b, max_windows=limit if limit > 5 else 0).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5], rows[6]]))
+    got = winnowing.contamination(d, b, max_windows=limit if limit > 5 else 0).collect()
+    assert sorted((str(r.doc_id), r.contaminated) for r in got) == [("1", False), ("1", True), ("4", False), ("4", False), ("5", False), ("None", False), ("None", True)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
