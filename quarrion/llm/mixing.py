@@ -1,31 +1,36 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame expressions only.
 
 Every document gets a rate (copies, not yet whole): the rates nearest to 1 in relative entropy, each
-word counting once, with which every source yields its target of words. The dual of this convex
-problem has one multiplier a source and the optimum is an exponential tilt, ``rate = exp(lambda)``.
-Newton iterations solve it from sums over documents. A document's tilt depends on its source alone,
-so these sums (gradient and curvature) follow from one distributed aggregation, and an iteration is a
-projection over the table of sources.
-
-Rates are rounded into whole copies: all documents of a source get the whole part; an extra copy goes
-to documents in the order of a hash of theirs, as many as the missing words allow. Prefix sums are
-taken in two levels (hash buckets of a source, then rows of a bucket), so no source has to be sorted
-in one task. What the first document beyond the need leaves over is spent in further passes on
-documents that still fit, the larger powers of two first. At the end one unit that goes beyond the
+word counting once and no rate above ``most``, with which every source yields its target of words and
+the mix keeps the corpus' mean of log document length over words, so that a heavier source does not
+bring its lengths along. The dual of this convex problem has a multiplier a source and one for the
+shared constraint (with a small ridge, as sources whose documents have one length cannot meet it); the
+optimum is an exponential tilt, ``rate = min(most, exp(lambda[source] + mu * x))``. Newton iterations
+solve it: each sums gradient and Hessian over the documents (those of one source and size count
+together), eliminates the sources' multipliers row by row and brings five sums to the driver for the
+shared one. They end at a tolerance.
+
+Rates are rounded into whole copies: all documents get the whole part; an extra copy goes to documents
+in the order of a hash of theirs over the rest of their rate, as many as the missing words allow.
+Prefix sums are taken in two levels (buckets of a source, then rows of a bucket), so no source has to
+be sorted in one task. What the first document beyond the need leaves over is spent in further passes
+on documents that still fit, the larger powers of two first. At the end one unit that goes beyond the
 need is taken where that is nearer to the target, so a source misses it by half a unit at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.storage import checkpointed
 
 #: Weights by the rank of a source, repeating; words to take as a share of all; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Newton steps, hash buckets of a source, and passes of rounding.
-STEPS, BUCKETS, PASSES = 60, 1024, 6
+#: Newton steps at most, relative residual at which they end, largest step of a multiplier, ridge of the shared constraint.
+STEPS, TOLERANCE, LONGEST, RIDGE = 40, 1e-7, 1.0, 1e-3
+#: Buckets of a source, and passes of rounding.
+BUCKETS, PASSES = 1024, 4
 #: Sources whose table may be broadcast (some 100 bytes each), and salts of a source beyond that.
 FEW_SOURCES, SALTS = 20_000, 64
 
@@ -38,35 +43,74 @@ def units(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
 
 
+def _before(rows: DataFrame, order: list[Column], sums: tuple[str, ...], ranges: int) -> DataFrame:
+    """rows with ``before_<c>``, the sum of column c over the rows ahead in the order: within ranges, and over whole ranges (one row each)."""
+    if ranges == 1:
+        ahead = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # FEW_SOURCES rows at most
+        return rows.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(ahead), F.lit(0)) for c in sums})
+    ranged = checkpointed(rows.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()))
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_p").agg(*(F.sum(c).alias(c) for c in sums)).select("_p", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in sums))
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.join(F.broadcast(starts), "_p").withColumns({f"before_{c}": F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    return own.drop("_p", *(f"_{c}" for c in sums))
+
+
 def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size, target) of rows (source, source_size), one a source.
 
     Sources by code point, null last, take the weights in turn. A target stops at ``most`` times its
     source's size; the excess is shared again by weight, which ends at one common level of words per
-    unit of weight. The windows run over the table of sources, which has one row a source.
+    unit of weight.
+    """
+    sizes = checkpointed(sizes.select("source", "source_size", F.lit(1).alias("one")))
+    ranges = max(1, -(-sizes.count() // FEW_SOURCES)) if FEW_SOURCES else 3
+    by_name = F.col("source").asc_nulls_last()
+    ranked = _before(sizes, [by_name], ("one",), ranges)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("before_one"), F.lit(len(weights))) + 1).cast("int"))
+    capped = ranked.select("source", "source_size", weight.alias("w"), (F.lit(float(most)) * F.col("source_size")).alias("cap")).withColumn("full_at", F.col("cap") / F.col("w"))
+    filled = _before(capped, [F.col("full_at"), by_name], ("cap", "w"), ranges)
+    total = sizes.agg((F.lit(share) * F.sum("source_size")).alias("total"))
+    all_w = capped.agg(F.sum("w").alias("all_w"))
+    wanted = filled.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(all_w)).withColumn("level", (F.col("total") - F.col("before_cap")) / (F.col("all_w") - F.col("before_w")))  # one row each
+    wanted = checkpointed(wanted) if ranges > 1 else wanted
+    level = wanted.agg(F.min(F.when(F.col("full_at") > F.col("level"), F.struct("full_at", "level")))["level"].alias("reached"))
+    out = wanted.crossJoin(F.broadcast(level))  # one row
+    return out.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("reached") * F.col("w")), F.col("cap")).alias("target"))
+
+
+def balanced(cells: DataFrame, sources: DataFrame, *, most: int = MOST, few: bool = True) -> tuple[DataFrame, float, float, float]:
+    """(key, lam) of the sources, and mu, centre and spread of the shared constraint.
+
+    ``cells`` has (key, size, n): n documents of a size; ``sources`` has (key, source_size, target), where a
+    target of ``most`` times the size (or none) leaves nothing to solve: lam is null there.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filling = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        sizes.select("source", "source_size", weight.alias("w"))
-        .withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-        .withColumn("full_at", F.col("cap") / F.col("w"))
-        .withColumns({"total": F.lit(share) * F.sum("source_size").over(every), "all_w": F.sum("w").over(every)})
-        .withColumns({"spent": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "used_w": F.coalesce(F.sum("w").over(before), F.lit(0.0))})
-        .withColumn("level", (F.col("total") - F.col("spent")) / (F.col("all_w") - F.col("used_w")))
-        .withColumn("level", F.min(F.when(F.col("full_at") > F.col("level"), F.struct("full_at", "level"))).over(every)["level"])
-    )
-    return wanted.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")).alias("target"))
-
-
-def tilt(target, size):
-    """The multiplier of a source by Newton steps on the dual: size * exp(x) - target * x."""
-    ratio = F.try_divide(target, size)  # null for a source without words
-    step = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), lambda x, _: x - 1.0 + ratio * F.exp(-x))
-    return F.when(ratio > 0, step)
+    words, length = F.col("size") * F.col("n"), F.log1p(F.col("size").cast("double"))
+    m = cells.agg(F.sum(words).alias("w"), F.sum(words * length).alias("x"), F.sum(words * length * length).alias("x2")).first()
+    total = float(m.w or 0)
+    centre = m.x / total if total else 0.0
+    spread = max(0.0, m.x2 / total - centre**2) ** 0.5 if total else 0.0
+    spread = spread if spread > 1e-6 else 1.0
+    free = (F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-12))
+    lam = sources.select("key", "target", F.when(free, F.log(F.col("target") / F.col("source_size"))).alias("lam"))
+    mu = 0.0
+    for _ in range(STEPS):
+        x = (length - centre) / spread
+        rate = F.when(F.col("target") <= 0, 0.0).when(F.col("lam").isNull(), float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.col("lam") + F.lit(mu) * x)))
+        rated = _with_source(cells.where("size > 0"), lam, "size", few).select("key", "target", "lam", x.alias("x"), (words * rate).alias("got"), (F.col("lam").isNotNull() & (rate < most)).cast("double").alias("open"))
+        sums = rated.groupBy("key").agg(F.first("target").alias("target"), F.first("lam").alias("lam"), F.sum("got").alias("g"), F.sum(F.col("got") * F.col("open")).alias("h"), F.sum(F.col("got") * F.col("open") * F.col("x")).alias("c"), F.sum(F.col("got") * F.col("open") * F.col("x") * F.col("x")).alias("q"), F.sum(F.col("got") * F.col("x")).alias("shared"))
+        gap = F.when(F.col("lam").isNotNull(), F.col("target") - F.col("g")).otherwise(0.0)
+        sums = checkpointed(sums.withColumn("gap", gap))
+        r = sums.agg(F.sum("shared").alias("b"), F.sum("q").alias("q"), F.sum(F.try_divide(F.col("c") * F.col("gap"), F.col("h"))).alias("ca"), F.sum(F.try_divide(F.col("c") * F.col("c"), F.col("h"))).alias("cc"), F.max(F.abs("gap") / F.greatest("target", F.lit(1.0))).alias("worst")).first()
+        pull = -(r.b or 0.0) - RIDGE * total * mu
+        curve = (r.q or 0.0) + RIDGE * total - (r.cc or 0.0)
+        step = max(-LONGEST, min(LONGEST, (pull - (r.ca or 0.0)) / curve)) if curve > 0 else 0.0
+        if (r.worst or 0.0) <= TOLERANCE and abs(pull) <= TOLERANCE * max(total, 1.0):
+            break
+        move = F.try_divide(F.col("gap") - F.col("c") * F.lit(step), F.col("h"))
+        lam = sums.select("key", "target", (F.col("lam") + F.greatest(F.lit(-LONGEST), F.least(F.lit(LONGEST), F.coalesce(move, F.lit(0.0))))).alias("lam"))
+        mu += step
+    return lam.select("key", "lam"), mu, centre, spread
 
 
 def _with_source(rows: DataFrame, sources: DataFrame, spread: str, few: bool, how: str = "inner") -> DataFrame:
@@ -82,22 +126,24 @@ def _with_source(rows: DataFrame, sources: DataFrame, spread: str, few: bool, ho
 
 
 def _spend(rows: DataFrame, need: DataFrame, most: int, large_first: bool, few: bool) -> DataFrame:
-    """rows (key, hash, doc_id, size, words, extra) with one more extra copy where the missing words (key, need) reach.
+    """rows with one more extra copy where the missing words (key, need) reach.
 
-    Rows without words, beyond the need or with most copies are passed over.
+    The first pass goes by ``turn``, the hash over the rest of the rate, later ones by size and hash. Rows
+    without words, beyond the need or with most copies are passed over.
     """
-    bucket = F.pmod("hash", F.lit(BUCKETS))
     if large_first:
-        bucket = bucket - F.floor(F.log2(F.greatest("words", F.lit(1)))) * BUCKETS
-    open_rows = _with_source(rows, need, "hash", few).withColumn("can", (F.col("base") + F.col("extra") < most) & (F.col("words") > 0) & (F.col("words") <= F.col("need"))).withColumn("bucket", bucket)
+        bucket, order = F.pmod("hash", F.lit(BUCKETS)) - F.floor(F.log2(F.greatest("words", F.lit(1)))) * BUCKETS, ["hash", "doc_id", "size"]
+    else:
+        bucket, order = F.least(F.floor(F.col("turn") * (BUCKETS // 2)), F.lit(BUCKETS - 1)), ["turn", "hash", "doc_id", "size"]
+    open_rows = _with_source(rows, need, "hash", few).withColumn("can", (F.col("base") + F.col("extra") < most) & (F.col("words") > 0) & (F.col("words") <= F.col("need"))).withColumn("bucket", bucket.cast("long"))
     words = F.when(F.col("can"), F.col("words")).otherwise(0)
     sums = open_rows.groupBy("key", "bucket").agg(F.sum(words).alias("sum"))
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows a source, times the powers of two of sizes at most
     starts = sums.select("key", "bucket", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("key", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("key", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = open_rows.join(starts, ["key", "bucket"]).withColumn("upto", F.col("start") + F.sum(words).over(inside))
     taken = F.col("extra") + F.when(F.col("can") & (F.col("upto") <= F.col("need")), 1).otherwise(0)
-    return summed.select("key", "hash", "doc_id", "source", "size", "n", "words", "base", "target", "source_size", taken.alias("extra"))
+    return summed.select("key", "hash", "turn", "doc_id", "source", "size", "n", "words", "base", "target", "source_size", taken.alias("extra"))
 
 
 def _missing(rows: DataFrame):
@@ -118,19 +164,26 @@ def copies(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share:
     """(doc_id, source, size, n, source_size, target, copies) of the units of documents.
 
     Null texts have size 0, a null source is a source, null ids are allowed. Documents without words
-    get the whole part of their source's rate. Reruns agree: the order is a hash of id and size.
+    get the whole part of their rate. Reruns agree: the order is a hash of id and size.
     """
     all_units = checkpointed(units(documents))
-    sizes = all_units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    rated = targets(sizes, weights=weights, share=share, most=most).withColumn("base", F.coalesce(F.floor(F.exp(tilt(F.col("target"), F.col("source_size"))) + 1e-9), F.lit(0)).cast("int"))
-    rated = checkpointed(rated.withColumn("key", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
-    few = rated.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    cells = all_units.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source is a source too
-    by_name = rated.withColumnRenamed("key", "number").withColumn("key", named).drop("source")
-    keyed = _with_source(all_units.withColumn("key", named), by_name, "doc_id", few).drop("key").withColumnRenamed("number", "key")
-    rows = checkpointed(keyed.select("key", F.xxhash64("doc_id", "size").alias("hash"), "doc_id", "source", "size", "n", (F.col("size") * F.col("n")).alias("words"), "base", "target", "source_size", F.lit(0).alias("extra")))
-    for turn in range(PASSES):
-        rows = checkpointed(_spend(rows, _missing(rows).withColumn("need", F.col("need") + 0.5), most, large_first=turn > 0, few=few))
+    rated = checkpointed(targets(sizes, weights=weights, share=share, most=most).withColumn("key", named))
+    few = rated.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    lam, mu, centre, spread = balanced(checkpointed(cells.select(named.alias("key"), "size", "n")), rated, most=most, few=few)
+    rated = checkpointed(rated.drop("source").join(lam, "key", "left"))
+    x = (F.log1p(F.col("size").cast("double")) - centre) / spread
+    tilted = F.least(F.lit(float(most)), F.exp(F.col("lam") + F.lit(mu) * x))
+    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+    rate = F.when(F.col("source_size") <= 0, 0.0).when(full, float(most)).otherwise(F.round(F.coalesce(tilted, F.lit(0.0)), 9))
+    keyed = _with_source(all_units.withColumn("key", named), rated, "doc_id", few).withColumns({"rate": rate, "hash": F.xxhash64("doc_id", "size")})
+    base = F.floor("rate").cast("int")
+    turn = (F.pmod("hash", F.lit(1 << 30)) + 0.5) / (1 << 30) / F.greatest(F.col("rate") - base, F.lit(1e-9))
+    rows = checkpointed(keyed.select("key", "hash", turn.alias("turn"), "doc_id", "source", "size", "n", (F.col("size") * F.col("n")).alias("words"), base.alias("base"), "target", "source_size", F.lit(0).alias("extra")))
+    for number in range(PASSES):
+        rows = checkpointed(_spend(rows, _missing(rows).withColumn("need", F.col("need") + 0.5), most, large_first=number > 0, few=few))
     rows = _nearest(rows, most, few)
     return rows.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("base") + F.col("extra")).alias("copies"))
 

@@ -72,10 +72,66 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert [(r.target, r.taken) for r in mixing.mixture(silent).collect()] == [(0.0, 0), (0.0, 0)]
 
 
-def test_newton_finds_the_tilt(spark):
-    rows = spark.createDataFrame([(2.0, 1.0), (1e-9, 1.0), (0.3, 1.0), (7.5, 5.0), (0.0, 3.0)], "t double, s double")
-    got = [r[0] for r in rows.select(F.exp(mixing.tilt(F.col("t"), F.col("s")))).collect()]
-    assert got[:4] == pytest.approx([2.0, 1e-9, 0.3, 1.5]) and got[4] is None
+def dual(cells, target, most=2):
+    """Multipliers by plain descent of the same dual: rates of cells (source, size, n) from a bisection for each source inside one for mu."""
+    import numpy as np
+
+    size, n = np.array([c[1] for c in cells], float), np.array([c[2] for c in cells], float)
+    words, length = size * n, np.log1p(size)
+    centre = (words * length).sum() / words.sum()
+    spread = np.sqrt((words * length**2).sum() / words.sum() - centre**2)
+    x, source = (length - centre) / spread, np.array([c[0] for c in cells])
+
+    def rates(mu):
+        r = np.zeros(len(cells))
+        for s, t in target.items():
+            at = source == s
+            lo, hi = -30.0, 30.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if (words[at] * np.minimum(most, np.exp(mid + mu * x[at]))).sum() < t else (lo, mid)
+            r[at] = np.minimum(most, np.exp(lo + mu * x[at]))
+        return r
+
+    lo, hi = -20.0, 20.0
+    for _ in range(100):
+        mu = (lo + hi) / 2
+        lo, hi = (mu, hi) if (words * x * rates(mu)).sum() + mixing.RIDGE * words.sum() * mu < 0 else (lo, mu)
+    return mu, rates(mu)
+
+
+def test_newton_solves_the_joint_dual(spark):
+    cells = [("a", 3, 40), ("a", 30, 9), ("a", 300, 1), ("b", 3, 10), ("b", 100, 10), ("b", 900, 2), ("c", 50, 7), ("c", 5, 1)]
+    sizes = defaultdict(int)
+    for s, size, n in cells:
+        sizes[s] += size * n
+    target = shares(sizes)
+    mu, rates = dual(cells, target)
+    frame = spark.createDataFrame(cells, "key string, size long, n long")
+    lam, got, centre, spread = mixing.balanced(frame, spark.createDataFrame([(s, sizes[s], t) for s, t in target.items()], "key string, source_size long, target double"))
+    assert got == pytest.approx(mu, abs=1e-5) and abs(got) > 1e-3
+    x = (F.log1p(F.col("size").cast("double")) - centre) / spread
+    rows = frame.join(lam, "key").select("key", "size", F.coalesce(F.least(F.lit(2.0), F.exp(F.col("lam") + got * x)), F.lit(2.0)).alias("r")).collect()
+    assert {(r.key, r.size): r.r for r in rows} == pytest.approx({(c[0], c[1]): r for c, r in zip(cells, rates, strict=True)}, abs=1e-4)
+
+
+def test_rates_follow_the_tilt(spark):
+    """The copies of many equal documents are the whole part of their rate and the rest in proportion."""
+    docs = [(i, " ".join(["w"] * (4 if i % 3 else 40)), "ab"[i % 7 > 2]) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mixture(df).collect()
+    check(rows, docs)
+    cells, sizes = defaultdict(int), defaultdict(int)
+    for i, text, source in docs:
+        cells[source, len(text.split())] += 1
+        sizes[source] += len(text.split())
+    cells = [(*k, n) for k, n in cells.items()]
+    _, rates = dual(cells, shares(sizes))
+    taken = defaultdict(int)
+    for r in rows:
+        taken[docs[r.doc_id][2], r.size] += r.taken
+    for (source, size, n), rate in zip(cells, rates, strict=True):
+        assert taken[source, size] / (size * n) == pytest.approx(rate, abs=0.06)
 
 
 def test_many_sources_go_the_salted_way_with_the_same_result(spark, monkeypatch):
