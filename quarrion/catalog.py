@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarrion.plans import lists, scalars, sets, summaries, texts
+from quarrion.plans import clusters, lists, scalars, sets, summaries, texts
 from quarrion.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "flagship_step_summary"
-MODULES = (lists, scalars, sets, summaries, texts)
+MODULES = (clusters, lists, scalars, sets, summaries, texts)
 
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]

@@ -61,7 +61,7 @@ def looks_random(c: Column | str) -> Column:
     letters = F.length(F.regexp_replace(x, "[^a-z]", ""))
     vowels = F.length(F.regexp_replace(x, "[^aeiou]", ""))
     few = (letters > 0) & (vowels < F.lit(0.28) * letters)
-    return x.rlike("^[a-z0-9]{6,}$") & (x.rlike("[0-9]") | few | x.rlike("[bcdfghjklmnpqrstvwxz]{5}"))
+    return x.rlike("^[a-z0-9]{6,}$") & (x.rlike("[0-9]") | few | x.rlike("[bcdfghjklmnpqrstvwxyz]{5}"))
 
 
 def package_root(c: Column | str) -> Column:

@@ -78,7 +78,7 @@ def f02_stem(t: Tables) -> DataFrame:
 _WORD = "lower(split_part(text, ' ', 1))"
 
 
-@query(f"SELECT doc_id, regexp_matches(w, '^[0-9a-z]{{6,}}$') AND (regexp_matches(w, '[0-9]') OR (length(regexp_replace(w, '[^a-z]', '', 'g')) > 0 AND length(regexp_replace(w, '[^aeiou]', '', 'g')) < 0.28 * length(regexp_replace(w, '[^a-z]', '', 'g'))) OR regexp_matches(w, '[bcdfghjklmnpqrstvwxz]{{5}}')) AS random FROM (SELECT doc_id, {_WORD} AS w FROM documents)")
+@query(f"SELECT doc_id, regexp_matches(w, '^[0-9a-z]{{6,}}$') AND (regexp_matches(w, '[0-9]') OR (length(regexp_replace(w, '[^a-z]', '', 'g')) > 0 AND length(regexp_replace(w, '[^aeiou]', '', 'g')) < 0.28 * length(regexp_replace(w, '[^a-z]', '', 'g'))) OR regexp_matches(w, '[bcdfghjklmnpqrstvwxyz]{{5}}')) AS random FROM (SELECT doc_id, {_WORD} AS w FROM documents)")
 def f03_random_name(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.looks_random(F.lower(F.split_part("text", F.lit(" "), F.lit(1)))).alias("random"))
 
@@ -86,7 +86,7 @@ def f03_random_name(t: Tables) -> DataFrame:
 _DOTS = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
 
-@query(f"WITH h AS (SELECT page_id, {_DOTS} AS n FROM pages), r AS (SELECT page_id, list_transform(list_slice(string_split(n, '.'), 1, CASE WHEN len(string_split(n, '.')) <= 3 THEN greatest(len(string_split(n, '.')) - 1, 0) ELSE 3 END), lambda s: CASE WHEN regexp_matches(s, '^[0-9a-z]{{6,}}$') AND (regexp_matches(s, '[0-9]') OR (length(regexp_replace(s, '[^aeiou]', '', 'g')) < 0.28 * length(s)) OR regexp_matches(s, '[bcdfghjklmnpqrstvwxz]{{5}}')) THEN '*' ELSE s END) AS parts FROM h) SELECT page_id, array_to_string(parts, '.') AS root FROM r")
+@query(f"WITH h AS (SELECT page_id, {_DOTS} AS n FROM pages), r AS (SELECT page_id, list_transform(list_slice(string_split(n, '.'), 1, CASE WHEN len(string_split(n, '.')) <= 3 THEN greatest(len(string_split(n, '.')) - 1, 0) ELSE 3 END), lambda s: CASE WHEN regexp_matches(s, '^[0-9a-z]{{6,}}$') AND (regexp_matches(s, '[0-9]') OR (length(regexp_replace(s, '[^aeiou]', '', 'g')) < 0.28 * length(s)) OR regexp_matches(s, '[bcdfghjklmnpqrstvwxyz]{{5}}')) THEN '*' ELSE s END) AS parts FROM h) SELECT page_id, array_to_string(parts, '.') AS root FROM r")
 def f04_package_root(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.package_root(N.host("url")).alias("root"))
 
