@@ -28,7 +28,7 @@ from quarrion.storage import checkpointed
 #: Weights by the rank of a source, repeating; words to take as a share of all; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Newton steps at most, relative residual at which they end, largest step of a multiplier, ridge of the shared constraint.
-STEPS, TOLERANCE, LONGEST, RIDGE = 40, 1e-7, 1.0, 1e-3
+STEPS, TOLERANCE, LONGEST, RIDGE = 40, 1e-7, 1.0, 0.05
 #: Buckets of a source, and passes of rounding.
 BUCKETS, PASSES = 1024, 4
 #: Sources whose table may be broadcast (some 100 bytes each), and salts of a source beyond that.
@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: fl
     source's size; the excess is shared again by weight, which ends at one common level of words per
     unit of weight.
     """
-    sizes = checkpointed(sizes.select("source", "source_size", F.lit(1).alias("one")))
+    sizes = sizes.select("source", "source_size", F.lit(1).alias("one"))
     ranges = max(1, -(-sizes.count() // FEW_SOURCES)) if FEW_SOURCES else 3
     by_name = F.col("source").asc_nulls_last()
     ranked = _before(sizes, [by_name], ("one",), ranges)
@@ -88,24 +88,29 @@ def balanced(cells: DataFrame, sources: DataFrame, *, most: int = MOST, few: boo
     words, length = F.col("size") * F.col("n"), F.log1p(F.col("size").cast("double"))
     m = cells.agg(F.sum(words).alias("w"), F.sum(words * length).alias("x"), F.sum(words * length * length).alias("x2")).first()
     total = float(m.w or 0)
-    centre = m.x / total if total else 0.0
-    spread = max(0.0, m.x2 / total - centre**2) ** 0.5 if total else 0.0
+    if not total:
+        return sources.select("key", F.lit(None).cast("double").alias("lam")), 0.0, 0.0, 1.0
+    centre = m.x / total
+    spread = max(0.0, m.x2 / total - centre**2) ** 0.5
     spread = spread if spread > 1e-6 else 1.0
     free = (F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-12))
     lam = sources.select("key", "target", F.when(free, F.log(F.col("target") / F.col("source_size"))).alias("lam"))
-    mu = 0.0
+    mu, sums_before = 0.0, None
     for _ in range(STEPS):
         x = (length - centre) / spread
         rate = F.when(F.col("target") <= 0, 0.0).when(F.col("lam").isNull(), float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.col("lam") + F.lit(mu) * x)))
         rated = _with_source(cells.where("size > 0"), lam, "size", few).select("key", "target", "lam", x.alias("x"), (words * rate).alias("got"), (F.col("lam").isNotNull() & (rate < most)).cast("double").alias("open"))
         sums = rated.groupBy("key").agg(F.first("target").alias("target"), F.first("lam").alias("lam"), F.sum("got").alias("g"), F.sum(F.col("got") * F.col("open")).alias("h"), F.sum(F.col("got") * F.col("open") * F.col("x")).alias("c"), F.sum(F.col("got") * F.col("open") * F.col("x") * F.col("x")).alias("q"), F.sum(F.col("got") * F.col("x")).alias("shared"))
         gap = F.when(F.col("lam").isNotNull(), F.col("target") - F.col("g")).otherwise(0.0)
-        sums = checkpointed(sums.withColumn("gap", gap))
+        before, sums = sums_before, sums.withColumn("gap", gap).cache()  # a row a source; recomputed where an executor is lost
         r = sums.agg(F.sum("shared").alias("b"), F.sum("q").alias("q"), F.sum(F.try_divide(F.col("c") * F.col("gap"), F.col("h"))).alias("ca"), F.sum(F.try_divide(F.col("c") * F.col("c"), F.col("h"))).alias("cc"), F.max(F.abs("gap") / F.greatest("target", F.lit(1.0))).alias("worst")).first()
+        if before is not None:
+            before.unpersist()
+        sums_before = sums
         pull = -(r.b or 0.0) - RIDGE * total * mu
-        curve = (r.q or 0.0) + RIDGE * total - (r.cc or 0.0)
-        step = max(-LONGEST, min(LONGEST, (pull - (r.ca or 0.0)) / curve)) if curve > 0 else 0.0
-        if (r.worst or 0.0) <= TOLERANCE and abs(pull) <= TOLERANCE * max(total, 1.0):
+        spare = max(0.0, (r.q or 0.0) - (r.cc or 0.0))  # spread inside the sources, without which mu changes no rate
+        step = max(-LONGEST, min(LONGEST, (pull - (r.ca or 0.0)) / (spare + RIDGE * total))) if spare > 1e-9 * total else 0.0
+        if (r.worst or 0.0) <= TOLERANCE and abs(step) * (spare / total) ** 0.5 <= TOLERANCE:
             break
         move = F.try_divide(F.col("gap") - F.col("c") * F.lit(step), F.col("h"))
         lam = sums.select("key", "target", (F.col("lam") + F.greatest(F.lit(-LONGEST), F.least(F.lit(LONGEST), F.coalesce(move, F.lit(0.0))))).alias("lam"))
@@ -167,13 +172,13 @@ def copies(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share:
     get the whole part of their rate. Reruns agree: the order is a hash of id and size.
     """
     all_units = checkpointed(units(documents))
-    cells = all_units.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    cells = checkpointed(all_units.groupBy("source", "size").agg(F.sum("n").alias("n")))
     sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source is a source too
     rated = checkpointed(targets(sizes, weights=weights, share=share, most=most).withColumn("key", named))
     few = rated.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
-    lam, mu, centre, spread = balanced(checkpointed(cells.select(named.alias("key"), "size", "n")), rated, most=most, few=few)
-    rated = checkpointed(rated.drop("source").join(lam, "key", "left"))
+    lam, mu, centre, spread = balanced(cells.select(named.alias("key"), "size", "n"), rated, most=most, few=few)
+    rated = rated.drop("source").join(lam, "key", "left")
     x = (F.log1p(F.col("size").cast("double")) - centre) / spread
     tilted = F.least(F.lit(float(most)), F.exp(F.col("lam") + F.lit(mu) * x))
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
