@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ def _local_ipv6(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified
 
     for s in batches:
-        yield s.map(local).astype(bool)
+        code, seen = pd.factorize(s, use_na_sentinel=False)  # each address is parsed once a batch
+        yield pd.Series(np.array([local(x) for x in seen], dtype=bool)[code], index=s.index)
 
 
 def is_local(c: Column | str, ipv6: bool = False) -> Column:

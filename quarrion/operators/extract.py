@@ -18,10 +18,15 @@ from quarrion.operators.relational import capped_list
 #: Patterns of indicators, Java and RE2 alike but for the look-arounds of the phone number.
 URL = r"https?://[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?::[0-9]{1,5})?(?:/[^\s\"'<>\\]*)?"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._+-]{0,30}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}"
-PHONE = r"(?<![0-9A-Za-z])1[3-9][0-9]{9}(?![0-9A-Za-z])"
-#: Endings of files that are pictures or media and hold no text worth a scan.
-MEDIA = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "ico", "svg", "mp3", "mp4", "wav", "ogg", "m4a", "aac", "flac", "avi", "mov", "mkv", "webm", "ttf", "otf", "woff", "woff2", "eot", "pdf", "apk")
-#: Sizes up to which texts and other files are read.
+PHONE = r"(?<![0-9A-Za-z_])1[3-9][0-9]{9}(?![0-9A-Za-z_])"
+# Endings of pictures, sound, film and fonts, which hold no text worth a scan.
+MEDIA = (
+    "png", "jpg", "jpeg", "gif", "webp", "bmp", "ico", "tif", "tiff", "heic", "heif", "mp3", "mp4", "m4a", "aac", "wav", "ogg", "flac", "avi", "mov", "mkv", "webm",
+    "ttf", "otf", "woff", "woff2",
+)
+# Endings of texts, which are read up to a lower limit.
+TEXTS = ("java", "kt", "xml", "json", "properties", "txt", "js", "html", "gradle", "smali")
+# Sizes up to which texts and other files are read.
 MOST_TEXT, MOST_BLOB = 1 << 20, 64 << 20
 
 
@@ -30,10 +35,21 @@ def found(df: DataFrame, keys: Sequence[str], text: str, pattern: str, group: in
     return df.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("value"))
 
 
+# Characters beside an @ that are looked at, those that may not stand before them, and the form of an address.
+EMAIL_PARTS = r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._+-]{1,32})@(?=([A-Za-z0-9.-]{1,32})(?![A-Za-z0-9.-]))"
+EMAIL_FORM = r"^[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+(?:[A-Za-z]{2,63}|xn--[A-Za-z0-9-]{1,59})$"
+
+
+def emails(text: Column | str) -> Column:
+    """The addresses in a text: at most 32 characters on either side of an @, with nothing of an address beside them."""
+    local, domain = (F.regexp_extract_all(text, F.lit(EMAIL_PARTS), F.lit(i)) for i in (1, 2))
+    return F.filter(F.zip_with(local, domain, lambda x, y: F.concat(x, F.lit("@"), y)), lambda v: v.rlike(EMAIL_FORM))
+
+
 def worth_reading(name: Column | str, length: Column | str) -> Column:
     """False for media files, texts and blobs beyond their limits; evaluated before contents are read."""
     ending = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    is_text = ending.isin("txt", "json", "xml", "js", "java", "kt", "smali", "html", "css", "properties", "yml", "yaml")
+    is_text = ending.isin(*TEXTS)
     return ~ending.isin(*MEDIA) & (F.col(length) <= F.when(is_text, MOST_TEXT).otherwise(MOST_BLOB))
 
 
@@ -146,7 +162,7 @@ def _members(name: str, data: bytes, depth: int, most: int) -> Iterator[tuple[st
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 for entry in z.infolist():
-                    if entry.is_dir() or entry.file_size > most or entry.filename.rpartition(".")[2].lower() in MEDIA[:-1]:
+                    if entry.is_dir() or entry.file_size > most or entry.filename.rpartition(".")[2].lower() in MEDIA:
                         continue
                     try:
                         yield from _members(f"{name}!{entry.filename}", z.read(entry), depth + 1, most)

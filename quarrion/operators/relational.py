@@ -95,13 +95,14 @@ def top_share(df: DataFrame, label: str, head: int = 10, other: str = "other", f
     """Counts by label: the first ``head`` and one row for the rest, with percent and bar width.
 
     Blank labels count under the fallback; ties go by name; ``other`` stands last whatever its count.
-    Counts are taken before the ranking, so the ranking sees one row a label.
+    Only the first labels are ranked; the rest is what they leave of all.
     """
     named = df.select(F.when(is_blank(label), F.lit(fallback)).otherwise(F.trim(F.col(label).cast("string"))).alias("label"))
     counts = named.groupBy("label").agg(F.count("*").alias("n"))
-    ranked = counts.withColumns({"rank": F.row_number().over(Window.orderBy(F.desc("n"), "label")), "total": F.sum("n").over(Window.partitionBy())})
-    rest = F.col("rank") > head
-    parts = ranked.groupBy(F.when(rest, F.lit(other)).otherwise(F.col("label")).alias("label"), F.when(rest, F.lit(head + 1)).otherwise(F.col("rank")).alias("rank")).agg(F.sum("n").alias("n"), F.max("total").alias("total"))
+    first = counts.orderBy(F.desc("n"), "label").limit(head).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")))  # ``head`` rows
+    total = counts.agg(F.sum("n").alias("total"))
+    rest = total.crossJoin(first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("taken"))).where("total > taken").select(F.lit(other).alias("label"), (F.col("total") - F.col("taken")).alias("n"), F.lit(head + 1).alias("rank"))
+    parts = first.unionByName(rest).crossJoin(F.broadcast(total))  # one row
     percent = F.round(F.col("n") * 100.0 / F.col("total"), 1)
     return parts.select("rank", "label", "n", percent.alias("percent"), F.greatest(percent, F.lit(least)).alias("bar"))
 

@@ -40,18 +40,22 @@ def expired(rows: DataFrame, at: str, now, seconds: int, state: str, running: Se
 def allocate(jobs: DataFrame, workers: DataFrame, job_order: Sequence[Column], worker_order: Sequence[Column], lanes: Sequence[str] = ()) -> DataFrame:
     """One job for one worker: the n-th job in order meets the n-th worker, inside each lane if there are lanes.
 
-    Only as many jobs as there may be workers are ranked in one task where there are no lanes.
+    Without lanes only the first jobs and workers in order, as many as there are of the fewer, are ranked.
     """
+    if not lanes:
+        pairs = min(jobs.count(), workers.count())
+        jobs, workers = jobs.orderBy(*job_order).limit(pairs), workers.orderBy(*worker_order).limit(pairs)
     j = jobs.withColumn("_n", F.row_number().over(Window.partitionBy(*lanes).orderBy(*job_order)))
     w = workers.withColumn("_n", F.row_number().over(Window.partitionBy(*lanes).orderBy(*worker_order)))
     return j.join(w, [*lanes, "_n"]).withColumnRenamed("_n", "turn")
 
 
-def claimed(rows: DataFrame, condition: Column, order: Sequence[Column], token: str, most: int, state: str = "status", to: str = "running") -> DataFrame:
-    """At most so many rows that meet the condition, first in order, move to a state under an attempt token."""
-    at = F.row_number().over(Window.partitionBy(F.coalesce(condition, F.lit(False))).orderBy(*order))
-    taken = F.coalesce(condition, F.lit(False)) & (at <= most)
-    return rows.withColumn("_taken", taken).withColumns({state: F.when(F.col("_taken"), F.lit(to)).otherwise(F.col(state)), "token": F.when(F.col("_taken"), F.lit(token))}).drop("_taken")
+def claimed(rows: DataFrame, condition: Column, key: str, order: Sequence[Column], token: str, most: int, state: str = "status", to: str = "running") -> DataFrame:
+    """At most so many rows that meet the condition, first in order, move to a state under an attempt token; keys are unique."""
+    first = rows.where(condition).orderBy(*order).limit(most).select(F.col(key).alias("_taken"))
+    met = rows.join(F.broadcast(first), rows[key] == first["_taken"], "left")  # ``most`` keys
+    taken = F.col("_taken").isNotNull()
+    return met.withColumns({state: F.when(taken, F.lit(to)).otherwise(F.col(state)), "token": F.when(taken, F.lit(token))}).drop("_taken")
 
 
 def finished(rows: DataFrame, results: DataFrame, key: str, state: str = "status") -> DataFrame:

@@ -126,7 +126,10 @@ def g18_linkage_families(t: Tables) -> DataFrame:
     return S.medoids(clusters, least=2)
 
 
-@query()
+_COMPONENTS = f"WITH RECURSIVE e AS (SELECT l, r FROM ({_PAIRS}) WHERE jaccard >= 0.17), b AS (SELECT l, r FROM e UNION SELECT r, l FROM e), w AS (SELECT DISTINCT l AS node, l AS seen FROM b UNION SELECT w.node, b.r FROM w JOIN b ON b.l = w.seen), c AS (SELECT node, min(seen) AS family FROM w GROUP BY 1)"
+
+
+@query(_COMPONENTS + " SELECT node, family, count(*) OVER (PARTITION BY family) AS size FROM c")
 def g19_similarity_families(t: Tables) -> DataFrame:
     return S.families(S.pairs_above(_members(t), 0.17))
 
@@ -138,7 +141,7 @@ def g17_staged_families(t: Tables) -> DataFrame:
     return S.staged_families([("first", m), ("second", more)], 0.17)
 
 
-@query()
+@query(_COMPONENTS + f", k AS (SELECT family, count(*) AS size FROM c GROUP BY 1), f AS (SELECT family, feature, count(*) AS has FROM c JOIN ({_MEMBERS}) USING (node) GROUP BY 1, 2) SELECT family, list_slice(list(feature ORDER BY df, feature), 1, 20) AS fingerprint FROM f JOIN k USING (family) JOIN ({_DF}) USING (feature) WHERE has = size GROUP BY 1")
 def g15_ordered_fingerprints(t: Tables) -> DataFrame:
     m = _members(t)
     found = S.families(S.pairs_above(m, 0.17))

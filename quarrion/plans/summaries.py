@@ -246,7 +246,7 @@ def m02_compare_and_set(t: Tables) -> DataFrame:
 
 @query("WITH r AS (SELECT o_orderkey, o_orderstatus, o_orderstatus = 'O' AND row_number() OVER (PARTITION BY o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey) <= 25 AS hit FROM orders) SELECT o_orderkey, CASE WHEN hit AND o_orderkey % 2 = 0 THEN 'F' WHEN hit THEN 'R' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN hit AND o_orderkey % 2 = 1 THEN 't1' END AS token FROM r")
 def m03_claim_with_token(t: Tables) -> DataFrame:
-    taken = M.claimed(t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate"), F.col("o_orderstatus") == "O", [F.col("o_orderdate"), F.col("o_orderkey")], "t1", 25, "o_orderstatus", "R")
+    taken = M.claimed(t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate"), F.col("o_orderstatus") == "O", "o_orderkey", [F.col("o_orderdate"), F.col("o_orderkey")], "t1", 25, "o_orderstatus", "R")
     good = taken.where("token = 't1' and o_orderkey % 2 = 0").select("o_orderkey", "token", F.lit("F").alias("outcome"))
     stale = taken.where("token = 't1' and o_orderkey % 2 = 1").select("o_orderkey", F.lit("t0").alias("token"), F.lit("F").alias("outcome"))
     return M.finished(taken, good.unionByName(stale), "o_orderkey", "o_orderstatus").select("o_orderkey", "o_orderstatus", "token")

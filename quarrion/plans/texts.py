@@ -20,6 +20,11 @@ def e01_urls(t: Tables) -> DataFrame:
     return E.found(t.pages.withColumn("t", text), ["page_id"], "t", E.URL)
 
 
+@query()
+def e02_bounded_emails(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.explode(E.emails("text")).alias("value"))
+
+
 @query(_EMAILS)
 def e02_emails(t: Tables) -> DataFrame:
     return E.found(t.documents, ["doc_id", "source"], "text", E.EMAIL)
@@ -210,6 +215,14 @@ def s10_read_policy(t: Tables) -> DataFrame:
     return t.pages.select("page_id", ((F.length("html") <= 20000) & ~F.endswith("url", F.lit(".png"))).alias("kept"))
 
 
+@query("SELECT page_id, name, NOT regexp_matches(lower(name), '[.](?:png|jpe?g|gif|webp|bmp|ico|tiff?|hei[cf]|mp[34]|m4a|aac|wav|ogg|flac|avi|mov|mkv|webm|[to]tf|woff2?)$') AND size <= CASE WHEN regexp_matches(name, '[.](?:java|kt|xml|json|properties|txt|js|html|gradle|smali)$') THEN 1048576 ELSE 67108864 END AS wanted FROM (SELECT page_id, 'page' || page_id || '.' || unnest(['html', 'PNG', 'apk', 'svg', 'heif', 'txt', 'pdf', 'css']) AS name, strlen(html) * 100 AS size FROM pages)")
+def s10_worth_reading(t: Tables) -> DataFrame:
+    """Which of eight files a page, a hundred times as long as its html, are worth a scan."""
+    endings = F.explode(F.array(*map(F.lit, ("html", "PNG", "apk", "svg", "heif", "txt", "pdf", "css"))))
+    named = t.pages.select("page_id", endings.alias("e"), (F.octet_length("html") * 100).alias("size")).withColumn("name", F.concat(F.lit("page"), "page_id", F.lit("."), "e"))
+    return named.select("page_id", "name", E.worth_reading("name", "size").alias("wanted"))
+
+
 @query("SELECT page_id, md5(html) AS digest, strlen(html) AS length, lower(regexp_extract(url, '^([a-z]+)://', 1)) AS scheme FROM pages WHERE strlen(html) <= 524288000")
 def s22_digest_and_cap(t: Tables) -> DataFrame:
     return t.pages.where(F.octet_length("html") <= 500 << 20).select("page_id", F.md5("html").alias("digest"), F.octet_length("html").cast("long").alias("length"), N.url_part("url", "PROTOCOL").alias("scheme"))

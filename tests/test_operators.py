@@ -196,3 +196,52 @@ def test_fingerprints_need_named_groups(spark):
     known = [E.Fingerprint("sdk", ("com.sdk",), None, (r"app_id=(?P<app_id>\d+)",))]
     assert [r.t for r in E.products(df, ["t"], "t", known).collect()] == ["app_id=12 com.sdk.A"]
     assert [(r.name, r.value) for r in E.credentials(df, ["t"], "t", known).collect()] == [("app_id", "12")]
+
+
+def test_emails(spark):
+    texts = ["write to a.b@mail.example.org, or x@y", "a@b.com.", "(me+x@sub.host.co) %bad@x.org", "a@b@c.org", "x" * 33 + "@a.org", "ok@" + "d" * 30 + ".org", "_u@xn--a.xn--p1ai;", "a..b@c.org", "q@-a.org r@a-.org s@a-b.org"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.v for r in df.select(E.emails("t").alias("v")).collect()] == [["a.b@mail.example.org"], [], ["me+x@sub.host.co"], ["b@c.org"], [], [], ["_u@xn--a.xn--p1ai"], [], ["s@a-b.org"]]
+
+
+def test_phones_stand_alone(spark):
+    df = spark.createDataFrame([("13812345678 _13912345678 13712345678_ a13612345678 (13512345678) 138123456789",)], "t string")
+    assert [r.value for r in E.found(df, [], "t", E.PHONE).collect()] == ["13812345678", "13512345678"]
+
+
+def test_strict_groups_of_all_conversations(spark, sf_dir):
+    rows = {(r.conv_id % 5, r.conv_id, r.role) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    want = set()
+    for family in range(5):
+        left = {(n, f) for k, n, f in rows if k == family}
+        while left:
+            counts = Counter(f for _, f in left)
+            anchor = min(counts, key=lambda f: (-counts[f], f))
+            if counts[anchor] < 2:
+                break
+            taken = {n for n, f in left if f == anchor}
+            want |= {(family, n, anchor) for n in taken}
+            left = {(n, f) for n, f in left if n not in taken}
+    got = catalog.QUERIES["g10_strict_groups"](spark, sf_dir).collect()
+    assert {(r.family, r.node, r.anchor) for r in got} == want and len(got) == len(want)
+
+
+def test_staged_families_of_all_suppliers(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_quantity").collect()
+    stages = [{}, {}]
+    for r in lines:
+        for stage, wanted, parts in ((0, r.l_quantity >= 45, 400), (1, r.l_quantity < 3, 300)):
+            if wanted:
+                stages[stage].setdefault(r.l_suppkey, set()).add(r.l_partkey % parts)
+    want, placed = set(), set()
+    for name, sets in zip(("first", "second"), stages, strict=True):
+        sets = {n: s for n, s in sets.items() if n not in placed}
+        found = {}
+        for n, top in brute_components([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.17 * len(sets[a] | sets[b])]).items():
+            found.setdefault(top, set()).add(n)
+        for top, nodes in found.items():
+            if len(nodes) >= 3:
+                want |= {(n, name, top, len(nodes)) for n in nodes}
+                placed |= nodes
+    got = catalog.QUERIES["g17_staged_families"](spark, sf_dir).collect()
+    assert {(r.node, r.stage, r.family, r["size"]) for r in got} == want
