@@ -3,11 +3,15 @@
 Every response gives two records that refer to it: a ``metadata`` record (warc-fields: source
 headers, digests, title and outlink count) and a ``conversion`` record with the text. Identifiers are
 UUIDs made from the source's identifier, so a second run writes the same records. Digests are
-SHA-256 in hex. All of it is DataFrame expressions; nothing is shuffled.
+SHA-256 in hex. Nothing is shuffled, and all but rare character references is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +21,12 @@ SOFTWARE = "quarrion warc derivatives"
 
 #: Regular expressions (Java and RE2 alike) and replacements that turn HTML into text lines: markup, then character references, then blanks, in this order.
 MARKUP = (
-    (r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>|title\b[^>]*>.*?</title\s*>)", ""),
+    (r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z)|title\b[^>]*>.*?(?:</title\s*>|\z))", ""),
     (r"[\s]{2,}|[\t\n\r\f]", " "),
     (r"(?i)</?(p|div|h[1-6]|li|ul|ol|tr|table|td|th|br|hr|article|section|main|nav|header|footer|aside|blockquote|pre|form|dl|dt|dd|body|html|head)\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
 )
+#: The usual references; a text with any other one has all of its references decoded together.
 REFERENCES = ((r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;", "'"), (r"&copy;", "©"), (r"&middot;", "·"), (r"&amp;", "&"))
 BLANKS = ((r"\n[ \n]*", "\n"), (r"  +", " "))
 #: At last no line ends with a blank, and the text begins and ends with neither a blank nor a line end.
@@ -29,13 +34,27 @@ LINE_END, ENDS = (" \n", "\n"), (r"^[ \n]+|[ \n]+$", "")
 TEXT_STEPS = (*MARKUP, *REFERENCES, *BLANKS, LINE_END, ENDS)
 
 
-def plain_text(html):
-    """Text lines of an HTML column; a null column gives the empty text."""
-    text = F.coalesce(html, F.lit(""))
+OTHER_REFERENCES = "&(?!(?:" + "|".join(name[1:-1] for name, _ in REFERENCES) + ");)[#A-Za-z]"
+
+
+def _decoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """All named and numeric references as characters, no-break blanks as blanks; null stays null."""
+    for s in texts:
+        yield s.map(lambda t: html.unescape(t).replace("\xa0", " "), na_action="ignore")
+
+
+def plain_text(page):
+    """Text lines of an HTML column, all character references decoded; a null column gives the empty text.
+
+    A script, style, title or comment without an end goes on to the end of the page.
+    """
+    text = F.coalesce(page, F.lit(""))
     for pattern, by in MARKUP:
         text = F.regexp_replace(text, pattern, by)
+    rare = F.pandas_udf(_decoded, "string")(F.when(text.rlike(OTHER_REFERENCES), text))
     for name, by in REFERENCES:  # plain strings, so no regular expression is run
         text = F.replace(text, F.lit(name), F.lit(by))
+    text = F.coalesce(rare, text)
     for pattern, by in BLANKS:
         text = F.regexp_replace(text, pattern, by)
     return F.trim(F.replace(text, *map(F.lit, LINE_END)), F.lit(" \n"))

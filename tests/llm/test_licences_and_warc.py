@@ -3,6 +3,8 @@ import hashlib
 import textwrap
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from quarrion.llm import licences, warc
 
 
@@ -77,3 +79,13 @@ def test_records_refer_to_their_response_and_survive_a_round_trip(spark, tmp_pat
             data = rest[n + 4 :]
     assert sorted(map(str, found)) == sorted(str((r.record_id, r.refers_to, r.target_uri, r.block)) for r in out)
     assert warc.derivatives(responses.limit(0)).collect() == []
+
+
+def test_all_references_are_decoded_once(spark):
+    pages = [
+        ("<p>caf&eacute; &#8217;x&#x2019; &hellip; a&nbsp;b &amp;lt; &lt;b&gt;</p>", "caf\u00e9 \u2019x\u2019 \u2026 a b &lt; <b>"), ("<p>&amp;lt; &quot;q&quot; &copy;</p>", '&lt; "q" \u00a9'),
+        ("a<script>var x = 1;", "a"), ("b<!-- no end <p>x", "b"), ("c<title>t", "c"), (None, ""), ("x &unknown; y", "x &unknown; y"), ("<p>" + "lang &mdash; " * 20_000, ("lang \u2014 " * 20_000).strip()),
+    ]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "i int, html string")
+    got = {r.i: r.t for r in df.select("i", warc.plain_text(F.col("html")).alias("t")).collect()}
+    assert [got[i] for i in range(len(pages))] == [t for _, t in pages]
