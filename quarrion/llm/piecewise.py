@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.llm import words as W
+from quarrion.storage import checkpointed
 
 #: Bytes of the rolling hash, chunks aimed at, and block sizes after which a chunk ends in any case.
 ROLL, LETTERS, LONGEST = 7, 64, 4
@@ -144,16 +145,16 @@ def fingerprints(documents: DataFrame, *, ranges: int | None = None) -> DataFram
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if ranges is None:
-        ranges = min(5000, 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.rdd.getNumPartitions()))
+        ranges = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.rdd.getNumPartitions())
     steps = [i / ranges for i in range(1, ranges)] or [0.5]
     cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", steps, 10 * ranges)).first()[0] or []))
     # Ranges count from the largest ids down; null ids are the last one.
     at = F.lit(len(cuts)) - F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("doc_id")))
     rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(at))
-    tops = rows.groupBy("range").agg(F.max("doc_id").alias("top")).withColumnRenamed("range", "r")  # one row a range
+    tops = checkpointed(rows.groupBy("range").agg(F.max("doc_id").alias("top")).withColumnRenamed("range", "r"))  # one row a range
     heads = rows.join(F.broadcast(tops), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("range").agg(F.min("text").alias("text"))
-    order = Window.orderBy("range")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    closing = heads.select("range", F.lit(True).alias("closing"), F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.lead("text").over(order), F.first("text").over(whole)).alias("text"))
+    order = Window.orderBy("r")  # numbers of the ranges alone; texts are joined to them
+    follows = tops.select("r", F.coalesce(F.lead("r").over(order), F.first("r").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("range"))
+    closing = heads.join(F.broadcast(follows), "range").select(F.col("r").alias("range"), F.lit(True).alias("closing"), F.lit(None).cast("long").alias("doc_id"), "text")
     every = rows.select("range", F.lit(False).alias("closing"), "doc_id", "text").unionByName(closing)
     return every.repartition("range").sortWithinPartitions("range", "closing", F.col("doc_id").desc_nulls_last(), "text").mapInArrow(_along, _DDL)
