@@ -6,7 +6,8 @@ parent domain holds at its fetch time; the longest such domain is reported.
 
 The as-of join cuts time into buckets and works on pairs (domain, bucket): intervals and captures of
 a bucket are ordered together, and the last interval before a bucket is carried into it. A host that
-has a third of all captures is thus spread over all its buckets. Only DataFrame expressions are used.
+has a third of all captures is thus spread over all its buckets. Domains that no entry lists, bare top-level
+ones above all, are sifted out before anything is ordered. Only DataFrame expressions are used.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Seconds of a bucket.
 BUCKET = 3600
+#: Listed domains (some 50 bytes each) up to which they are broadcast to sift the captures' domains.
+MOST_BROADCAST = 1_000_000
 
 
 def host_of(url):
@@ -58,8 +61,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", at: s
     added = ("host", "blocked", "matched", "since", "until")
     own = captures.drop(*added).withColumn("host", host_of(F.col(url)))
     asked = own.select("host", F.col(at).cast("timestamp").alias("t")).where("host <> '' and t is not null").distinct()
-    keyed = asked.select("host", "t", F.explode(suffixes(F.col("host"))).alias("domain")).withColumn("bucket", _bucket("t", bucket))
     listed = intervals(entries, bucket).withColumn("bucket", _bucket("since", bucket))
+    known = entries.where("listed").select(F.lower("domain").alias("domain")).distinct()
+    if known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        known = F.broadcast(known)
+    keyed = asked.select("host", "t", F.explode(suffixes(F.col("host"))).alias("domain")).join(known, "domain", "left_semi").withColumn("bucket", _bucket("t", bucket))
     # Last interval that began before each bucket in which something is asked.
     ends = listed.groupBy("domain", "bucket").agg(F.max(F.struct("since", "until")).alias("last"))
     cells = keyed.select("domain", "bucket").distinct().withColumn("last", F.lit(None).cast(ends.schema["last"].dataType)).unionByName(ends).groupBy("domain", "bucket").agg(F.max("last").alias("last"))
