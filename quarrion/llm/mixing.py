@@ -138,12 +138,14 @@ def _spend(rows: DataFrame, need: DataFrame, most: int, large_first: bool, few:
     """
     if large_first:
         bucket, order = F.pmod("hash", F.lit(BUCKETS)) - F.floor(F.log2(F.greatest("words", F.lit(1)))) * BUCKETS, ["hash", "doc_id", "size"]
-    else:
-        bucket, order = F.least(F.floor(F.col("turn") * (BUCKETS // 2)), F.lit(BUCKETS - 1)), ["turn", "hash", "doc_id", "size"]
-    open_rows = _with_source(rows, need, "hash", few).withColumn("can", (F.col("base") + F.col("extra") < most) & (F.col("words") > 0) & (F.col("words") <= F.col("need"))).withColumn("bucket", bucket.cast("long"))
+    else:  # a turn beyond 2 has few copies to hope for, but a source may consist of such: they are spread by its logarithm
+        by_turn = F.when(F.col("turn") < 2, F.floor(F.col("turn") * (BUCKETS // 2))).otherwise(BUCKETS + F.floor((F.log2("turn") - 1) * (BUCKETS // 4)))
+        bucket, order = F.when(F.col("can"), by_turn).otherwise(F.pmod("hash", F.lit(BUCKETS))), ["turn", "hash", "doc_id", "size"]
+    can = (F.col("base") + F.col("extra") < most) & (F.col("words") > 0) & (F.col("words") <= F.col("need"))
+    open_rows = _with_source(rows, need, "hash", few).withColumn("can", can).withColumn("bucket", bucket.cast("long"))
     words = F.when(F.col("can"), F.col("words")).otherwise(0)
     sums = open_rows.groupBy("key", "bucket").agg(F.sum(words).alias("sum"))
-    ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows a source, times the powers of two of sizes at most
+    ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # some thousand rows a source: BUCKETS times the powers of two of turns or sizes at most
     starts = sums.select("key", "bucket", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("start"))
     inside = Window.partitionBy("key", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = open_rows.join(starts, ["key", "bucket"]).withColumn("upto", F.col("start") + F.sum(words).over(inside))
