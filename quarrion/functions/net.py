@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,3 +117,31 @@ def is_static_response(content_type: Column | str, url: Column | str) -> Column:
     by_type = F.startswith(kind, F.lit("image/")) | F.startswith(kind, F.lit("font/")) | F.startswith(kind, F.lit("audio/")) | F.startswith(kind, F.lit("video/")) | kind.isin("text/css", "text/javascript", "application/javascript", "application/font-woff")
     by_name = ending.isin("png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "css", "js", "woff", "woff2", "ttf", "mp4", "mp3")
     return F.when(kind.isin("", "application/octet-stream"), F.coalesce(by_name, F.lit(False))).otherwise(by_type)
+
+
+def header_map(c: Column | str) -> Column:
+    """Header lines as a map: names in lower case, values of a repeated name joined by a comma and a blank; other lines give nothing."""
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    split = lambda x: F.struct(F.lower(bare(F.substring_index(x, ":", 1))).alias("n"), bare(F.substring(x, F.locate(":", x) + 1, F.length(x))).alias("v"))
+    lines = F.filter(F.split(col(c), r"\r?\n"), lambda x: F.contains(x, F.lit(":")))
+    pairs = F.filter(F.transform(lines, split), lambda p: p["n"] != "")
+    names = F.array_distinct(F.transform(pairs, lambda p: p["n"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(F.filter(pairs, lambda p: p["n"] == n), lambda p: p["v"]), ", ")))
+
+
+def header_number(headers: Column, name: str) -> Column:
+    """A header as a whole number, the first of a repeated one; null for anything else."""
+    return F.trim(F.substring_index(F.try_element_at(headers, F.lit(name)), ",", 1)).try_cast("long")
+
+
+def in_ranges(rows: DataFrame, number: str, ranges: DataFrame, cell_bits: int = 16) -> DataFrame:
+    """rows with the columns of the range (low, high, ...) that holds their number, nulls where there is none.
+
+    Ranges do not overlap. Each is listed under all cells of 2**cell_bits numbers that it touches, so the two tables
+    meet in an equi-join on the cell; the whole of IPv4 has 65536 cells.
+    """
+    cell = lambda c: F.shiftright(F.col(c).cast("long"), cell_bits)
+    listed = ranges.select("*", F.explode(F.sequence(cell("low"), cell("high"))).alias("_cell"))
+    keyed = rows.withColumn("_at", cell(number))
+    on = (keyed["_at"] == listed["_cell"]) & (keyed[number] >= listed["low"]) & (keyed[number] <= listed["high"])
+    return keyed.join(listed, on, "left").drop("_at", "_cell")

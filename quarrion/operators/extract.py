@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +50,59 @@ def emails(text: Column | str) -> Column:
     return F.filter(F.zip_with(local, domain, lambda x, y: F.concat(x, F.lit("@"), y)), lambda v: v.rlike(EMAIL_FORM))
 
 
+def script_value(text: Column, name: str) -> Column:
+    """The JSON value that a script assigns to a variable, as JSON text; null without one. What follows the value is not read."""
+    assigned = re.compile(rf"\b(?:var\s+)?{re.escape(name)}\s*=\s*")
+
+    def value(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(t: str) -> str | None:
+            if not (m := assigned.search(t)):
+                return None
+            try:
+                return json.dumps(json.JSONDecoder().raw_decode(t, m.end())[0], ensure_ascii=False)
+            except json.JSONDecodeError:
+                return None
+
+        for s in texts:
+            yield s.map(one, na_action="ignore")
+
+    return F.pandas_udf(value, "string")(F.when(F.contains(text, F.lit(name)), text))
+
+
+# Start and multiplier of the fold of token hashes, modulo 2**64.
+FOLD_START, FOLD_MULT = 0xCBF29CE484222325, 0x9E3779B185EBCA87
+
+
+def gram_hashes(tokens: Column, n: int = 4) -> Column:
+    """The distinct hashes of every n consecutive tokens (trimmed, in capitals, blanks left out), as signed numbers in order.
+
+    A token's hash is its BLAKE2b digest of 8 bytes; a run folds them as value * FOLD_MULT xor hash.
+    """
+
+    def hashed(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+
+        def of(token: str) -> int:
+            if token not in known:
+                known[token] = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "ignore"), digest_size=8).digest(), "big")
+            return known[token]
+
+        def runs(given) -> list[int]:
+            h = np.array([of(t) for t in (str(x or "").strip().upper() for x in given) if t], dtype=np.uint64)
+            if len(h) < n:
+                return []
+            fold = np.full(len(h) - n + 1, FOLD_START, dtype=np.uint64)
+            for i in range(n):
+                fold = fold * np.uint64(FOLD_MULT) ^ h[i : len(h) - n + 1 + i]
+            return np.sort(np.unique(fold).view(np.int64)).tolist()
+
+        for s in lists:
+            known.clear()
+            yield s.map(runs, na_action="ignore")
+
+    return F.pandas_udf(hashed, "array<bigint>")(tokens)
+
+
 def worth_reading(name: Column | str, length: Column | str) -> Column:
     """False for media files, texts and blobs beyond their limits; evaluated before contents are read."""
     ending = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))

@@ -62,6 +62,26 @@ def request_pairs(messages: DataFrame, key: str, order: str, kind: str, request:
     return out.select(key, "transaction", *(F.col(f"q.{c}").alias(f"request_{c}") for c in (order, *carry)), *(F.col(f"r.{c}").alias(f"response_{c}") for c in (order, *carry)), "n_responses", F.col("r").isNotNull().alias("complete"))
 
 
+def answers_by_frame(messages: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(request, response, carry) of rows (kind, frame, request_frame): a response names the frame of its request; unanswered requests stay.
+
+    Of several responses to one frame the first counts.
+    """
+    asked = messages.where("kind = 'request'").select(F.col("frame").alias("request"), *carry)
+    said = messages.where("kind = 'response'").groupBy(F.col("request_frame").alias("request")).agg(F.min("frame").alias("response"))
+    return asked.join(said, "request", "left")
+
+
+def data_by_stream(messages: DataFrame) -> DataFrame:
+    """(request, n_data, n_bytes) of rows (kind, frame, stream, stream_id, size): data frames belong to the request of their stream and id.
+
+    A stream and id have one request; without data its counts are 0, data without a request are left out.
+    """
+    asked = messages.where("kind = 'request'").groupBy("stream", "stream_id").agg(F.min("frame").alias("request"))
+    data = messages.where("kind = 'data'").groupBy("stream", "stream_id").agg(F.count("*").alias("n_data"), F.sum("size").alias("n_bytes"))
+    return asked.join(data, ["stream", "stream_id"], "left").select("request", F.coalesce("n_data", F.lit(0)).alias("n_data"), F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"))
+
+
 def sliding(rows: DataFrame, key: str, order: str, value: str, n: int = 4) -> DataFrame:
     """Every run of n consecutive values of a key, joined by blanks; short ends give none."""
     at = Window.partitionBy(key).orderBy(order)

@@ -144,6 +144,15 @@ def j18_update_join(t: Tables) -> DataFrame:
     return e.join(t.customer.select("c_custkey"), F.col("c_custkey") == F.col("user_id"), "left").select("event_id", F.coalesce("owner", "c_custkey").alias("owner"))
 
 
+@query("SELECT o_orderkey, CASE WHEN c_nationkey = 7 AND o_orderstatus = 'O' THEN 'seen' ELSE o_orderpriority END AS mark, c_nationkey = 7 AND o_orderstatus = 'O' AS changed FROM orders JOIN customer ON c_custkey = o_custkey")
+def j19_owned_update(t: Tables) -> DataFrame:
+    """Open orders are marked only where their customer belongs to the acting nation."""
+    from quarrion.operators.transitions import set_where
+
+    rows = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").withColumn("mark", F.col("o_orderpriority"))
+    return set_where(rows, (F.col("c_nationkey") == 7) & (F.col("o_orderstatus") == "O"), {"mark": "seen"}).select("o_orderkey", "mark", "changed")
+
+
 @query("SELECT c_custkey, (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS latest FROM customer")
 def j20_scalar_subquery(t: Tables) -> DataFrame:
     latest = t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest"))

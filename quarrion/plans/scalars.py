@@ -281,3 +281,16 @@ def f45_metadata_checks(t: Tables) -> DataFrame:
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def f46_json_extract(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT page_id, unnest(['host', 'x-part', 'content-length']) AS name, unnest([regexp_extract(url, '://([^/?#]*)', 1), '1, ' || (page_id % 7), CAST(strlen(html) AS VARCHAR)]) AS value, strlen(html) AS content_length FROM pages")
+def f41_header_map(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("GET / HTTP/1.1\r\nHost: "), F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("\r\nX-Part:1\r\n x-part :  "), (F.col("page_id") % 7).cast("string"), F.lit(" \r\n: none\nContent-Length: "), F.octet_length("html").cast("string"))
+    found = t.pages.select("page_id", N.header_map(text).alias("h"))
+    return found.select("page_id", F.explode("h").alias("name", "value"), N.header_number(F.col("h"), "content-length").alias("content_length"))
+
+
+@query("SELECT s_suppkey, n_name AS name FROM supplier LEFT JOIN nation ON s_suppkey * 7919 % 40000 BETWEEN n_nationkey * 1500 + 200 AND n_nationkey * 1500 + 1200")
+def s15_range_lookup(t: Tables) -> DataFrame:
+    ranges = t.nation.select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 1500 + 200).alias("low"), (F.col("n_nationkey") * 1500 + 1200).alias("high"))
+    return N.in_ranges(t.supplier.select("s_suppkey", (F.col("s_suppkey") * 7919 % 40000).alias("number")), "number", ranges, 8).select("s_suppkey", "name")

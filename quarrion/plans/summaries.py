@@ -296,3 +296,23 @@ def m10_health(t: Tables) -> DataFrame:
     rows = t.supplier.select("s_suppkey", "s_acctbal", F.when(F.col("s_suppkey") % 10 == 0, "busy").otherwise("online").alias("status"))
     probe = t.supplier.where("s_suppkey % 7 <> 0").select("s_suppkey", F.lit(True).alias("reachable"), (F.col("s_acctbal") >= 0).alias("healthy"))
     return M.health(rows, probe, "s_suppkey").select("s_suppkey", "status")
+
+
+def _messages(t: Tables) -> DataFrame:
+    """Turns as frames of a capture: users ask, assistants answer the turn before, and every third answer is data of the first turn's stream."""
+    frame = F.col("conv_id") * 1000 + F.col("turn")
+    kind = F.when(F.col("role") == "user", "request").when(F.col("turn") % 3 == 2, "data").otherwise("response")
+    return t.conversations.select(kind.alias("kind"), frame.alias("frame"), (frame - 1).alias("request_frame"), F.col("conv_id").alias("stream"), F.floor(F.col("turn") / 4).alias("stream_id"), F.octet_length("text").cast("long").alias("size"))
+
+
+_MESSAGES = "m AS (SELECT CASE WHEN role = 'user' THEN 'request' WHEN turn % 3 = 2 THEN 'data' ELSE 'response' END AS kind, conv_id * 1000 + turn AS frame, conv_id AS stream, turn // 4 AS stream_id, strlen(text) AS size FROM conversations)"
+
+
+@query(f"WITH {_MESSAGES} SELECT q.frame AS request, min(r.frame) AS response, q.stream FROM m q LEFT JOIN m r ON r.kind = 'response' AND r.frame - 1 = q.frame WHERE q.kind = 'request' GROUP BY q.frame, q.stream")
+def j12_answers_by_frame(t: Tables) -> DataFrame:
+    return I.answers_by_frame(_messages(t), ["stream"])
+
+
+@query(f"WITH {_MESSAGES}, q AS (SELECT stream, stream_id, min(frame) AS request FROM m WHERE kind = 'request' GROUP BY 1, 2) SELECT request, count(d.frame) AS n_data, coalesce(sum(d.size), 0) AS n_bytes FROM q LEFT JOIN m d ON d.kind = 'data' AND d.stream = q.stream AND d.stream_id = q.stream_id GROUP BY request")
+def j12_data_by_stream(t: Tables) -> DataFrame:
+    return I.data_by_stream(_messages(t))

@@ -226,3 +226,19 @@ def s10_worth_reading(t: Tables) -> DataFrame:
 @query("SELECT page_id, md5(html) AS digest, strlen(html) AS length, lower(regexp_extract(url, '^([a-z]+)://', 1)) AS scheme FROM pages WHERE strlen(html) <= 524288000")
 def s22_digest_and_cap(t: Tables) -> DataFrame:
     return t.pages.where(F.octet_length("html") <= 500 << 20).select("page_id", F.md5("html").alias("digest"), F.octet_length("html").cast("long").alias("length"), N.url_part("url", "PROTOCOL").alias("scheme"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'p/' || page_id END AS page, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN 'tab' END AS tab FROM pages")
+def f44_script_configuration(t: Tables) -> DataFrame:
+    """Pages named by a configuration that a script assigns; every third has none that can be read."""
+    page = F.concat(F.lit("p/"), F.col("page_id").cast("string"))
+    tab = F.when(F.col("page_id") % 3 == 1, ', "tabBar": {"list": [{"pagePath": "tab"}]}').otherwise("")
+    text = F.when(F.col("page_id") % 3 == 0, "var __uniConfig = {broken").otherwise(F.concat(F.lit('x=1;var __uniConfig ={"pages": ["'), page, F.lit('"]'), tab, F.lit("};function f(){}")))
+    found = F.from_json(E.script_value(text, "__uniConfig"), "pages array<string>, tabBar struct<list: array<struct<pagePath: string>>>")
+    return t.pages.select("page_id", found.alias("c")).select("page_id", F.get("c.pages", F.lit(0)).alias("page"), F.get("c.tabBar.list.pagePath", F.lit(0)).alias("tab"))
+
+
+@query()
+def f31_gram_hashes(t: Tables) -> DataFrame:
+    words = t.documents.select("doc_id", F.split("text", r"\s+").alias("w"))
+    return words.select("doc_id", F.size(E.gram_hashes(F.col("w"))).alias("n"), F.array_min(E.gram_hashes(F.col("w"))).alias("least"))

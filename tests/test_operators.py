@@ -245,3 +245,21 @@ def test_staged_families_of_all_suppliers(spark, sf_dir):
                 placed |= nodes
     got = catalog.QUERIES["g17_staged_families"](spark, sf_dir).collect()
     assert {(r.node, r.stage, r.family, r["size"]) for r in got} == want
+
+
+def test_gram_hashes(spark):
+    import hashlib
+
+    lists = [["add", " Sub", "", "mul", "ret", "add", "sub", "mul", "ret"], ["a", "b", "c"], None, []]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, t array<string>")
+    got = {r.i: r.h for r in df.select("i", E.gram_hashes(F.col("t")).alias("h")).collect()}
+    one = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
+    tokens = ["ADD", "SUB", "MUL", "RET", "ADD", "SUB", "MUL", "RET"]
+    want = set()
+    for i in range(len(tokens) - 3):
+        v = 0xCBF29CE484222325
+        for t in tokens[i : i + 4]:
+            v = (v * 0x9E3779B185EBCA87 ^ one(t)) % 2**64
+        want.add(v - 2**64 if v >= 2**63 else v)
+    assert got == {0: sorted(want), 1: [], 2: None, 3: []}
+    assert len(want) == 4

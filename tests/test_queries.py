@@ -18,7 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 #: Queries without SQL, and the brute-force version or known answer that holds their operator.
 TESTED_ELSEWHERE = {
-    "e02_bounded_emails": "test_operators.py::test_emails", "g05_first_rule_links": "test_families.py::test_first_links_match_all_pairs", "g09_two_core": "test_operators.py::test_two_core_of_all_orders",
+    "f31_gram_hashes": "test_operators.py::test_gram_hashes", "e02_bounded_emails": "test_operators.py::test_emails", "g05_first_rule_links": "test_families.py::test_first_links_match_all_pairs", "g09_two_core": "test_operators.py::test_two_core_of_all_orders",
     "g10_strict_groups": "test_operators.py::test_strict_groups_of_all_conversations", "g10_strict_component_groups": "test_families.py::test_strict_groups",
     "g11_merged_families": "test_families.py::test_families_merge_while_their_cores_share", "g14_divided_again": "test_families.py::test_weak_families_are_divided_again",
     "g16_component_families": "test_families.py::test_one_family_among_strangers", "g16_run_counts": "test_families.py::test_one_family_among_strangers",
