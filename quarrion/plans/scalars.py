@@ -126,10 +126,9 @@ def f10_list_decode(t: Tables) -> DataFrame:
     return t.events.select("event_id", X.decoded_list(F.when(F.col("event_id") % 2 == 0, json).otherwise(text)).alias("items"))
 
 
-@query("SELECT doc_id, list_filter(list_transform(string_split(left(text, 120), ','), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents WHERE NOT contains(left(text, 120), chr(10)) AND NOT contains(left(text, 120), chr(9))")
+@query("SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents")
 def f11_comma_split(t: Tables) -> DataFrame:
-    head = F.left("text", F.lit(120))
-    return t.documents.where(~F.contains(head, F.lit("\n")) & ~F.contains(head, F.lit("\t"))).select("doc_id", X.pieces(head).alias("items"))
+    return t.documents.select("doc_id", X.pieces("text").alias("items"))
 
 
 @query("SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(text, '[,\\s]+'), lambda x: x <> ''))) AS n FROM documents")
@@ -194,9 +193,9 @@ def f24_days_back(t: Tables) -> DataFrame:
     return t.events.where(F.to_date("ts") >= F.date_sub(F.lit("2024-01-30").cast("date"), 6)).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.2f B', n_chars::DOUBLE) ELSE printf('%.2f KB', n_chars / 1024.0) END AS label FROM documents WHERE n_chars < 1048576")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.2f B', n_chars::DOUBLE) WHEN n_chars < 1048576 THEN printf('%.2f KB', n_chars / 1024.0) ELSE printf('%.2f MB', n_chars / 1048576.0) END AS label FROM documents")
 def f25_size_label(t: Tables) -> DataFrame:
-    return t.documents.where("n_chars < 1048576").select("doc_id", X.size_label("n_chars").alias("label"))
+    return t.documents.select("doc_id", X.size_label("n_chars").alias("label"))
 
 
 @query("SELECT event_id, event_id % 4 < 2 AS yes FROM events")

@@ -113,9 +113,9 @@ def a17_outer_explode(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.explode_outer(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{9,}"), F.lit(0))).alias("credential"))
 
 
-@query("SELECT doc_id, list_filter(string_split(left(text, 200), ' '), lambda x: length(x) > 8) AS dangerous, len(list_filter(string_split(left(text, 200), ' '), lambda x: length(x) <= 8)) AS normal FROM documents")
+@query("SELECT doc_id, list_filter(string_split(text, ' '), lambda x: length(x) > 8) AS dangerous, len(list_filter(string_split(text, ' '), lambda x: length(x) <= 8)) AS normal FROM documents")
 def a18_split_list(t: Tables) -> DataFrame:
-    w = F.split(F.left("text", F.lit(200)), " ")
+    w = F.split("text", " ")
     return t.documents.select("doc_id", F.filter(w, lambda x: F.length(x) > 8).alias("dangerous"), F.size(F.filter(w, lambda x: F.length(x) <= 8)).cast("long").alias("normal"))
 
 

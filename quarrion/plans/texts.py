@@ -48,16 +48,16 @@ def e05_only_dull_sources(t: Tables) -> DataFrame:
     return E.not_only_from(m, ["value"], "source", ["[0-4]$"]).select("value", "source")
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))")
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def e06_located_values(t: Tables) -> DataFrame:
-    """Which documents hold the opening of a benchmark item: an equi-join on its first words, then the exact test."""
-    head = t.benchmark.select("item_id", F.left("text", F.lit(60)).alias("head"))
+    """Which documents hold a whole benchmark item: an equi-join on its second to fourth words, then the exact test."""
+    head = t.benchmark.select("item_id", F.col("text").alias("head"))
     key = F.array_join(F.slice(F.regexp_extract_all("head", F.lit(r"[^ \n]+"), F.lit(0)), 1, 4), " ")
     words = F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 4), " "))
-    # The text may hold the head with other line ends inside a word gap, so the last test is the exact one; a head can also begin inside a word.
-    ends = F.transform(grams, lambda g: F.substring_index(g, " ", -3))
-    left = t.documents.select("doc_id", "text", F.explode(F.array_distinct(ends)).alias("key"))
+    later = lambda n: F.slice(words, F.lit(n), F.greatest(F.size(words), F.lit(1)))
+    # The text may hold an item with other line ends inside a word gap, so the last test is the exact one; an item can also begin inside a word.
+    ends = F.zip_with(F.zip_with(words, later(2), lambda x, y: F.concat(x, F.lit(" "), y)), later(3), lambda x, y: F.concat(x, F.lit(" "), y))
+    left = t.documents.select("doc_id", "text", F.explode(F.array_distinct(F.array_compact(ends))).alias("key"))
     right = head.select("item_id", "head", F.substring_index(key, " ", -3).alias("key"))
     return left.join(right, "key").where(F.contains("text", F.col("head"))).select("doc_id", "item_id").distinct()
 
