@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrion.llm import factorization, forest, mixing, substring, winnowing
+from quarrion.storage import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,20 +53,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written and read again in the shared checkpoint folder."""
+    """All stages over the documents; each result is written and read again in the shared checkpoint folder.
+
+    A stage's table goes when its successor's has been written; that of the last but one stays, as the result reads it.
+    """
     docs = _table(spark, sf_dir, "documents")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = _stored(spark, docs, name)
+            path = f"{shared_folder(spark)}/pipeline-{uuid4().hex}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                _delete(spark, before)
+            before = path
     return docs
 
 
-def _stored(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    from uuid import uuid4
-
-    from quarrion.storage import shared_folder
-
-    path = f"{shared_folder(spark)}/pipeline-{uuid4().hex}-{name}"
-    docs.write.parquet(path)
-    return spark.read.parquet(path)
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
