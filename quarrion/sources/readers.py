@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrion.functions.text import blank_to_null
-from quarrion.operators.extract import worth_reading
+from quarrion.operators.extract import Fingerprint, worth_reading
 
 #: Columns of the tab-separated dissector output, in order (fixed values).
 PACKET_FIELDS = (
@@ -85,3 +87,33 @@ def allow_list(spark: SparkSession, path: str) -> DataFrame:
 
 def tsv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     return spark.read.option("sep", "\t").schema(", ".join(f"{c} string" for c in columns)).csv(path)
+
+
+def fingerprints(spark: SparkSession, path: str) -> list[Fingerprint]:
+    """The product fingerprints of a JSON file, a list of objects (product, prefixes, recognised_by, credentials).
+
+    A file that breaks a rule is an error that names the entry: products are given once, in small letters, digits,
+    ``_``, ``.`` or ``-``; an entry has prefixes or a pattern; patterns can be compiled, those of credentials have named groups.
+    """
+    entries = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # a dimension of some kilobytes
+    if not isinstance(entries, list) or not entries:
+        raise ValueError("a list of fingerprints is wanted")
+    out: dict[str, Fingerprint] = {}
+    for number, entry in enumerate(entries, start=1):
+        fail = lambda why: ValueError(f"fingerprint {number}: {why}")  # noqa: B023, E731
+        product = entry.get("product") if isinstance(entry, dict) else None
+        if not isinstance(product, str) or not re.fullmatch(r"[a-z0-9][a-z0-9_.-]*", product):
+            raise fail("no valid product")
+        if product in out:
+            raise fail(f"{product} is given twice")
+        found = Fingerprint(product, tuple(entry.get("prefixes") or ()), entry.get("recognised_by"), tuple(entry.get("credentials") or ()))
+        if not found.prefixes and not found.recognised_by:
+            raise fail("neither prefixes nor a pattern")
+        try:
+            for pattern in (found.recognised_by or "", *found.credentials):
+                re.compile(pattern)
+            found.groups()
+        except (re.error, ValueError) as why:
+            raise fail(str(why)) from why
+        out[product] = found
+    return list(out.values())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.operators.relational import merged
+from quarrion.storage import checkpointed
 
 
 def replace_partitions(df: DataFrame, path: str, key: str) -> None:
@@ -39,3 +40,22 @@ def report(df: DataFrame, path: str) -> None:
 def backup(df: DataFrame, name: str, columns: Sequence[str]) -> None:
     """Keys and columns of a table as a new table; an existing one is not touched."""
     df.select(*columns).write.mode("errorifexists").saveAsTable(name)
+
+
+def written(df: DataFrame, path: str, changed: str = "changed") -> int:
+    """Writes a table that a transition gave to a new path, without its mark; returns the number of changed rows."""
+    kept = checkpointed(df)
+    kept.drop(changed).write.mode("errorifexists").parquet(path)
+    return kept.where(changed).count()
+
+
+def replace_traces(tables: dict[str, DataFrame], path: str, key: str = "task_id") -> None:
+    """The trace tables of one or more tasks, each below the path under its name; earlier rows of the same tasks are replaced."""
+    for name, rows in tables.items():
+        replace_partitions(rows, f"{path}/{name}", key)
+
+
+def scan_once(df: DataFrame, *collectors) -> list[DataFrame]:
+    """What several collectors make of one scan: it is read once, into a checkpoint that all of them read."""
+    kept = checkpointed(df)
+    return [collect(kept) for collect in collectors]

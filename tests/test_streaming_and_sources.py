@@ -131,3 +131,47 @@ def test_replacing_and_merging(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.table(spark, str(tmp_path / "u")).collect()) == [(1, "a", "x"), (2, "n", "y"), (3, "m", None)]
     sinks.backup(old, "copy_of_old", ["k", "v"])
     assert spark.table("copy_of_old").count() == 2
+
+
+def test_changed_rows_are_counted(spark, tmp_path):
+    from quarrion.operators.transitions import set_where
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "k int, v string")
+    assert sinks.written(set_where(df, F.col("v") == "b", {"v": "c"}), str(tmp_path / "w")) == 2
+    assert sorted(tuple(r) for r in readers.table(spark, str(tmp_path / "w")).collect()) == [(1, "a"), (2, "c"), (3, "c")]
+
+
+def test_traces_replace_those_of_their_tasks(spark, tmp_path):
+    path = str(tmp_path / "traces")
+    for rows in ([(1, "x"), (2, "y")], [(2, "z")]):
+        sinks.replace_traces({"steps": spark.createDataFrame(rows, "task_id int, v string"), "packets": spark.createDataFrame(rows, "task_id int, v string")}, path)
+    for name in ("steps", "packets"):
+        assert sorted((r.task_id, r.v) for r in readers.table(spark, f"{path}/{name}").collect()) == [(1, "x"), (2, "z")]
+
+
+def test_one_scan_for_two_collectors(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    scan = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "i int, t string").mapInArrow(seen, "i int, t string")
+    odd, longest = sinks.scan_once(scan, lambda d: d.where("i % 2 = 1"), lambda d: d.agg(F.max(F.length("t")).alias("n")))
+    assert odd.count() == 10 and longest.first().n == 3 and reads.value == 20
+
+
+def test_fingerprints_are_validated(spark, tmp_path):
+    import pytest
+
+    def read(entries):
+        path = tmp_path / f"f{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(entries, indent=1))
+        return readers.fingerprints(spark, str(path))
+
+    good = {"product": "acme.sdk", "prefixes": ["com.acme"], "credentials": ["key=(?P<key>[0-9a-f]+)"]}
+    assert [(f.product, f.prefixes) for f in read([good, {"product": "b", "recognised_by": "x+"}])] == [("acme.sdk", ("com.acme",)), ("b", ())]
+    for bad in ([], {}, [good, good], [{"product": "Bad Name", "prefixes": ["a"]}], [{"product": "a"}], [{"product": "a", "prefixes": ["b"], "credentials": ["no(group)"]}], [{"product": "a", "recognised_by": "("}]):
+        with pytest.raises(ValueError):
+            read(bad)
