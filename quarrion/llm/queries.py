@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrion.llm import factorization, forest, licences, maintext, mixing, piecewise, substring, urllists, warc, winnowing
+from quarrion.llm import factorization, forest, licences, maintext, mixing, piecewise, sharding, substring, turns, urllists, vectorcodes, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +67,24 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(_table(spark, sf_dir, "embeddings")).drop("rescans")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(_table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_derivatives, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_piecewise_fingerprints,
         op6_temporal_url_lists, op7_source_mixture, op8_minhash_near_dedup, op9_licence_digests, op10_html_main_text,
+        op11_rendezvous_shards, op12_vector_codes, op13_conversation_repair,
     )
 }
 
@@ -154,4 +167,79 @@ SELECT doc.doc_id, len(lines) AS n_lines, sha256(array_to_string(lines, ' ')) AS
 FROM doc LEFT JOIN known ON sha256(array_to_string(lines, ' ')) = digest LEFT JOIN met ON met.doc_id = doc.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_warc_derivatives": _OP1, "op6_temporal_url_lists": _OP6, "op9_licence_digests": _OP9}
+_M64 = (1 << 64) - 1
+
+
+def _hash_sql(source: str, values: list[str], out: str) -> str:
+    """source with the 64-bit xxHash of the values, whole numbers that follow each other with the hash before as seed; nulls are passed over."""
+    m, p = f"{_M64}::UHUGEINT", [f"{x}::UHUGEINT" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
+    rel = f"SELECT *, 42::UHUGEINT AS _h FROM ({source})"
+    for value in values:
+        steps = [
+            f"((({value}::HUGEINT + 18446744073709551616) % 18446744073709551616)::UHUGEINT * {p[1]}) & {m}", f"((((_k << 31) & {m}) | (_k >> 33)) * {p[0]}) & {m}",
+            f"xor((_h + {p[4]} + 8::UHUGEINT) & {m}, _k)", f"((((_k << 27) & {m}) | (_k >> 37)) * {p[0]} + {p[3]}) & {m}",
+            f"(xor(_k, _k >> 33) * {p[1]}) & {m}", f"(xor(_k, _k >> 29) * {p[2]}) & {m}", "xor(_k, _k >> 32)",
+        ]
+        for i, step in enumerate(steps):
+            rel = f"SELECT {'*' if not i else '* EXCLUDE (_k)'}, {step} AS _k FROM ({rel})"
+        rel = f"SELECT * EXCLUDE (_k, _h), CASE WHEN {value} IS NULL THEN _h ELSE _k END AS _h FROM ({rel})"
+    return f"SELECT * EXCLUDE (_h), _h AS {out} FROM ({rel})"
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text, by the halves of its bytes."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    half = lambda c: f"xor({c} >> 4, ({table}::BIGINT[])[1 + ({c} & 15)])"
+    each = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda c, b: {half('(' + half('xor(c, b)') + ')')}), 4294967295)"
+
+
+_OP11 = f"""
+WITH doc AS MATERIALIZED (SELECT doc_id, CAST(strlen(coalesce(text, '')) + {sharding.OVERHEAD} AS BIGINT) AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents),
+key AS (SELECT doc_id, unnest(range({sharding.SHARDS + 1})) AS s FROM (SELECT DISTINCT doc_id FROM doc)),
+score AS ({_hash_sql("SELECT * FROM key", ["doc_id", "s"], "score")}),
+best AS (
+  SELECT doc_id, CAST(arg_max(s, score >> 11) AS INTEGER) AS grown_shard, CAST(arg_max(s, score >> 11) FILTER (s < {sharding.SHARDS}) AS INTEGER) AS shard FROM score GROUP BY doc_id
+), lot AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1) // {sharding.COPIES} AS lot FROM doc),
+place AS ({_hash_sql("SELECT * FROM lot", ["doc_id", "size", "text_crc32", "lot"], "place")})
+SELECT p.doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY (place + 9223372036854775808) & {_M64}::UHUGEINT, p.doc_id NULLS FIRST, size, text_crc32, lot) - 1 AS slot
+FROM place p JOIN best b ON p.doc_id IS NOT DISTINCT FROM b.doc_id
+"""
+
+
+def _assigned_sql(number: int) -> str:
+    """Every part with its nearest entry of the codebooks of a round: the least squared distance, then the lower index."""
+    return f"""near{number} AS MATERIALIZED (
+  SELECT vec_id, label, part, p, min(struct_pack(d := list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - c[i]) * (p[i] - c[i])))::BIGINT, entry := entry)) AS best
+  FROM parts JOIN book{number} USING (part) GROUP BY ALL)"""
+
+
+def _moved_sql(number: int) -> str:
+    return f"""book{number + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{number} b LEFT JOIN (
+    SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT part, best.entry AS entry, i, sum(p[i])::HUGEINT AS total, count(*) AS n FROM near{number}, unnest(range(1, len(p) + 1)) AS u(i) GROUP BY ALL) GROUP BY ALL
+  ) m ON m.part = b.part AND m.entry = b.entry)"""
+
+
+_OP12 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * {vectorcodes.SCALE}) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, label, part, list_slice(v, part * len(v) // {vectorcodes.PARTS} + 1, (part + 1) * len(v) // {vectorcodes.PARTS}) AS p FROM kept, unnest(range({vectorcodes.PARTS})) AS u(part)
+), book0 AS MATERIALIZED (
+  SELECT part, entry, p AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {vectorcodes.ENTRIES}) USING (vec_id)
+), {_assigned_sql(0)}, {_moved_sql(0)}, {_assigned_sql(1)}, {_moved_sql(1)}, {_assigned_sql(2)},
+coded AS (SELECT vec_id, label, string_agg(lpad(lower(hex(best.entry)), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM near2 GROUP BY ALL)
+SELECT vec_id, label, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM coded
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_derivatives": _OP1, "op6_temporal_url_lists": _OP6, "op9_licence_digests": _OP9, "op11_rendezvous_shards": _OP11, "op12_vector_codes": _OP12}
