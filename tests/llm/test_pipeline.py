@@ -171,3 +171,11 @@ def test_sql(spark, sf_dir, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == columns
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(plain(dict(zip(names, r, strict=True))[c]) for c in columns) for r in cur.fetchall())
+
+
+def test_rows_without_an_id_or_with_a_shared_one_keep_what_is_unique(spark, sf_dir):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (None, a), (None, b), (2, a), (2, c)], "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted((r.doc_id or 9, r.text) for r in stages["substring_dedup"](spark, docs, sf_dir).collect()) == [(1, a), (2, c), (9, b)]
+    assert sorted((r.doc_id or 9, r.text) for r in stages["benchmark_decontamination"](spark, docs, sf_dir).collect()) == [(1, a), (2, a), (2, c), (9, a), (9, b)]

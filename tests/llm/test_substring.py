@@ -49,7 +49,7 @@ def test_passes_over_a_large_bucket(spark, monkeypatch):
     rows = corpus(2)
     monkeypatch.setattr(substring, "PASS_WINDOWS", 500)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(90)
-    packed = df.mapInArrow(lambda b: substring._to_buckets(b, 20, 5, 1), "bucket int, local boolean, windows int, block binary")
+    packed = df.selectExpr("doc_id", "0L as t1", "0L as t2", "text").mapInArrow(lambda b: substring._to_buckets(b, 20, 5, 1), "bucket int, local boolean, windows int, block binary")
     table = packed.toArrow()
     assert sum(table.column("windows").to_pylist()) > 5000
     spans = substring._bucket_spans(table, 20).to_pylist()
@@ -77,3 +77,46 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, text), (7, text), (7, text)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_removed) for r in substring.repeat_digests(df).collect())
     assert got == [(-1, 22), (7, 0), (7, 0)]
+
+
+def judged_by_row(rows, k=20):
+    """Per row, in order: removed words. Rows of one id go by the hash of their text; equal rows are one document."""
+    key = lambda r: (substring.NO_ID if r[0] is None else r[0], *r[2:])
+    docs = {key(r): r[1].split() for r in rows}
+    first, gone = {}, {}
+    for d in sorted(docs):
+        for s in range(len(docs[d]) - k + 1):
+            if first.setdefault(tuple(docs[d][s : s + k]), (d, s)) != (d, s):
+                gone.setdefault(d, set()).update(range(s, s + k))
+    return [(r[0], r[1], len(gone.get(key(r), ()))) for r in rows]
+
+
+def hashed(spark, rows):
+    """rows with the two halves of the hash that orders rows of one id."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return [tuple(r) for r in df.selectExpr("doc_id", "text", "xxhash64(text)", f"xxhash64({0x5DEECE66D}L, text)").collect()]
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_are_judged_each_by_itself(spark, monkeypatch):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (None, a), (None, b), (2, a), (2, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (1_000_000, 0):
+        monkeypatch.setattr(substring, "FEW_REPEATED", few)
+        got = sorted((r.doc_id or 9, r.n_words, r.n_removed) for r in substring.repeat_digests(df).collect())
+        assert got == [(1, 30, 0), (2, 30, 0), (2, 30, 30), (9, 30, 0), (9, 30, 30)]
+        assert sorted(r.text for r in substring.remove_repeats(df).collect()) == ["", "", a, b, c]
+
+
+def test_shared_ids_match_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    passages = [" ".join(rng.choice("pqrstuvw") + str(rng.randint(0, 50)) for _ in range(rng.randint(20, 60))) for _ in range(12)]
+    rows = [(rng.choice([None, 1, 2, 3, i]), " ".join(rng.sample(passages, rng.randint(1, 3)))) for i in range(90)] + [(5, passages[0])] * 3 + [(None, passages[1])] * 4
+    want = sorted((str(i), n, t) for i, t, n in judged_by_row(hashed(spark, rows)))
+    for few in (1_000_000, 0):
+        monkeypatch.setattr(substring, "FEW_REPEATED", few)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        out = substring.repeat_digests(df)
+        assert sorted((str(r.doc_id), r.n_removed) for r in out.collect()) == [w[:2] for w in want]
+        kept = sorted((str(r.doc_id), len(r.text.split())) for r in substring.remove_repeats(df).collect())
+        assert kept == sorted((i, len(t.split()) - n) for i, n, t in want)
