@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,64 +37,103 @@ def idf(members: DataFrame, smooth: bool = True) -> DataFrame:
     return document_frequency(members).join(F.broadcast(n), F.lit(True)).select("feature", "df", value.alias("idf"))  # n is one row
 
 
-def pair_overlaps(members: DataFrame, least_shared: int = 1, most_df: int | None = None, most_ratio: float | None = None) -> DataFrame:
-    """(l, r, shared, l_size, r_size) of the pairs that share a feature, l < r, with Jaccard and containment.
+def _sets(members: DataFrame, side: str) -> DataFrame:
+    """(side, side_set): each node with all its features."""
+    return members.groupBy(F.col("node").alias(side)).agg(F.collect_list("feature").alias(f"{side}_set"))
 
-    An inverted-index join. Features in more than ``most_df`` nodes only bring no candidates: sizes
-    count all features. ``most_ratio`` drops pairs whose sizes differ by more than that factor before
-    the counts are taken. Give ``most_df`` where a feature may be common: without it the most
-    frequent feature gives as many rows as the square of its nodes.
+
+def _counted(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(l, r, shared, l_size, r_size, jaccard, containment) of pairs (l, r), on whole sets."""
+    both = pairs.join(_sets(members, "l"), "l").join(_sets(members, "r"), "r")
+    sized = both.select("l", "r", F.size(F.array_intersect("l_set", "r_set")).cast("long").alias("shared"), F.size("l_set").cast("long").alias("l_size"), F.size("r_set").cast("long").alias("r_size"))
+    return sized.select("*", (F.col("shared") / (F.col("l_size") + F.col("r_size") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("l_size", "r_size")).alias("containment"))
+
+
+def pair_overlaps(members: DataFrame, most_df: int) -> DataFrame:
+    """(l, r, shared, l_size, r_size, jaccard, containment) of the pairs that share a feature of at most ``most_df`` nodes, l < r.
+
+    An inverted-index join: a feature brings at most most_df squared pairs. Counts and sizes are of all features.
     """
-    size = members.groupBy("node").agg(F.count("*").alias("size"))
-    sized = members.join(size, "node")
-    index = sized if most_df is None else sized.join(document_frequency(members).where(F.col("df") <= most_df).select("feature"), "feature")
-    a = index.select("feature", F.col("node").alias("l"), F.col("size").alias("l_size"))
-    b = index.select("feature", F.col("node").alias("r"), F.col("size").alias("r_size"))
-    met = a.join(b, "feature").where("l < r")
-    if most_ratio is not None:
-        met = met.where(F.greatest("l_size", "r_size") <= F.lit(most_ratio) * F.least("l_size", "r_size"))
-    if most_df is None:
-        shared = met.groupBy("l", "r", "l_size", "r_size").agg(F.count("*").alias("shared"))
-    else:
-        pairs = met.select("l", "r", "l_size", "r_size").distinct()
-        left = pairs.join(members.select(F.col("node").alias("l"), "feature"), "l")
-        shared = left.join(members.select(F.col("node").alias("r"), "feature"), ["r", "feature"]).groupBy("l", "r", "l_size", "r_size").agg(F.count("*").alias("shared"))
-    union = F.col("l_size") + F.col("r_size") - F.col("shared")
-    return shared.where(F.col("shared") >= least_shared).select("l", "r", "shared", "l_size", "r_size", (F.col("shared") / union).alias("jaccard"), (F.col("shared") / F.least("l_size", "r_size")).alias("containment"))
+    index = members.join(document_frequency(members).where(F.col("df") <= most_df).select("feature"), "feature")
+    pairs = index.select("feature", F.col("node").alias("l")).join(index.select("feature", F.col("node").alias("r")), "feature").where("l < r")
+    return _counted(pairs.select("l", "r").distinct(), members)
 
 
-def pairs_above(members: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
-    """(l, r, shared, l_size, r_size, jaccard) of all pairs at or above a threshold, found by prefix filtering.
+def _ordered(members: DataFrame) -> DataFrame:
+    """members with rank, the place of a feature among its node's from rare to frequent, and size, how many the node has."""
+    by_df = members.join(document_frequency(members), "feature")
+    return by_df.withColumns({"rank": F.row_number().over(Window.partitionBy("node").orderBy("df", "feature")), "size": F.count("*").over(Window.partitionBy("node"))})
+
+
+def candidates_above(members: DataFrame, threshold: float) -> DataFrame:
+    """(l, r), l < r: pairs among which are all of a Jaccard likeness of the threshold or more.
 
-    Every node sorts its features from rare to frequent; two sets of that likeness share a feature
-    among the first ``size - ceil(threshold * size) + 1`` of each. Only those are joined, so frequent
-    features bring no candidates, and no pair is lost; candidates are then counted on full sets.
+    Every node sorts its features from rare to frequent. Two such sets share one of the first few of each: of the smaller,
+    which it is paired as, fewer (its part in the overlap is larger). Sizes are cut into bands, so a feature joins only
+    sets of comparable size. A meeting at ranks i and j leaves min(i, j) + min(rest, rest) shared features at most, and
+    the bits that differ in two hashed bitmaps are features that are not shared; pairs that fail either are dropped in
+    the join itself.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie above 0 and not above 1")
-    size = members.groupBy("node").agg(F.count("*").alias("size"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "feature"))
-    ordered = members.join(document_frequency(members), "feature").join(size, "node").withColumn("rank", rank)
-    head = ordered.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1)
-    a = head.select("feature", F.col("node").alias("l"), F.col("size").alias("l_size"))
-    b = head.select("feature", F.col("node").alias("r"), F.col("size").alias("r_size"))
-    alike = F.least("l_size", "r_size") >= F.greatest("l_size", "r_size") * F.lit(threshold) - 1e-9
-    pairs = a.join(b, "feature").where((F.col("l") < F.col("r")) & alike).select("l", "r", "l_size", "r_size").distinct()
-    left = pairs.join(members.select(F.col("node").alias("l"), "feature"), "l")
-    shared = left.join(members.select(F.col("node").alias("r"), "feature"), ["r", "feature"]).groupBy("l", "r", "l_size", "r_size").agg(F.count("*").alias("shared"))
-    rated = shared.withColumn("jaccard", F.col("shared") / (F.col("l_size") + F.col("r_size") - F.col("shared")))
-    return rated.where(F.col("jaccard") > threshold if strict else F.col("jaccard") >= threshold).select("l", "r", "shared", "l_size", "r_size", "jaccard")
-
-
-def weighted_cosine(members: DataFrame, weights: DataFrame) -> DataFrame:
-    """(l, r, shared, cosine) with the square of a feature's weight as its share of the product."""
+    t, tiny = F.lit(float(threshold)), 1e-9
+    bit = lambda n: F.bit_or(F.when(F.pmod(F.col("_h"), F.lit(128)) >= 64 if n else F.pmod(F.col("_h"), F.lit(128)) < 64, F.expr("shiftleft(1L, cast(pmod(_h, 64) as int))")).otherwise(F.lit(0).cast("long")))
+    maps = members.select("node", F.xxhash64("feature").alias("_h")).groupBy("node").agg(bit(0).alias("b0"), bit(1).alias("b1"))
+    ranked = _ordered(members)
+    first = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * t - tiny) + 1).join(maps, "node")
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / threshold) + tiny) if threshold < 1 else F.col("size").cast("long")
+    shorter = F.col("rank") <= F.col("size") - F.ceil(F.col("size") * (2 * t / (1 + t)) - tiny) + 1
+    columns = ("node", "rank", "size", "b0", "b1")
+    small = first.where(shorter).select("feature", band.alias("band"), *(F.col(c).alias(f"s_{c}") for c in columns))
+    bands = F.array(band, band - 1) if threshold < 1 else F.array(band)
+    large = first.select("feature", F.explode(bands).alias("band"), *(F.col(c).alias(f"g_{c}") for c in columns))
+    need = F.ceil((F.col("s_size") + F.col("g_size")) * (t / (1 + t)) - tiny)
+    ordered = F.struct("s_size", "s_node") < F.struct("g_size", "g_node")
+    alike = F.col("s_size") >= F.col("g_size") * t - tiny
+    placed = F.least("s_rank", "g_rank") + F.least(F.col("s_size") - F.col("s_rank"), F.col("g_size") - F.col("g_rank")) >= need
+    differ = F.bit_count(F.col("s_b0").bitwiseXOR(F.col("g_b0"))) + F.bit_count(F.col("s_b1").bitwiseXOR(F.col("g_b1")))
+    met = small.join(large, ["feature", "band"]).where(ordered & alike & placed & (F.col("s_size") + F.col("g_size") - differ >= 2 * need))
+    return met.select(F.least("s_node", "g_node").alias("l"), F.greatest("s_node", "g_node").alias("r")).distinct()
+
+
+def pairs_above(members: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
+    """(l, r, shared, l_size, r_size, jaccard) of all pairs at or above a threshold; candidates are counted on whole sets.
+
+    Empty sets have no pair. No pair is lost, however frequent its features are.
+    """
+    rated = _counted(candidates_above(members, threshold), members).drop("containment")
+    return rated.where(F.col("jaccard") > threshold if strict else F.col("jaccard") >= threshold)
+
+
+def cosine_candidates(members: DataFrame, weights: DataFrame, least: float) -> DataFrame:
+    """(l, r), l < r: pairs among which are all of a weighted cosine of ``least`` or more.
+
+    Features are ordered from rare to frequent. What two vectors share from their first common feature on is at most the
+    product of their lengths from there on (Cauchy and Schwarz), each as a part of the whole vector; so that feature
+    lies, in both, before the place from which less than ``least`` is left.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the least cosine must lie above 0 and not above 1")
+    w = members.join(weights.select("feature", (F.col("idf") * F.col("idf")).alias("w2")), "feature")
+    by_df = w.join(document_frequency(members), "feature")
+    order = Window.partitionBy("node").orderBy("df", "feature")
+    onward, whole = F.sum("w2").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.sum("w2").over(Window.partitionBy("node"))
+    first = by_df.withColumn("left", F.sqrt(onward / whole)).where((F.col("left") >= least * (1 - 1e-9)) & (F.col("w2") > 0))
+    a = first.select("feature", F.col("node").alias("l"), F.col("left").alias("l_left"))
+    b = first.select("feature", F.col("node").alias("r"), F.col("left").alias("r_left"))
+    met = a.join(b, "feature").where((F.col("l") < F.col("r")) & (F.col("l_left") * F.col("r_left") >= least * (1 - 1e-9)))
+    return met.select("l", "r").distinct()
+
+
+def cosines_above(members: DataFrame, weights: DataFrame, least: float) -> DataFrame:
+    """(l, r, shared, cosine) of all pairs at or above a weighted cosine, with the square of a feature's weight as its share of the product."""
     w = members.join(weights.select("feature", (F.col("idf") * F.col("idf")).alias("w2")), "feature")
     norm = w.groupBy("node").agg(F.sqrt(F.sum("w2")).alias("norm"))
-    a = w.select("feature", "w2", F.col("node").alias("l"))
-    b = w.select("feature", F.col("node").alias("r"))
-    dots = a.join(b, "feature").where("l < r").groupBy("l", "r").agg(F.count("*").alias("shared"), F.sum("w2").alias("dot"))
-    left, right = norm.select(F.col("node").alias("l"), F.col("norm").alias("ln")), norm.select(F.col("node").alias("r"), F.col("norm").alias("rn"))
-    return dots.join(left, "l").join(right, "r").select("l", "r", "shared", (F.col("dot") / (F.col("ln") * F.col("rn"))).alias("cosine"))
+    left = cosine_candidates(members, weights, least).join(w.select(F.col("node").alias("l"), "feature", "w2"), "l")
+    dots = left.join(members.select(F.col("node").alias("r"), "feature"), ["r", "feature"]).groupBy("l", "r").agg(F.count("*").alias("shared"), F.sum("w2").alias("dot"))
+    ln, rn = norm.select(F.col("node").alias("l"), F.col("norm").alias("ln")), norm.select(F.col("node").alias("r"), F.col("norm").alias("rn"))
+    rated = dots.join(ln, "l").join(rn, "r").select("l", "r", "shared", (F.col("dot") / (F.col("ln") * F.col("rn"))).alias("cosine"))
+    return rated.where(F.col("cosine") >= least)
 
 
 def families(links: DataFrame, least: int = 2) -> DataFrame:
@@ -136,48 +177,66 @@ def without_contained(names: DataFrame, key: str, value: str) -> DataFrame:
     return names.select(key, value).distinct().join(inside, [key, value], "left_anti")
 
 
-def _linkage(distance: np.ndarray, cut: float) -> list[int]:
-    """Complete linkage up to a distance: the closest pair of clusters merges first, at ties the first."""
-    n = len(distance)
-    d = distance.copy()
-    np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
-    alive = np.ones(n, dtype=bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if d[i, j] > cut:
-            break
-        i, j = min(i, j), max(i, j)
-        d[i] = d[:, i] = np.maximum(d[i], d[j])
-        d[i, i] = np.inf
-        d[j] = d[:, j] = np.inf
-        alive[j] = False
-        label[label == j] = i
-    return label.tolist()
-
-
-def linkage_clusters(links: DataFrame, assigned: DataFrame, cut: float, largest: int = 5000) -> DataFrame:
+def _linkage(n: int, edges: list[tuple[float, int, int]], cut: float) -> list[int]:
+    """Complete linkage of n nodes up to a distance below 1: the closest pair of clusters merges first, at ties the first.
+
+    Nodes without an edge are at distance 1, so only clusters all of whose nodes are linked can merge: what is held are
+    edges between clusters, and two that merge keep the neighbours they share.
+    """
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for d, i, j in edges:
+        if d <= cut:
+            near[i][j] = near[j][i] = d
+    heap = [(d, i, j) for i in range(n) for j, d in near[i].items() if i < j]
+    heapq.heapify(heap)
+    label = list(range(n))
+    members = [[i] for i in range(n)]
+    while heap:
+        d, i, j = heapq.heappop(heap)
+        if near[i].get(j) != d:
+            continue  # of a pair that has merged or moved apart since
+        both = {k: max(e, near[j][k]) for k, e in near[i].items() if k in near[j]}
+        for k in near[i]:
+            near[k].pop(i, None)
+        for k in near[j]:
+            near[k].pop(j, None)
+        near[i], near[j] = both, {}
+        for k, e in both.items():
+            near[k][i] = e
+            heapq.heappush(heap, (e, min(i, k), max(i, k)))
+        for k in members[j]:
+            label[k] = i
+        members[i] += members[j]
+        members[j] = []
+    return label
+
+
+def linkage_clusters(links: DataFrame, assigned: DataFrame, cut: float, largest: int | None = None) -> DataFrame:
     """(node, family, cluster, mean_similarity): complete linkage inside each component of links (l, r, jaccard).
 
-    Pairs without a link are at distance 1. A component beyond ``largest`` nodes fails: the step is
-    quadratic in a component, and a cut would change results without a word.
+    Pairs without a link are at distance 1, which ``cut`` lies below. A task holds the links of a component; with
+    ``largest`` given, a component of more nodes fails. The mean counts a node's likeness to itself.
     """
     part = assigned.select(F.col("node").alias("l"), "family")
     edges = links.join(part, "l").select("family", "l", "r", "jaccard")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(set(pdf["l"]) | set(pdf["r"]))
-        if len(nodes) > largest:
+        if largest is not None and len(nodes) > largest:
             raise ValueError(f"a component has {len(nodes)} nodes; complete linkage takes {largest} at most")
         at = {x: i for i, x in enumerate(nodes)}
-        d = np.ones((len(nodes), len(nodes)))
-        i, j = pdf["l"].map(at).to_numpy(), pdf["r"].map(at).to_numpy()
-        d[i, j] = d[j, i] = 1 - pdf["jaccard"].to_numpy()
-        np.fill_diagonal(d, 0)
-        label = np.array(_linkage(d, cut))
-        mean = [float((1 - d[k, label == label[k]]).mean()) for k in range(len(nodes))]
+        rows = [(1 - s, *sorted((at[x], at[y]))) for x, y, s in zip(pdf["l"], pdf["r"], pdf["jaccard"], strict=True)]
+        label = _linkage(len(nodes), rows, cut)
+        size, total = Counter(label), [1.0] * len(nodes)
+        for d, i, j in rows:
+            if label[i] == label[j]:
+                total[i] += 1 - d
+                total[j] += 1 - d
+        mean = [total[k] / size[label[k]] for k in range(len(nodes))]
         return pd.DataFrame({"node": nodes, "family": pdf["family"].iloc[0], "cluster": [nodes[x] for x in label], "mean_similarity": mean})
 
+    if not cut < 1:
+        raise ValueError("the cut must lie below 1, the distance of nodes without a link")
     kind = assigned.schema["node"].dataType.simpleString()
     return edges.groupBy("family").applyInPandas(cluster, f"node {kind}, family {kind}, cluster {kind}, mean_similarity double")
 
@@ -186,30 +245,3 @@ def medoids(clusters: DataFrame, least: int = 5) -> DataFrame:
     """(cluster, size, medoid): the member most like the others (ties: the least), of clusters with enough members."""
     best = F.min_by("node", F.struct(-F.round("mean_similarity", 12), F.col("node")))
     return clusters.groupBy("cluster").agg(F.count("*").alias("size"), best.alias("medoid")).where(F.col("size") >= least)
-
-
-def greedy_strict_groups(members: DataFrame, group: str = "family", least: int = 2) -> DataFrame:
-    """(group, node, anchor): groups that share a feature stay; others are divided by their most common features.
-
-    The feature that most unplaced nodes have takes them (ties: the lesser feature), again and again
-    while at least ``least`` nodes are taken; works on one group at a time.
-    """
-
-    def divide(batches: pd.DataFrame) -> pd.DataFrame:
-        left = batches[["node", "feature"]]
-        out: list[pd.DataFrame] = []
-        while len(left):
-            counts = left.groupby("feature")["node"].nunique()
-            top = counts.max()
-            if top < least:
-                break
-            anchor = min(counts.index[counts == top])
-            taken = left.loc[left["feature"] == anchor, "node"].unique()
-            out.append(pd.DataFrame({group: batches[group].iloc[0], "node": taken, "anchor": anchor}))
-            left = left[~left["node"].isin(taken)]
-        return pd.concat(out) if out else pd.DataFrame({group: [], "node": [], "anchor": []}).astype({group: batches[group].dtype, "node": batches["node"].dtype})
-
-    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
-    return members.groupBy(group).applyInPandas(divide, f"{group} {kinds[group]}, node {kinds['node']}, anchor string")
-
-

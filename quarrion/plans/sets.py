@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,23 @@ from quarrion.operators import graph as G
 from quarrion.operators import similarity as S
 from quarrion.plans.registry import Tables, query
 
-# Nodes are suppliers, features the days on which they shipped many units: a day has a few suppliers.
-_MEMBERS = "SELECT DISTINCT l_suppkey AS node, CAST(l_partkey % 400 AS VARCHAR) AS feature FROM lineitem WHERE l_quantity >= 45"
+# Nodes are orders, features the parts of all their lines.
+_MEMBERS = "SELECT DISTINCT l_orderkey AS node, CAST(l_partkey AS VARCHAR) AS feature FROM lineitem"
 _DF = f"SELECT feature, count(*) AS df FROM ({_MEMBERS}) GROUP BY 1"
 
 
 def _members(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_quantity >= 45").select(F.col("l_suppkey").alias("node"), (F.col("l_partkey") % 400).cast("string").alias("feature")).distinct()
+    return t.lineitem.select(F.col("l_orderkey").alias("node"), F.col("l_partkey").cast("string").alias("feature")).distinct()
+
+
+# Nodes are documents, features the words of their whole texts.
+_WORD = "[^ \\t\\n\\x0B\\f\\r]+"
+_WORDS = f"SELECT DISTINCT doc_id AS node, unnest(regexp_extract_all(text, '{_WORD}')) AS feature FROM documents"
+_WORD_DF = f"SELECT feature, count(*) AS df FROM ({_WORDS}) GROUP BY 1"
+
+
+def _words(t: Tables) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("node"), F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("feature")).distinct()
 
 
 def _links(t: Tables) -> DataFrame:
@@ -54,36 +66,46 @@ def a24_shared_by_all(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id").distinct().join(common, "conv_id", "left").select("conv_id", F.col("feature").isNotNull().cast("int").alias("all_have"))
 
 
-_PAIRS = f"WITH m AS ({_MEMBERS}), s AS (SELECT node, count(*) AS n FROM m GROUP BY 1), p AS (SELECT a.node AS l, b.node AS r, count(*) AS shared FROM m a JOIN m b USING (feature) WHERE a.node < b.node GROUP BY 1, 2) SELECT l, r, shared, x.n AS l_size, y.n AS r_size, round(shared / (x.n + y.n - shared), 9) AS jaccard, round(shared / least(x.n, y.n), 9) AS containment FROM p JOIN s x ON x.node = l JOIN s y ON y.node = r"
+def _pairs_sql(members: str) -> str:
+    return f"WITH m AS MATERIALIZED ({members}), s AS (SELECT node, count(*) AS n FROM m GROUP BY 1), p AS (SELECT a.node AS l, b.node AS r, count(*) AS shared FROM m a JOIN m b USING (feature) WHERE a.node < b.node GROUP BY 1, 2) SELECT l, r, shared, x.n AS l_size, y.n AS r_size, round(shared / (x.n + y.n - shared), 9) AS jaccard, round(shared / least(x.n, y.n), 9) AS containment FROM p JOIN s x ON x.node = l JOIN s y ON y.node = r"
+
+
+_PAIRS, _WORD_PAIRS = _pairs_sql(_MEMBERS), _pairs_sql(_WORDS)
 
 
 def _rounded(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"jaccard": F.round("jaccard", 9), "containment": F.round("containment", 9)})
 
 
-@query(_PAIRS + f" WHERE EXISTS (SELECT 1 FROM m a JOIN m b USING (feature) JOIN ({_DF}) d USING (feature) WHERE a.node = l AND b.node = r AND d.df <= 12)")
+@query(_PAIRS + f" WHERE EXISTS (SELECT 1 FROM m a JOIN m b USING (feature) JOIN ({_DF}) d USING (feature) WHERE a.node = l AND b.node = r AND d.df <= 24)")
 def j13_capped_pairs(t: Tables) -> DataFrame:
-    return _rounded(S.pair_overlaps(_members(t), most_df=12))
+    return _rounded(S.pair_overlaps(_members(t), most_df=24))
 
 
-@query(_PAIRS + " WHERE greatest(x.n, y.n) <= 1.25 * least(x.n, y.n)")
+@query(f"SELECT l, r, shared, l_size, r_size, jaccard FROM ({_PAIRS} WHERE shared > 0.5 * (x.n + y.n - shared))")
 def j14_size_pruned_pairs(t: Tables) -> DataFrame:
-    return _rounded(S.pair_overlaps(_members(t), most_ratio=1.25))
+    """Orders of which more than half of the parts are shared."""
+    return S.pairs_above(_members(t), 0.5, strict=True).withColumn("jaccard", F.round("jaccard", 9))
+
+
+def _cosines_sql(members: str) -> str:
+    return f"WITH m AS MATERIALIZED ({members}), d AS (SELECT feature, count(*) AS df FROM m GROUP BY 1), n AS (SELECT count(DISTINCT node) AS n FROM m), w AS (SELECT feature, power(ln((n + 1) / (df + 1)) + 1, 2) AS w FROM d, n), q AS (SELECT node, sqrt(sum(w)) AS q FROM m JOIN w USING (feature) GROUP BY 1), p AS (SELECT a.node AS l, b.node AS r, count(*) AS shared, sum(w) AS dot FROM m a JOIN m b USING (feature) JOIN w USING (feature) WHERE a.node < b.node GROUP BY 1, 2) SELECT l, r, shared, round(dot / (x.q * y.q), 8) AS cosine FROM p JOIN q x ON x.node = l JOIN q y ON y.node = r"
 
 
-_COS = f"WITH m AS ({_MEMBERS}), n AS (SELECT count(DISTINCT node) AS n FROM m), w AS (SELECT feature, power(ln((n + 1) / (df + 1)) + 1, 2) AS w FROM ({_DF}), n), q AS (SELECT node, sqrt(sum(w)) AS q FROM m JOIN w USING (feature) GROUP BY 1), p AS (SELECT a.node AS l, b.node AS r, count(*) AS shared, sum(w) AS dot FROM m a JOIN m b USING (feature) JOIN w USING (feature) WHERE a.node < b.node GROUP BY 1, 2) SELECT l, r, shared, round(dot / (x.q * y.q), 8) AS cosine FROM p JOIN q x ON x.node = l JOIN q y ON y.node = r"
+def _cosines(members: DataFrame, least: float) -> DataFrame:
+    """Pairs from just below the least cosine on, so that rounding decides alike; the rounded ones at or above it."""
+    rated = S.cosines_above(members, S.idf(members), least - 1e-6).withColumn("cosine", F.round("cosine", 8))
+    return rated.where(F.col("cosine") >= least)
 
 
-@query(_COS)
+@query(f"SELECT * FROM ({_cosines_sql(_MEMBERS)}) WHERE cosine >= 0.35")
 def j15_weighted_products(t: Tables) -> DataFrame:
-    m = _members(t)
-    return S.weighted_cosine(m, S.idf(m)).withColumn("cosine", F.round("cosine", 8))
+    return _cosines(_members(t), 0.35)
 
 
-@query(f"SELECT * FROM ({_COS}) WHERE cosine >= 0.27 AND shared >= 3")
+@query(f"SELECT * FROM ({_cosines_sql(_WORDS)}) WHERE cosine >= 0.75 AND shared >= 3")
 def f33_cosine_links(t: Tables) -> DataFrame:
-    m = _members(t)
-    return S.weighted_cosine(m, S.idf(m)).withColumn("cosine", F.round("cosine", 8)).where("cosine >= 0.27 and shared >= 3")
+    return _cosines(_words(t), 0.75).where("shared >= 3")
 
 
 @query("SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS sim FROM (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(text, '\\s', ' ', 'g'), ' '), lambda x: x <> '')) AS a, ['the', 'de', 'of'] AS b FROM documents)")
@@ -93,14 +115,23 @@ def f32_jaccard(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", jaccard(words, F.array(*map(F.lit, ("the", "de", "of"))), 1.0).alias("sim"))
 
 
-@query(f"SELECT l, r FROM ({_PAIRS}) WHERE jaccard > 0.16")
+@query(f"SELECT l, r FROM ({_PAIRS}) WHERE jaccard > 0.8")
 def f34_thresholded_pairs(t: Tables) -> DataFrame:
-    return S.pairs_above(_members(t), 0.16, strict=True).select("l", "r")
+    return S.pairs_above(_members(t), 0.8, strict=True).select("l", "r")
+
 
+@query(f"SELECT l, r, shared, jaccard FROM ({_WORD_PAIRS}) WHERE shared > 0.8 * (l_size + r_size - shared)")
+def f34_document_pairs(t: Tables) -> DataFrame:
+    """Documents of which more than 0.8 of all words are shared."""
+    return S.pairs_above(_words(t), 0.8, strict=True).select("l", "r", "shared", F.round("jaccard", 9).alias("jaccard"))
 
-@query(f"SELECT m.node, m.feature, d.df FROM ({_MEMBERS}) m JOIN ({_DF}) d USING (feature) WHERE df BETWEEN 2 AND 14")
+
+@query(f"WITH m AS ({_MEMBERS}), n AS (SELECT count(DISTINCT node) AS n FROM m) SELECT m.node, m.feature, d.df FROM m JOIN ({_DF}) d USING (feature), n WHERE df BETWEEN 2 AND greatest(2, floor(0.12 * n))")
 def g03_frequent_features(t: Tables) -> DataFrame:
-    return S.frequent(_members(t), 2, 14)
+    """Parts of two orders or more, and of at most 12 of a hundred."""
+    m = _members(t)
+    n = m.select("node").distinct().count()
+    return S.frequent(m, 2, max(2, math.floor(0.12 * n)))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS l, o_custkey + o_orderkey % 11 AS r FROM orders WHERE o_orderkey % 11 > 0), b AS (SELECT l, r FROM e UNION SELECT r, l FROM e), w AS (SELECT DISTINCT l AS node, l AS seen FROM b UNION SELECT w.node, b.r FROM w JOIN b ON b.l = w.seen) SELECT node, min(seen) AS component FROM w GROUP BY 1""")
@@ -113,38 +144,34 @@ def g09_two_core(t: Tables) -> DataFrame:
     return G.k_core(_links(t), 2, "l", "r")
 
 
-@query()
-def g10_strict_groups(t: Tables) -> DataFrame:
-    rows = t.conversations.select(F.col("conv_id").alias("node"), F.col("role").alias("feature"), (F.col("conv_id") % 5).alias("family")).distinct()
-    return S.greedy_strict_groups(rows)
-
-
 @query()
 def g18_linkage_families(t: Tables) -> DataFrame:
-    links = S.pairs_above(_members(t), 0.15)
-    clusters = S.linkage_clusters(links, S.families(links), cut=0.85 - 1e-12)
+    """Medoids of the documents' clusters of complete linkage at 0.8."""
+    links = S.pairs_above(_words(t), 0.8, strict=True)
+    clusters = S.linkage_clusters(links, S.families(links), cut=0.2)
     return S.medoids(clusters, least=2)
 
 
-_COMPONENTS = f"WITH RECURSIVE e AS (SELECT l, r FROM ({_PAIRS}) WHERE jaccard >= 0.17), b AS (SELECT l, r FROM e UNION SELECT r, l FROM e), w AS (SELECT DISTINCT l AS node, l AS seen FROM b UNION SELECT w.node, b.r FROM w JOIN b ON b.l = w.seen), c AS (SELECT node, min(seen) AS family FROM w GROUP BY 1)"
+def _components_sql(least: float) -> str:
+    return f"WITH RECURSIVE e AS (SELECT l, r FROM ({_WORD_PAIRS}) WHERE shared > {least} * (l_size + r_size - shared)), b AS (SELECT l, r FROM e UNION SELECT r, l FROM e), w AS (SELECT DISTINCT l AS node, l AS seen FROM b UNION SELECT w.node, b.r FROM w JOIN b ON b.l = w.seen), c AS (SELECT node, min(seen) AS family FROM w GROUP BY 1)"
 
 
-@query(_COMPONENTS + " SELECT node, family, count(*) OVER (PARTITION BY family) AS size FROM c")
+@query(_components_sql(0.9) + " SELECT node, family, count(*) OVER (PARTITION BY family) AS size FROM c")
 def g19_similarity_families(t: Tables) -> DataFrame:
-    return S.families(S.pairs_above(_members(t), 0.17))
+    return S.families(S.pairs_above(_words(t), 0.9, strict=True))
 
 
 @query()
 def g17_staged_families(t: Tables) -> DataFrame:
-    m = _members(t)
-    more = t.lineitem.where("l_quantity < 3").select(F.col("l_suppkey").alias("node"), (F.col("l_partkey") % 300).cast("string").alias("feature")).distinct()
-    return S.staged_families([("first", m), ("second", more)], 0.17)
+    """Documents by their words; what is left over by the words in small letters without their ends."""
+    bare = _words(t).select("node", F.regexp_replace(F.lower("feature"), "[.,;:!?*#%&$]+$", "").alias("feature")).where("feature <> ''").distinct()
+    return S.staged_families([("words", _words(t)), ("bare", bare)], 0.8)
 
 
-@query(_COMPONENTS + f", k AS (SELECT family, count(*) AS size FROM c GROUP BY 1), f AS (SELECT family, feature, count(*) AS has FROM c JOIN ({_MEMBERS}) USING (node) GROUP BY 1, 2) SELECT family, list_slice(list(feature ORDER BY df, feature), 1, 20) AS fingerprint FROM f JOIN k USING (family) JOIN ({_DF}) USING (feature) WHERE has = size GROUP BY 1")
+@query(_components_sql(0.8) + f", k AS (SELECT family, count(*) AS size FROM c GROUP BY 1), f AS (SELECT family, feature, count(*) AS has FROM c JOIN ({_WORDS}) USING (node) GROUP BY 1, 2) SELECT family, list_slice(list(feature ORDER BY df, feature), 1, 20) AS fingerprint FROM f JOIN k USING (family) JOIN ({_WORD_DF}) USING (feature) WHERE has = size GROUP BY 1")
 def g15_ordered_fingerprints(t: Tables) -> DataFrame:
-    m = _members(t)
-    found = S.families(S.pairs_above(m, 0.17))
+    m = _words(t)
+    found = S.families(S.pairs_above(m, 0.8, strict=True))
     return S.fingerprints(found.select("node", "family"), m)
 
 
@@ -167,15 +194,3 @@ def g02_strategy_routing(t: Tables) -> DataFrame:
 @query("SELECT p_brand, count(*) FILTER (WHERE p_type = 'SMALL') >= 1 OR count(DISTINCT p_name) >= 2 AS enough FROM part GROUP BY 1")
 def g13_sufficient(t: Tables) -> DataFrame:
     return t.part.groupBy("p_brand").agg((F.bool_or(F.col("p_type") == "SMALL") | (F.count_distinct("p_name") >= 2)).alias("enough"))
-
-
-@query(f"WITH p AS ({_PAIRS}) SELECT l, r, (shared >= 2 AND jaccard >= 0.16) OR (shared >= 5 AND containment >= 0.3) AS linked FROM p")
-def g06_link_rule(t: Tables) -> DataFrame:
-    p = _rounded(S.pair_overlaps(_members(t)))
-    return p.select("l", "r", (((F.col("shared") >= 2) & (F.col("jaccard") >= 0.16)) | ((F.col("shared") >= 5) & (F.col("containment") >= 0.3))).alias("linked"))
-
-
-@query(f"SELECT l, r FROM ({_PAIRS}) WHERE shared >= 5 AND (jaccard >= 0.25 OR (jaccard >= 0.18 AND containment >= 0.32))")
-def g07_staged_links(t: Tables) -> DataFrame:
-    p = _rounded(S.pair_overlaps(_members(t), least_shared=5))
-    return p.where("jaccard >= 0.25 or (jaccard >= 0.18 and containment >= 0.32)").select("l", "r")

@@ -1,6 +1,8 @@
 """Known answers and brute-force versions of operators that SQL does not express."""
 
+import math
 import random
+import re
 import zipfile
 from collections import Counter
 from datetime import date, datetime
@@ -209,35 +211,23 @@ def test_phones_stand_alone(spark):
     assert [r.value for r in E.found(df, [], "t", E.PHONE).collect()] == ["13812345678", "13512345678"]
 
 
-def test_strict_groups_of_all_conversations(spark, sf_dir):
-    rows = {(r.conv_id % 5, r.conv_id, r.role) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
-    want = set()
-    for family in range(5):
-        left = {(n, f) for k, n, f in rows if k == family}
-        while left:
-            counts = Counter(f for _, f in left)
-            anchor = min(counts, key=lambda f: (-counts[f], f))
-            if counts[anchor] < 2:
-                break
-            taken = {n for n, f in left if f == anchor}
-            want |= {(family, n, anchor) for n in taken}
-            left = {(n, f) for n, f in left if n not in taken}
-    got = catalog.QUERIES["g10_strict_groups"](spark, sf_dir).collect()
-    assert {(r.family, r.node, r.anchor) for r in got} == want and len(got) == len(want)
-
-
-def test_staged_families_of_all_suppliers(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_quantity").collect()
-    stages = [{}, {}]
-    for r in lines:
-        for stage, wanted, parts in ((0, r.l_quantity >= 45, 400), (1, r.l_quantity < 3, 300)):
-            if wanted:
-                stages[stage].setdefault(r.l_suppkey, set()).add(r.l_partkey % parts)
+def word_sets(spark, sf_dir, bare=False):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: set(re.findall(r"[^ \t\n\x0b\f\r]+", r.text)) for r in rows}
+    return {i: s for i, x in sets.items() if (s := {y for w in x if (y := re.sub("[.,;:!?*#%&$]+$", "", w.lower()))} if bare else x)}
+
+
+def brute_pairs(sets, least, strict=False):
+    pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    return {p: j for p, j in pairs.items() if (j > least if strict else j >= least)}
+
+
+def test_staged_families_of_all_documents(spark, sf_dir):
     want, placed = set(), set()
-    for name, sets in zip(("first", "second"), stages, strict=True):
-        sets = {n: s for n, s in sets.items() if n not in placed}
+    for name in ("words", "bare"):
+        sets = {n: s for n, s in word_sets(spark, sf_dir, name == "bare").items() if n not in placed}
         found = {}
-        for n, top in brute_components([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.17 * len(sets[a] | sets[b])]).items():
+        for n, top in brute_components(list(brute_pairs(sets, 0.8))).items():
             found.setdefault(top, set()).add(n)
         for top, nodes in found.items():
             if len(nodes) >= 3:
@@ -247,6 +237,61 @@ def test_staged_families_of_all_suppliers(spark, sf_dir):
     assert {(r.node, r.stage, r.family, r["size"]) for r in got} == want
 
 
+@pytest.mark.parametrize("threshold", [0.1, 0.34, 0.5, 0.8, 0.9, 1.0])
+def test_pairs_above_match_brute_force(spark, threshold):
+    rng = random.Random(int(threshold * 100))
+    base = [set(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", weights=[30, 20, 10, *[1] * 33], k=rng.randint(1, 25))) for _ in range(60)]
+    sets = dict(enumerate(base + [set(x) for x in base[:10]] + [x | {"new"} for x in base[10:30]] + [set(list(x)[1:]) or {"z"} for x in base[30:50]] + [{"a"}] * 5))
+    members = spark.createDataFrame([(n, f) for n, s in sets.items() for f in s], "node long, feature string")
+    for strict in (False, True):
+        got = {(r.l, r.r): (r.shared, r.l_size, r.r_size, r.jaccard) for r in S.pairs_above(members, threshold, strict=strict).collect()}
+        assert got == {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b]), j) for (a, b), j in brute_pairs(sets, threshold, strict).items()}
+
+
+def test_filters_leave_few_candidates_of_frequent_features(spark, sf_dir):
+    """Whole texts, whose commonest words stand in a quarter of all documents: hardly more candidates than pairs."""
+    members = S.features(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", F.regexp_extract_all("text", F.lit(r"[^ \t\n\x0b\f\r]+"), F.lit(0)))
+    pairs = brute_pairs(word_sets(spark, sf_dir), 0.8)
+    found = {(r.l, r.r) for r in S.candidates_above(members, 0.8).collect()}
+    assert set(pairs) <= found and len(found) <= 2 * len(pairs) + 50
+    assert {(r.l, r.r) for r in S.pairs_above(members, 0.8).collect()} == set(pairs)
+
+
+@pytest.mark.parametrize("least", [0.2, 0.55, 0.82, 1.0])
+def test_cosines_match_brute_force(spark, least):
+    rng = random.Random(int(least * 100))
+    base = [set(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=[30, 20, *[1] * 24], k=rng.randint(1, 15))) for _ in range(60)]
+    sets = dict(enumerate(base + [set(x) for x in base[:10]] + [x | {"new"} for x in base[10:30]]))
+    members = spark.createDataFrame([(n, f) for n, s in sets.items() for f in s], "node long, feature string")
+    df = {f: sum(f in s for s in sets.values()) for s in sets.values() for f in s}
+    w2 = {f: (math.log((len(sets) + 1) / (d + 1)) + 1) ** 2 for f, d in df.items()}
+    norm = {n: math.sqrt(sum(w2[f] for f in s)) for n, s in sets.items()}
+    want = {(a, b): c for a in sets for b in sets if a < b and (c := sum(w2[f] for f in sets[a] & sets[b]) / (norm[a] * norm[b])) >= least - 1e-9}
+    got = {(r.l, r.r): r.cosine for r in S.cosines_above(members, S.idf(members), least - 1e-9).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def dense_linkage(n, edges, cut):
+    """Complete linkage on all pairs of clusters."""
+    d = {(i, j): 1.0 for i in range(n) for j in range(i + 1, n)} | {(i, j): x for x, i, j in edges}
+    clusters = {i: {i} for i in range(n)}
+    while True:
+        far = {(a, b): max(d[min(i, j), max(i, j)] for i in clusters[a] for j in clusters[b]) for a in clusters for b in clusters if a < b}
+        best = min(((x, p) for p, x in far.items()), default=(2, None))
+        if best[0] > cut:
+            return [min(c for c in clusters if i in clusters[c]) for i in range(n)]
+        a, b = best[1]
+        clusters[a] |= clusters.pop(b)
+
+
+def test_linkage_by_edges_is_that_of_all_pairs():
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randint(1, 12)
+        edges = [(rng.choice([0.0, 0.1, 0.1, 0.15, 0.2, 0.3]), i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.6]
+        assert S._linkage(n, edges, 0.2) == dense_linkage(n, edges, 0.2)
+
+
 def test_gram_hashes(spark):
     import hashlib
 

@@ -20,10 +20,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 TESTED_ELSEWHERE = {
     "e12_request_context": "test_code.py::test_mentions_of_whole_pages", "e13_entry_location": "test_code.py::test_entries_of_all_customers",
     "f31_gram_hashes": "test_operators.py::test_gram_hashes", "e02_bounded_emails": "test_operators.py::test_emails", "g05_first_rule_links": "test_families.py::test_first_links_match_all_pairs", "g09_two_core": "test_operators.py::test_two_core_of_all_orders",
-    "g10_strict_groups": "test_operators.py::test_strict_groups_of_all_conversations", "g10_strict_component_groups": "test_families.py::test_strict_groups",
+    "g10_strict_component_groups": "test_families.py::test_strict_groups",
     "g11_merged_families": "test_families.py::test_families_merge_while_their_cores_share", "g14_divided_again": "test_families.py::test_weak_families_are_divided_again",
     "g16_component_families": "test_families.py::test_one_family_among_strangers", "g16_run_counts": "test_families.py::test_one_family_among_strangers",
-    "g17_staged_families": "test_operators.py::test_staged_families_of_all_suppliers", "g18_linkage_families": "test_operators.py::test_complete_linkage_and_medoid", "g22_broken_fingerprints": "test_families.py::test_weak_families_are_divided_again",
+    "g17_staged_families": "test_operators.py::test_staged_families_of_all_documents", "g18_linkage_families": "test_operators.py::test_complete_linkage_and_medoid", "g22_broken_fingerprints": "test_families.py::test_weak_families_are_divided_again",
 }
 
 
