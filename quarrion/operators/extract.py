@@ -154,6 +154,32 @@ def merged_sources(first: DataFrame, second: DataFrame, keys: Sequence[str], mos
     return lists.withColumn("_n", at).where(F.col("_n") <= most_values).drop("_n")
 
 
+#: Items of few words that may be broadcast (some hundred bytes each).
+FEW_ITEMS = 100_000
+
+
+def located(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str) -> DataFrame:
+    """Distinct (key, item_key) of the texts that contain an item, letter by letter.
+
+    An item of five words or more stands whole in a text only where its inner words do, so the two meet by the second to
+    fourth; those of fewer words are looked for in every text, and are counted first. Empty items are in no text.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[^ \n]+"), F.lit(0))
+    known = items.select(F.col(item_key).alias("_item_key"), F.col(item).cast("string").alias("_item")).where("_item <> ''").withColumn("_words", words("_item"))
+    own = texts.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    w = words("_text")
+    onward = lambda n: F.slice(w, F.lit(n), F.greatest(F.size(w), F.lit(1)))
+    runs = F.zip_with(F.zip_with(w, onward(2), lambda x, y: F.concat(x, F.lit(" "), y)), onward(3), lambda x, y: F.concat(x, F.lit(" "), y))
+    left = own.withColumn("_run", F.explode(F.array_distinct(F.array_compact(runs))))
+    long = known.where(F.size("_words") >= 5).select("_item_key", "_item", F.array_join(F.slice("_words", 2, 3), " ").alias("_run"))
+    found = left.join(long, "_run").where(F.contains("_text", F.col("_item"))).select("_key", "_item_key")
+    short = known.where(F.size("_words") < 5).select("_item_key", "_item")
+    if short.count() > FEW_ITEMS:
+        raise ValueError(f"more than {FEW_ITEMS} items of fewer than five words")
+    near = own.join(F.broadcast(short), F.contains("_text", F.col("_item"))).select("_key", "_item_key")  # FEW_ITEMS rows at most
+    return found.unionByName(near).distinct().select(F.col("_key").alias(key), F.col("_item_key").alias(item_key))
+
+
 @dataclass(frozen=True)
 class Fingerprint:
     """A product that text may use: prefixes of names, a pattern that recognises it and patterns with credentials.

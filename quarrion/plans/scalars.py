@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrion.functions import net as N
 from quarrion.functions import text as X
 from quarrion.operators.extract import without_allowed
+from quarrion.operators.families import is_code_component
 from quarrion.plans.registry import Tables, query
 
 _SRC = "(10 + event_id % 3 * 90) || '.' || (event_id % 256) || '.0.' || (user_id % 250)"
@@ -54,9 +55,9 @@ def p15_static_response(t: Tables) -> DataFrame:
 
 @query(f"WITH r AS (SELECT * FROM (VALUES (0, 134744063, 'AA'), (134744064, 134760447, 'BB'), (134760448, 4294967295, 'CC')) v(lo, hi, country)), p AS (SELECT event_id, {_DST} AS dst FROM events) SELECT event_id, country FROM p LEFT JOIN r ON regexp_matches(dst, '^[0-9.]+$') AND TRY_CAST(split_part(dst, '.', 1) AS BIGINT) * 16777216 + TRY_CAST(split_part(dst, '.', 2) AS BIGINT) * 65536 + TRY_CAST(split_part(dst, '.', 3) AS BIGINT) * 256 + TRY_CAST(split_part(dst, '.', 4) AS BIGINT) BETWEEN lo AND hi")
 def j09_address_country(t: Tables) -> DataFrame:
-    ranges = t.spark.createDataFrame([(0, 134744063, "AA"), (134744064, 134760447, "BB"), (134760448, 4294967295, "CC")], "lo long, hi long, country string")
-    p = _packets(t).select("event_id", N.ipv4_number("dst").alias("n"))
-    return p.join(F.broadcast(ranges), F.col("n").between(F.col("lo"), F.col("hi")), "left").select("event_id", "country")  # three ranges
+    ranges = t.spark.createDataFrame([(0, 134744063, "AA"), (134744064, 134760447, "BB"), (134760448, 4294967295, "CC")], "low long, high long, country string")
+    numbered = _packets(t).select("event_id", N.ipv4_number("dst").alias("number"))
+    return N.in_ranges(numbered, "number", ranges).select("event_id", "country")
 
 
 @query("WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) SELECT page_id, host FROM h WHERE NOT (host = 'example.org' OR host LIKE '%.example.org' OR host LIKE 'm.%' AND host LIKE '%.ththth.example.net')")
@@ -75,12 +76,14 @@ def f02_stem(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", X.stem("s_name", ("x",)).alias("stem"))
 
 
-_WORD = "lower(split_part(text, ' ', 1))"
+_RANDOM = "regexp_matches(w, '^[0-9a-z]{6,}$') AND (regexp_matches(w, '[0-9]') OR (length(regexp_replace(w, '[^a-z]', '', 'g')) > 0 AND length(regexp_replace(w, '[^aeiou]', '', 'g')) < 0.28 * length(regexp_replace(w, '[^a-z]', '', 'g'))) OR regexp_matches(w, '[bcdfghjklmnpqrstvwxyz]{5}'))"
 
 
-@query(f"SELECT doc_id, regexp_matches(w, '^[0-9a-z]{{6,}}$') AND (regexp_matches(w, '[0-9]') OR (length(regexp_replace(w, '[^a-z]', '', 'g')) > 0 AND length(regexp_replace(w, '[^aeiou]', '', 'g')) < 0.28 * length(regexp_replace(w, '[^a-z]', '', 'g'))) OR regexp_matches(w, '[bcdfghjklmnpqrstvwxyz]{{5}}')) AS random FROM (SELECT doc_id, {_WORD} AS w FROM documents)")
+@query(f"SELECT doc_id, count(w) AS n, count(*) FILTER ({_RANDOM}) AS random FROM (SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\n]+') AS x FROM documents)) GROUP BY 1")
 def f03_random_name(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.looks_random(F.lower(F.split_part("text", F.lit(" "), F.lit(1)))).alias("random"))
+    """How many words of a whole text look as if a generator had made them."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \n]+"), F.lit(0))
+    return t.documents.select("doc_id", F.size(words).cast("long").alias("n"), F.size(F.filter(words, lambda w: X.looks_random(w))).cast("long").alias("random"))
 
 
 _DOTS = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -96,9 +99,12 @@ def f05_suffix_skeleton(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.suffix_skeleton(F.concat(N.host("url"), F.lit("$Inner.x"))).alias("skeleton"))
 
 
-@query("SELECT page_id, regexp_matches(url, '^https?://m\\.') AS code_like FROM pages")
+@query("SELECT page_id, name, contains(name, '.') AND NOT contains(lower(name), '.permission.') AND regexp_matches(name, '(?:^|\\.)\\p{Lu}[^.]*$') AS code_like FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'org.Permission.' WHEN page_id % 5 = 1 THEN '' ELSE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || '.' END || unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS name FROM pages)")
 def f06_component_test(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.col("url").rlike(r"^https?://m\.").alias("code_like"))
+    """The links of every page's menu, below its host, tested as components."""
+    before = F.when(F.col("page_id") % 5 == 0, "org.Permission.").when(F.col("page_id") % 5 == 1, "").otherwise(F.concat(N.host("url"), F.lit(".")))
+    names = t.pages.select("page_id", before.alias("b"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("leaf")).select("page_id", F.concat("b", "leaf").alias("name"))
+    return names.select("page_id", "name", is_code_component(F.col("name")).alias("code_like"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '.Main' ELSE 'Main' END AS component FROM documents")
@@ -246,10 +252,12 @@ def f37_best_score(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(best["score"] > 0, best["framework"]).alias("framework"), best["score"].alias("score"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(w, '^https?://') THEN 'url' WHEN regexp_matches(w, '^/[a-z]') THEN 'route' WHEN regexp_matches(w, '^[a-z]+[A-Z]') THEN 'camel' ELSE 'other' END AS category FROM (SELECT doc_id, split_part(text, ' ', 2) AS w FROM documents)")
+@query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\n]+')) AS w FROM documents) SELECT doc_id, CASE WHEN regexp_matches(w, '^https?://') THEN 'url' WHEN regexp_matches(w, '^/[a-z]') THEN 'route' WHEN regexp_matches(w, '^[a-z]+[A-Z]') THEN 'camel' ELSE 'other' END AS category, count(*) AS n FROM w GROUP BY ALL")
 def f38_string_categories(t: Tables) -> DataFrame:
-    w = F.split_part("text", F.lit(" "), F.lit(2))
-    return t.documents.select("doc_id", X.first_pattern(w, [("url", "^https?://"), ("route", "^/[a-z]"), ("camel", "^[a-z]+[A-Z]")]).alias("category"))
+    """Words of whole texts by category."""
+    words = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))).alias("w"))
+    named = words.select("doc_id", X.first_pattern("w", [("url", "^https?://"), ("route", "^/[a-z]"), ("camel", "^[a-z]+[A-Z]")]).alias("category"))
+    return named.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, 'ldr reg, [stack] ; add reg, reg, imm' AS code FROM events")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.functions.text import jaccard, pieces
+from quarrion.operators import families as P
 from quarrion.operators import graph as G
 from quarrion.operators import similarity as S
 from quarrion.plans.registry import Tables, query
@@ -191,6 +192,18 @@ def g02_strategy_routing(t: Tables) -> DataFrame:
     return t.documents.groupBy(strategy.alias("strategy")).agg(F.count("*").alias("n")).orderBy("strategy")
 
 
-@query("SELECT p_brand, count(*) FILTER (WHERE p_type = 'SMALL') >= 1 OR count(DISTINCT p_name) >= 2 AS enough FROM part GROUP BY 1")
+def _any_start(column: str, words) -> str:
+    return "(" + " OR ".join(f"starts_with({column}, '{w}')" for w in words) + ")"
+
+
+_FINGERPRINTS = "SELECT o_custkey AS app, CASE o_orderkey % 4 WHEN 0 THEN 'F:' || CASE WHEN o_orderkey % 3 > 0 THEN 'com.google.' ELSE 'shop.' END || 'A' WHEN 1 THEN 'S:x.MainActivity' WHEN 2 THEN 'L:Order' || o_orderkey ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'H:org.shop' ELSE 'F:com.google.B' END END AS f FROM orders WHERE o_orderkey % 2 = o_custkey % 2"
+
+
+@query(f"WITH p AS ({_FINGERPRINTS}) SELECT app, bool_or(starts_with(f, 'H:') OR (starts_with(f, 'F:') AND NOT {_any_start('substr(f, 3)', P.SDK_PREFIXES)})) OR count(DISTINCT f) FILTER (left(f, 2) IN ('S:', 'L:') AND string_split(substr(f, 3), '.')[-1] NOT IN ({', '.join(repr(g) for g in P.GENERIC_NAMES)})) >= 2 AS enough FROM p GROUP BY 1")
 def g13_sufficient(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_brand").agg((F.bool_or(F.col("p_type") == "SMALL") | (F.count_distinct("p_name") >= 2)).alias("enough"))
+    """Whether the features of a customer's orders are enough for a fingerprint."""
+    k = F.col("o_orderkey")
+    whole = F.when(k % 3 > 0, "F:com.google.A").otherwise("F:shop.A")
+    f = F.when(k % 4 == 0, whole).when(k % 4 == 1, "S:x.MainActivity").when(k % 4 == 2, F.concat(F.lit("L:Order"), k.cast("string"))).otherwise(F.when(k % 5 == 0, "H:org.shop").otherwise("F:com.google.B"))
+    found = t.orders.where("o_orderkey % 2 = o_custkey % 2").groupBy(F.col("o_custkey").alias("app")).agg(F.collect_set(f).alias("f"))
+    return found.select("app", P.is_sufficient(F.col("f")).alias("enough"))

@@ -50,16 +50,16 @@ def e05_only_dull_sources(t: Tables) -> DataFrame:
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def e06_located_values(t: Tables) -> DataFrame:
-    """Which documents hold a whole benchmark item: an equi-join on its second to fourth words, then the exact test."""
-    head = t.benchmark.select("item_id", F.col("text").alias("head"))
-    key = F.array_join(F.slice(F.regexp_extract_all("head", F.lit(r"[^ \n]+"), F.lit(0)), 1, 4), " ")
-    words = F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))
-    later = lambda n: F.slice(words, F.lit(n), F.greatest(F.size(words), F.lit(1)))
-    # The text may hold an item with other line ends inside a word gap, so the last test is the exact one; an item can also begin inside a word.
-    ends = F.zip_with(F.zip_with(words, later(2), lambda x, y: F.concat(x, F.lit(" "), y)), later(3), lambda x, y: F.concat(x, F.lit(" "), y))
-    left = t.documents.select("doc_id", "text", F.explode(F.array_distinct(F.array_compact(ends))).alias("key"))
-    right = head.select("item_id", "head", F.substring_index(key, " ", -3).alias("key"))
-    return left.join(right, "key").where(F.contains("text", F.col("head"))).select("doc_id", "item_id").distinct()
+    """Which documents hold a whole benchmark item."""
+    return E.located(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+
+
+@query("WITH i AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(html, '<p>([^<]{3,40})', 1) WHEN 1 THEN regexp_extract(html, '<title>([^< ]+)', 1) ELSE regexp_extract(html, '([a-z]+ [a-z]+)', 1) END AS item FROM pages) SELECT d.doc_id, page_id FROM documents d JOIN i ON item <> '' AND contains(d.text, item)")
+def e06_located_titles(t: Tables) -> DataFrame:
+    """Which documents hold words and phrases of pages, most of fewer than five words."""
+    m = F.col("page_id") % 3
+    item = F.when(m == 0, F.regexp_extract("html", "<p>([^<]{3,40})", 1)).when(m == 1, F.regexp_extract("html", "<title>([^< ]+)", 1)).otherwise(F.regexp_extract("html", "([a-z]+ [a-z]+)", 1))
+    return E.located(t.documents, "doc_id", "text", t.pages.select("page_id", item.alias("item")), "page_id", "item")
 
 
 _KNOWN = (

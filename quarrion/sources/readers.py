@@ -90,12 +90,22 @@ def tsv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, path: str) -> list[Fingerprint]:
-    """The product fingerprints of a JSON file, a list of objects (product, prefixes, recognised_by, credentials).
+    """The product fingerprints of a YAML or JSON file, a list of objects (product, prefixes, recognised_by, credentials).
+
+    YAML is told by the ending and needs its parser.
 
     A file that breaks a rule is an error that names the entry: products are given once, in small letters, digits,
     ``_``, ``.`` or ``-``; an entry has prefixes or a pattern; patterns can be compiled, those of credentials have named groups.
     """
-    entries = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # a dimension of some kilobytes
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # a dimension of some kilobytes
+    if re.search(r"\.ya?ml$", path):
+        try:
+            import yaml
+        except ImportError as missing:
+            raise ValueError("no parser for YAML is installed; give the list as JSON") from missing
+        entries = yaml.safe_load(text)
+    else:
+        entries = json.loads(text)
     if not isinstance(entries, list) or not entries:
         raise ValueError("a list of fingerprints is wanted")
     out: dict[str, Fingerprint] = {}

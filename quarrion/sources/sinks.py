@@ -59,3 +59,16 @@ def scan_once(df: DataFrame, *collectors) -> list[DataFrame]:
     """What several collectors make of one scan: it is read once, into a checkpoint that all of them read."""
     kept = checkpointed(df)
     return [collect(kept) for collect in collectors]
+
+
+def collected(df: DataFrame, path: str, **collectors) -> dict[str, DataFrame]:
+    """What several collectors find in one scan, written by one job below a new path, a folder each; the tables by name.
+
+    A collector is an array column of structs, all of one type; each row of df gives the structs of its arrays. df is read
+    once and is not kept: only what is collected is written.
+    """
+    found = F.array(*(F.struct(F.lit(n).alias("collector"), c.alias("rows")) for n, c in collectors.items()))
+    rows = df.select(F.explode(found).alias("c")).select("c.collector", F.explode("c.rows").alias("r")).select("collector", "r.*")
+    rows.write.mode("errorifexists").partitionBy("collector").parquet(path)
+    back = df.sparkSession.read.schema(rows.schema).parquet(path)
+    return {n: back.where(F.col("collector") == n).drop("collector") for n in collectors}

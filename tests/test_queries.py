@@ -18,6 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 #: Queries without SQL, and the brute-force version or known answer that holds their operator.
 TESTED_ELSEWHERE = {
+    "f38_string_kinds": "test_strings.py::test_string_kinds_of_whole_pages",
     "e12_request_context": "test_code.py::test_mentions_of_whole_pages", "e13_entry_location": "test_code.py::test_entries_of_all_customers",
     "f31_gram_hashes": "test_operators.py::test_gram_hashes", "e02_bounded_emails": "test_operators.py::test_emails", "g05_first_rule_links": "test_families.py::test_first_links_match_all_pairs", "g09_two_core": "test_operators.py::test_two_core_of_all_orders",
     "g10_strict_component_groups": "test_families.py::test_strict_groups",
