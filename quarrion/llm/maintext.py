@@ -1,21 +1,23 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of one host are ordered by URL path; every page is paired with the neighbour that shares the
-longest path prefix. The text lines (blocks) of both pages are aligned by a longest common
-subsequence, and lines that both pages have are deleted on every page: the template. Marks confirm
-and rescue: lines in elements marked as menus, footers, notices and the like go even if the
-neighbour has other ones, and an article that the host publishes twice (the neighbour has at least
-half of its characters) keeps its lines. Marks decide alone only where there is no neighbour or
-nothing is shared with it.
+Pages of one host are ordered by URL path; every page is paired with the NEAR pages on either side of
+it. The text lines (blocks) of both pages are aligned by a longest common subsequence. Lines that a page
+shares with the nearest of them, the one with the longest path prefix, are deleted: the template. A line
+inside an article asks for more evidence, as two pages may use one sentence by chance: it goes if at
+least two of the compared pages, and more than half of them, share it, where copies of the article
+(pages that have at least half of its characters) say nothing. Marks confirm: lines in elements marked as
+menus, footers, notices and the like go even if the neighbours have other ones. Marks decide alone only
+where there is no neighbour or nothing is shared with one.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -143,68 +145,84 @@ def lines(page: str) -> list[tuple[str, int]]:
     return [(text, inner if lv == WRAPPED else lv) for text, lv in out]
 
 
-#: How far apart in number the occurrences of a line that both pages repeat may be to match.
-REPEATS = 64
+#: Pages on either side with which a page is compared.
+NEAR = 4
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of a with every prefix of b: one addition of len(b) bits for each line of a."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    free = full
+    for x in a:
+        met = free & masks.get(x, 0)
+        free = ((free + met) | (free - met)) & full
+    bits = np.unpackbits(np.frombuffer(free.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _aligned(a: list[int], b: list[int], i: int, j: int, out: list[tuple[int, int]]) -> None:
+    """Appends the pairs of a longest common subsequence of a and b, which begin at i and j, by halves of a."""
+    while a and b and a[0] == b[0]:
+        out.append((i, j))
+        a, b, i, j = a[1:], b[1:], i + 1, j + 1
+    tail = 0
+    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[: len(a) - tail], b[: len(b) - tail]
+    if x and y:
+        if len(x) == 1:
+            if x[0] in y:
+                out.append((i, j + y.index(x[0])))
+        else:
+            half = len(x) // 2
+            cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+            _aligned(x[:half], y[:cut], i, j, out)
+            _aligned(x[half:], y[cut:], i + half, j + cut, out)
+    out += [(i + len(x) + n, j + len(y) + n) for n in range(tail)]
 
 
 def shared(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Indices of a longest common subsequence in both lists (chains of matches kept by their least ends).
+    """Indices of a longest common subsequence in both lists.
 
-    The n-th occurrence of a line is matched with the occurrences n - REPEATS to n + REPEATS of the other page, so a
-    line that pages repeat thousands of times does not make a match of each pair.
+    Lines that the other list lacks are passed over first. Time is that of len(a) additions of len(b) bits, twice, and
+    memory that of the lists, however often lines repeat.
     """
+    both = set(a) & set(b)
+    if not both:
+        return [], []
+    x, y = [i for i, v in enumerate(a) if v in both], [j for j, v in enumerate(b) if v in both]
     lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+    while lo < min(len(x), len(y)) and a[x[lo]] == b[y[lo]]:
         lo += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - lo and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, lo - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    chains: list[tuple | None] = []
-    seen: dict[int, int] = {}
-    for i in range(lo, len(a) - tail):
-        met = where.get(a[i], ())
-        if len(met) > REPEATS:  # in descending order
-            n = len(met) - 1 - seen.get(a[i], 0)
-            seen[a[i]] = seen.get(a[i], 0) + 1
-            met = met[max(0, n - REPEATS) : max(0, n + REPEATS + 1)]
-        for j in met:
-            k = bisect_left(ends, j)
-            link = (i, j, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(link)
-            else:
-                ends[k], chains[k] = j, link
-    pairs, link = [], chains[-1] if chains else None
-    while link:
-        pairs.append(link[:2])
-        link = link[2]
-    x = [*range(lo), *(i for i, _ in reversed(pairs)), *range(len(a) - tail, len(a))]
-    y = [*range(lo), *(j for _, j in reversed(pairs)), *range(len(b) - tail, len(b))]
-    return x, y
-
-
-def main_text(found: list[tuple[str, int]], template: list[int] | None) -> str:
+    pairs = [(i, i) for i in range(lo)]
+    _aligned([a[i] for i in x[lo:]], [b[j] for j in y[lo:]], lo, lo, pairs)
+    return [x[i] for i, _ in pairs], [y[j] for _, j in pairs]
+
+
+def main_text(found: list[tuple[str, int]], neighbours: list[list[int]] | None = None, compared: int = 0) -> str:
     """The lines of a page that are neither template lines nor marked as boilerplate.
 
-    Template lines of the highest level stay if that is an article or main part of which they are at
-    least half of the characters: a copy. Without template lines those of the highest level are the
-    text, as they are if nothing else is left (an unmarked copy).
+    ``neighbours`` has the lines shared with each compared page that shares any, the nearest first; ``compared`` counts
+    all compared pages. Without shared lines those of the highest level are the text; they are as well if nothing else
+    is left (an unmarked copy).
     """
     best = max((lv for _, lv in found), default=NEUTRAL)
     top = [i for i, (_, lv) in enumerate(found) if lv == best and lv != BOILERPLATE]
-    common = set(template or ())
-    keep = top
-    if common:
-        copied = sum(len(found[i][0]) for i in top if i in common)
-        copy = best >= MAIN and 2 * copied >= sum(len(found[i][0]) for i in top)
-        own = [i for i, (_, lv) in enumerate(found) if lv != BOILERPLATE and (i not in common or (copy and lv == best))]
-        keep = own or top
-    return "\n".join(found[i][0] for i in keep)
+    if not neighbours:
+        return "\n".join(found[i][0] for i in top)
+    sets = [set(n) for n in neighbours]
+    gone = sets[0]
+    if best >= MAIN:
+        whole = sum(len(found[i][0]) for i in top)
+        others = [n for n in sets if 2 * sum(len(found[i][0]) for i in top if i in n) < whole]
+        count = Counter(i for n in others for i in n)
+        total = len(others) + compared - len(sets)
+        gone = {i for i in sets[0] if found[i][1] < best} | {i for i in top if count[i] >= 2 and 2 * count[i] > total}
+    own = [i for i, (_, lv) in enumerate(found) if lv != BOILERPLATE and i not in gone]
+    return "\n".join(found[i][0] for i in own or top)
 
 
 def _hash(text: str) -> int:
@@ -217,15 +235,30 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "path", "row", "lines"])
 
 
-_PAIR = pa.schema([("row", pa.int64()), ("prefix", pa.int32()), ("ahead", pa.bool_()), ("template", pa.list_(pa.int32())), ("part", pa.int32()), ("last", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64()))])
-_PAIR_DDL = "row long, prefix int, ahead boolean, template array<int>, part int, last boolean, host string, path string, lines array<long>"
+_SHARED = pa.list_(pa.struct([("prefix", pa.int32()), ("distance", pa.int32()), ("ahead", pa.bool_()), ("lines", pa.list_(pa.int32()))]))
+_MET = pa.schema([("row", pa.string()), ("compared", pa.int32()), ("shared", _SHARED), ("part", pa.int32()), ("at", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64()))])
+_MET_DDL = "row string, compared int, shared array<struct<prefix:int,distance:int,ahead:boolean,lines:array<int>>>"
+
+
+class _Page:
+    """A page in the order of paths, and what it shares with those around it."""
 
+    def __init__(self, host: str, path: str, row: str, found: list[int], at: int = 0) -> None:
+        self.host, self.path, self.row, self.lines, self.at = host, path, row, found, at
+        self.compared, self.shared = 0, []
 
-def _pair(x: tuple, y: tuple) -> list[tuple]:
-    """Two rows, of what x and y (host, path, row, lines) share."""
-    prefix = next((i for i, (p, q) in enumerate(zip(x[1], y[1], strict=False)) if p != q), min(len(x[1]), len(y[1])))
-    a, b = shared(x[3], y[3])
-    return [(x[2], prefix, True, a), (y[2], prefix, False, b)]
+    def meet(self, later: _Page, distance: int) -> None:
+        prefix = next((i for i, (p, q) in enumerate(zip(self.path, later.path, strict=False)) if p != q), min(len(self.path), len(later.path)))
+        for page, ahead, mine in zip((self, later), (True, False), shared(self.lines, later.lines), strict=True):
+            page.compared += 1
+            if mine:
+                page.shared.append({"prefix": prefix, "distance": distance, "ahead": ahead, "lines": mine})
+
+    def met(self) -> tuple:
+        return self.row, self.compared, self.shared, None, None, None, None, None
+
+    def edge(self, part: int) -> tuple:
+        return self.row, None, None, part, self.at, self.host, self.path, self.lines
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -233,56 +266,76 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _consecutive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours in an ordered partition, and its first and last row (part not null)."""
-    part, before, first = TaskContext.get().partitionId(), None, None
+    """What pages share inside an ordered partition, and its first and last NEAR pages (part not null); of equal rows one is looked at."""
+    part, near, first, n = TaskContext.get().partitionId(), deque(maxlen=NEAR), [], 0
     for batch in batches:
         out = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if before and before[0] == row[0] and before[2] != row[2]:
-                out += [(*p, None, None, None, None, None) for p in _pair(before, row)]
-            first, before = first or row, row
-        yield _batch(out, _PAIR)
-    if before:
-        yield _batch([(r[2], None, None, None, part, last, r[0], r[1], r[3]) for r, last in ((first, False), (before, True))], _PAIR)
+        for host, path, row, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if near and near[-1].row == row and near[-1].host == host:
+                continue
+            page = _Page(host, path, row, found, n)
+            n += 1
+            for distance, before in enumerate(reversed(near), start=1):
+                if before.host == host:
+                    before.meet(page, distance)
+            if len(near) == NEAR:
+                out.append(near[0].met())
+            if len(first) < NEAR:
+                first.append(page)
+            near.append(page)
+        yield _batch(out, _MET)
+    edges = {p.at: p for p in (*first, *near)}
+    if edges:
+        yield _batch([*(p.met() for p in near), *(p.edge(part) for p in edges.values())], _MET)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([_PAIR.field(i) for i in range(4)])
+    """What pages of different partitions share: of rows (host, path, row, lines, later), where later has those behind in order."""
+    schema = pa.schema([_MET.field(i) for i in range(3)])
     for batch in batches:
-        c = [x.to_pylist() for x in batch.columns]
-        yield _batch([p for host, *r in zip(*c, strict=True) for p in _pair((host, *r[:3]), (host, *r[3:]))], schema)
+        out = []
+        for host, path, row, found, later in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for x in later:
+                if x["row"] != row:
+                    one, other = _Page(host, path, row, found), _Page(host, x["path"], x["row"], x["lines"])
+                    one.meet(other, x["distance"])
+                    out += [one.met()[:3], other.met()[:3]]
+        yield _batch(out, schema)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = [main_text(lines(b.decode()), t) for b, t in zip(W.as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
+        text = []
+        for b, compared, found in zip(W.as_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            order = sorted(found or (), key=lambda x: (-x["prefix"], x["distance"], x["ahead"], -len(x["lines"]), x["lines"]))
+            text.append(main_text(lines(b.decode()), [x["lines"] for x in order], compared or 0))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(row, template): line numbers that the page with this row hash shares with its nearest page.
+    """(row, compared, shared): with how many pages of its host the page with this row hash was compared, and what lines it shares with each.
 
-    ``pages`` has (row, url, html). A null url is a host of its own; pages alone on their host have no row.
+    ``pages`` has (row, url, html). A null url is a host of its own; pages that share nothing have no row.
     """
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    rows = pages.select(host.alias("host"), path.alias("path"), "row", "html").mapInArrow(_line_hashes, "host string, path string, row long, lines array<long>")
+    rows = pages.select(host.alias("host"), path.alias("path"), "row", "html").mapInArrow(_line_hashes, "host string, path string, row string, lines array<long>")
     ordered = rows.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
-    found = checkpointed(ordered.mapInArrow(_consecutive, _PAIR_DDL))
-    names = ["row", "prefix", "ahead", "template"]
-    seam = Window.orderBy("part", "last")  # two rows a partition
-    ends = found.where("part is not null").withColumns({f"next_{c}": F.lead(c).over(seam) for c in ("host", "path", "row", "lines")})
-    met = ends.where(F.col("last") & (F.col("host") == F.col("next_host")) & (F.col("row") != F.col("next_row")))
-    across = met.select("host", "path", "row", "lines", "next_path", "next_row", "next_lines").mapInArrow(_across, _PAIR_DDL.split(", part")[0])
-    both = found.where("part is null").select(*names).unionByName(across)
-    return both.groupBy("row").agg(F.max_by("template", F.struct("prefix", ~F.col("ahead"), F.size("template"))).alias("template"))
+    found = checkpointed(ordered.mapInArrow(_consecutive, f"{_MET_DDL}, part int, at long, host string, path string, lines array<long>"))
+    seam = Window.partitionBy("host").orderBy("part", "at")  # 2 * NEAR rows a partition
+    later = F.array_compact(F.array(*(F.when(F.lead("part", d).over(seam) != F.col("part"), F.struct(F.lit(d).alias("distance"), *(F.lead(c, d).over(seam).alias(c) for c in ("path", "row", "lines")))) for d in range(1, NEAR + 1))))
+    ends = found.where("part is not null").select("host", "path", "row", "lines", later.alias("later"))
+    across = ends.where(F.size("later") > 0).mapInArrow(_across, _MET_DDL)
+    both = found.where("part is null").select("row", "compared", "shared").unionByName(across)
+    return both.groupBy("row").agg(F.sum("compared").cast("int").alias("compared"), F.flatten(F.collect_list("shared")).alias("shared")).where(F.size("shared") > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text and n_chars. A null html is an empty page; rows may repeat."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    full = rows.join(templates(rows), "row", "left").select("page_id", "url", "html", "template")
+    halves = (F.xxhash64("page_id", "url", "html"), F.xxhash64(F.lit(0x5DEECE66D), "html", "url", "page_id"))
+    rows = rows.withColumn("row", F.concat(*(F.lpad(F.hex(h), 16, "0") for h in halves)))
+    full = rows.join(templates(rows), "row", "left").select("page_id", "url", "html", "compared", "shared")
     page_id, url = rows.schema["page_id"].dataType.simpleString(), rows.schema["url"].dataType.simpleString()
     return full.mapInArrow(_texts, f"page_id {page_id}, url {url}, text string, n_chars long")

@@ -1,4 +1,6 @@
+import os
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,3 +97,89 @@ def test_lines_repeated_thousands_of_times():
     assert time.perf_counter() - began < 30
     assert all(a[i] == b[j] for i, j in zip(x, y, strict=True)) and x == sorted(x) and y == sorted(y)
     assert len(x) == 20_000 + 1 + 40
+
+
+def test_alignment_of_lines_that_repeat_in_other_numbers():
+    d = list(range(1000, 1200))
+    a, b = [3] + [1] * 100 + d + [1] * 100 + [4], [8] + d + [1] * 100 + [9]
+    x, y = M.shared(a, b)
+    assert len(x) == 300 == brute_lcs(a, b) and [a[i] for i in x] == [b[j] for j in y]
+    rng = random.Random(1)
+    for _ in range(20):
+        a, b = ([rng.choice([1, 1, 1, 2, 3, rng.randint(4, 40)]) for _ in range(rng.randint(0, 300))] for _ in range(2))
+        x, y = M.shared(a, b)
+        assert len(x) == brute_lcs(a, b) and [a[i] for i in x] == [b[j] for j in y] and x == sorted(set(x)) and y == sorted(set(y))
+
+
+def brute_texts(rows):
+    """The text of each distinct (page_id, url, html): all pages of a host in order, each against those up to NEAR places away."""
+    hosts = {}
+    for r in set(rows):
+        host, path = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*))?(.*)", r[1] or "", re.S).groups()
+        hosts.setdefault((host or "").lower(), []).append((path, r))
+    out = {}
+    for pages in hosts.values():
+        pages.sort(key=lambda p: (p[0], ROW[p[1]]))
+        lines = [M.lines(r[2] or "") for _, r in pages]
+        for i, (path, r) in enumerate(pages):
+            met = []
+            for j in range(max(0, i - M.NEAR), min(len(pages), i + M.NEAR + 1)):
+                if i != j:
+                    lo, hi = min(i, j), max(i, j)
+                    both = M.shared([t for t, _ in lines[lo]], [t for t, _ in lines[hi]])
+                    prefix = len(os.path.commonprefix([path, pages[j][0]]))
+                    met.append((-prefix, hi - lo, j > i, -len(both[0]), both[i > j]))
+            out[r] = M.main_text(lines[i], [m[-1] for m in sorted(met) if m[-1]], len(met))
+    return out
+
+
+ROW = {}
+
+
+def known_rows(spark, df):
+    """The rows of df, with the hash by which equal paths are ordered."""
+    rows = [tuple(r) for r in df.select("page_id", "url", "html").collect()]
+    hashed = df.selectExpr("page_id", "url", "html", "coalesce(html, '') as h").selectExpr("page_id", "url", "html", f"concat(lpad(hex(xxhash64(page_id, url, h)), 16, '0'), lpad(hex(xxhash64({0x5DEECE66D}L, h, url, page_id)), 16, '0')) as row")
+    ROW.update({(r.page_id, r.url, r.html): r.row for r in hashed.collect()})
+    return rows
+
+
+def test_whole_table_matches_brute_force(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = known_rows(spark, df)
+    want = brute_texts(rows)
+    assert sorted((r.page_id, r.text) for r in M.extract(df).collect()) == sorted((r[0], want[r]) for r in rows)
+
+
+def test_pages_over_many_partitions_match_brute_force(spark):
+    rng = random.Random(7)
+    pieces = ["<p>menu</p>", "<nav>n</nav>", "<article>", "</article>", "<p>shared sentence</p>", "<div>ad</div>", "<p>chance</p>", "<main>", "</main>", "<footer>f</footer>"]
+    made = lambda: "".join(rng.choice(pieces) if rng.random() < 0.6 else f"<p>line {rng.randint(0, 30)} of some length</p>" for _ in range(rng.randint(0, 14)))
+    rows = [(i, rng.choice([f"http://h{rng.randint(0, 2)}/{rng.choice('ab')}/{rng.randint(0, 40)}", f"HTTP://H{rng.randint(0, 2)}/x", None, "no url"]), made()) for i in range(220)]
+    rows += [rows[4]] * 30 + [(500 + i, "http://h1/a/1", rows[9][2]) for i in range(6)] + [(900, "http://h2/a/2", None)]
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+        known = known_rows(spark, df)
+        want = brute_texts(known)
+        assert sorted((r.page_id, r.text) for r in M.extract(df).collect()) == sorted((r[0], want[r]) for r in known)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_no_article_line_is_lost_by_chance(spark, sf_dir):
+    """On the tables every page has a marked article and no template inside it: texts are those of the marks."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    html = {r.page_id: r.html for r in rows.collect()}
+    for r in M.extract(rows).collect():
+        article = [t for t, lv in M.lines(html[r.page_id]) if lv == M.ARTICLE]
+        assert [t for t in r.text.split("\n") if t in article] == article
+
+
+def test_one_sentence_of_two_neighbours_stays_in_the_article(spark):
+    page = "<article><h1>head {0}</h1><p>text of page {0}, long enough to be one</p>{1}</article><p>site</p>"
+    rows = [(i, f"http://h/{i}", page.format(i, "<p>by chance</p>" if i in (3, 4) else "")) for i in range(9)]
+    got = {r.page_id: r.text for r in M.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"head {i}\ntext of page {i}, long enough to be one" + ("\nby chance" if i in (3, 4) else "") for i in range(9)}
