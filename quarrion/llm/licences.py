@@ -151,7 +151,8 @@ def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
     digests = _digests(known)
     if known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         digests = F.broadcast(digests)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), canonical_lines(F.col("text").cast("string")).alias("lines"))
+    row = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(0x5DEECE66D), "text", "doc_id").alias("b"))  # equal rows have equal results
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), canonical_lines(F.col("text").cast("string")).alias("lines"))
     whole = rows.select("doc_id", "row", F.size("lines").cast("long").alias("n_lines"), digest(F.col("lines")).alias("text_digest"), key(F.col("lines")).alias("digest"))
     whole = whole.join(digests, "digest", "left")
     each = rows.select("row", F.posexplode("lines").alias("at", "line")).select("row", "at", F.sha2("line", 256).alias("digest"))

@@ -3,9 +3,9 @@
 Pages of one host are ordered by URL path; every page is paired with the NEAR pages on either side of
 it. The text lines (blocks) of both pages are aligned by a longest common subsequence. Lines that a page
 shares with the nearest of them, the one with the longest path prefix, are deleted: the template. A line
-inside an article asks for more evidence, as two pages may use one sentence by chance: it goes if at
-least two of the compared pages, and more than half of them, share it, where copies of the article
-(pages that have at least half of its characters) say nothing. Marks confirm: lines in elements marked as
+inside an article asks for more evidence, as pages may use one sentence by chance or quote one passage:
+it goes if at least two of the compared pages, and three quarters of them, share it, where copies of the
+article (pages that have at least half of its characters) say nothing. Marks confirm: lines in elements marked as
 menus, footers, notices and the like go even if the neighbours have other ones. Marks decide alone only
 where there is no neighbour or nothing is shared with one.
 """
@@ -145,8 +145,8 @@ def lines(page: str) -> list[tuple[str, int]]:
     return [(text, inner if lv == WRAPPED else lv) for text, lv in out]
 
 
-#: Pages on either side with which a page is compared.
-NEAR = 4
+#: Pages on either side with which a page is compared, and the share of them (two at least) that makes a line of an article template.
+NEAR, MOST_PAGES = 4, 0.75
 
 
 def _lengths(a: list[int], b: list[int]) -> np.ndarray:
@@ -220,7 +220,7 @@ def main_text(found: list[tuple[str, int]], neighbours: list[list[int]] | None =
         others = [n for n in sets if 2 * sum(len(found[i][0]) for i in top if i in n) < whole]
         count = Counter(i for n in others for i in n)
         total = len(others) + compared - len(sets)
-        gone = {i for i in sets[0] if found[i][1] < best} | {i for i in top if count[i] >= 2 and 2 * count[i] > total}
+        gone = {i for i in sets[0] if found[i][1] < best} | {i for i in top if count[i] >= max(2, MOST_PAGES * total)}
     own = [i for i, (_, lv) in enumerate(found) if lv != BOILERPLATE and i not in gone]
     return "\n".join(found[i][0] for i in own or top)
 

@@ -35,6 +35,8 @@ BUCKETS, PASSES = 1024, 4
 FEW_SOURCES, SALTS = 20_000, 64
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Begins the names of columns that stand beside those of the documents for the time of a join.
+_OWN = "__mixing_"
 
 
 def units(documents: DataFrame) -> DataFrame:
@@ -206,10 +208,10 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with all their columns and the number of their copies.
 
     A document without words has nothing to take and stays out. The new column is ``copies``; a
-    column of that name in documents is replaced.
+    column of that name in documents is replaced. Names that begin with ``__mixing_`` are taken.
     """
-    found = copies(documents, **options).where("copies > 0 and size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    found = copies(documents, **options).where("copies > 0 and size > 0").select(*(F.col(c).alias(f"{_OWN}{c}") for c in ("doc_id", "source", "size", "copies")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = documents.withColumn("_words", size)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return own.join(found, same).withColumn("copies", F.col("_copies")).drop("_id", "_source", "_size", "_copies", "_words")
+    own = documents.drop("copies").select("*", F.col("doc_id").cast("long").alias(f"{_OWN}i"), F.col("source").cast("string").alias(f"{_OWN}s"), size.alias(f"{_OWN}w"))
+    same = F.col(f"{_OWN}i").eqNullSafe(F.col(f"{_OWN}doc_id")) & F.col(f"{_OWN}s").eqNullSafe(F.col(f"{_OWN}source")) & (F.col(f"{_OWN}w") == F.col(f"{_OWN}size"))
+    return own.join(found, same).select(*(F.col(f"`{c}`") for c in documents.columns if c != "copies"), F.col(f"{_OWN}copies").alias("copies"))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +135,19 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(_RESULT), _RESULT, strict=True)], schema=_RESULT)
 
 
+def _range_of(cuts: list[int]):
+    """The number of an id's range, from the largest ids down, by a binary search among the cuts; null ids are the last range."""
+    known = np.array(cuts, dtype=np.int64)
+
+    def number(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            ids = pc.fill_null(column, 0).to_numpy(zero_copy_only=False)
+            at = np.where(column.is_null().to_numpy(zero_copy_only=False), len(known) + 1, len(known) - np.searchsorted(known, ids, side="left"))
+            yield pa.array(at, pa.int32())
+
+    return F.arrow_udf(number, "int")
+
+
 def fingerprints(documents: DataFrame, *, ranges: int | None = None) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and the likeness of both and of the next document.
 
@@ -148,9 +162,7 @@ def fingerprints(documents: DataFrame, *, ranges: int | None = None) -> DataFram
         ranges = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.rdd.getNumPartitions())
     steps = [i / ranges for i in range(1, ranges)] or [0.5]
     cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", steps, 10 * ranges)).first()[0] or []))
-    # Ranges count from the largest ids down; null ids are the last one.
-    at = F.lit(len(cuts)) - F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("doc_id")))
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(at))
+    rows = rows.withColumn("range", _range_of(cuts)(F.col("doc_id")))
     tops = checkpointed(rows.groupBy("range").agg(F.max("doc_id").alias("top")).withColumnRenamed("range", "r"))  # one row a range
     heads = rows.join(F.broadcast(tops), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("range").agg(F.min("text").alias("text"))
     order = Window.orderBy("r")  # numbers of the ranges alone; texts are joined to them

@@ -108,7 +108,7 @@ def _uuid_sql(text: str) -> str:
 
 _OP1 = f"""
 WITH response AS (
-  SELECT {_uuid_sql("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")} AS record_id, url AS target_uri, coalesce(html, '') AS payload FROM pages
+  SELECT {_uuid_sql("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || sha256(coalesce(html, ''))")} AS record_id, url AS target_uri, coalesce(html, '') AS payload FROM pages
 ), source AS (
   SELECT record_id, target_uri, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload) AS source_headers,
     'sha256:' || sha256(payload) AS source_digest, {_replaced("payload", warc.TEXT_STEPS)} AS text,

@@ -21,6 +21,10 @@ BUCKET = 3600
 MOST_BROADCAST = 1_000_000
 
 
+#: Begins the names of columns that stand beside those of the captures for the time of a join.
+_OWN = "__urllists_"
+
+
 def host_of(url):
     """The lower-case host of a URL without user and port; null for a null URL, empty if it has none."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
@@ -56,7 +60,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", at: s
     """captures with host, blocked, matched, since and until.
 
     An interval holds from since on and before until. A null url or time is not blocked. Columns of
-    captures with one of these names are replaced; repeated captures stay.
+    captures with one of these names are replaced; repeated captures stay. Names that begin with
+    ``__urllists_`` are taken.
     """
     added = ("host", "blocked", "matched", "since", "until")
     own = captures.drop(*added).withColumn("host", host_of(F.col(url)))
@@ -80,6 +85,6 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", at: s
     hit = F.coalesce("inside", "held")
     holds = latest.select("host", "t", "domain", hit.alias("hit")).where(F.col("hit").isNotNull() & (F.col("hit.until").isNull() | (F.col("t") < F.col("hit.until"))))
     best = holds.groupBy("host", "t").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "hit")).alias("best"))
-    found = best.select(F.col("host").alias("_host"), F.col("t").alias("_t"), F.col("best.domain").alias("matched"), F.col("best.hit.since").alias("since"), F.col("best.hit.until").alias("until"))
-    joined = own.join(found, (own["host"] == found["_host"]) & (own[at].cast("timestamp") == found["_t"]), "left").drop("_host", "_t")
+    found = best.select(F.col("host").alias(f"{_OWN}host"), F.col("t").alias(f"{_OWN}t"), F.col("best.domain").alias("matched"), F.col("best.hit.since").alias("since"), F.col("best.hit.until").alias("until"))
+    joined = own.join(found, (own["host"] == found[f"{_OWN}host"]) & (own[at].cast("timestamp") == found[f"{_OWN}t"]), "left").drop(f"{_OWN}host", f"{_OWN}t")
     return joined.withColumn("blocked", F.col("matched").isNotNull())

@@ -19,9 +19,11 @@ CRLF = "\r\n"
 #: Software field of the metadata records.
 SOFTWARE = "quarrion warc derivatives"
 
+#: Elements whose content is no text of the page.
+UNREAD = ("script", "style", "title", "noscript", "noframes", "noembed", "iframe", "template", "textarea")
 #: Regular expressions (Java and RE2 alike) and replacements that turn HTML into text lines: markup, then character references, then blanks, in this order.
 MARKUP = (
-    (r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z)|title\b[^>]*>.*?(?:</title\s*>|\z))", ""),
+    (r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{name}\b[^>]*>.*?(?:</{name}\s*>|\z)" for name in UNREAD) + ")", ""),
     (r"[\s]{2,}|[\t\n\r\f]", " "),
     (r"(?i)</?(p|div|h[1-6]|li|ul|ol|tr|table|td|th|br|hr|article|section|main|nav|header|footer|aside|blockquote|pre|form|dl|dt|dd|body|html|head)\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
@@ -46,7 +48,7 @@ def _decoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def plain_text(page):
     """Text lines of an HTML column, all character references decoded; a null column gives the empty text.
 
-    A script, style, title or comment without an end goes on to the end of the page.
+    Comments and the elements of UNREAD give no text; one without an end goes on to the end of the page.
     """
     text = F.coalesce(page, F.lit(""))
     for pattern, by in MARKUP:
@@ -73,11 +75,12 @@ def uuid_of(text):
 def responses_from_pages(pages: DataFrame) -> DataFrame:
     """Response records (record_id, target_uri, warc_date, http_headers, payload) of rows (page_id, url, html).
 
-    The pages carry no capture time or headers: the date is a fixed day, the headers state type and length.
+    The pages carry no capture time or headers: the date is a fixed day, the headers state type and length. Identifiers
+    are made of page_id, url and the payload's digest, so other contents under one page and url are other records.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     headers = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload))
-    key = F.concat(F.lit("response|"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("url", F.lit("")))
+    key = F.concat(F.lit("response|"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("url", F.lit("")), F.lit("|"), F.sha2(payload, 256))
     return pages.select(uuid_of(key).alias("record_id"), F.col("url").alias("target_uri"), F.lit("2024-01-01T00:00:00Z").alias("warc_date"), headers.alias("http_headers"), payload.alias("payload"))
 
 

@@ -89,3 +89,17 @@ def test_all_references_are_decoded_once(spark):
     df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "i int, html string")
     got = {r.i: r.t for r in df.select("i", warc.plain_text(F.col("html")).alias("t")).collect()}
     assert [got[i] for i in range(len(pages))] == [t for _, t in pages]
+
+
+def test_other_contents_under_one_page_and_url_are_other_records(spark):
+    rows = [(1, "http://a/", "<p>one"), (1, "http://a/", "<p>two"), (1, "http://a/", "<p>two"), (1, None, None), (None, "http://a/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.derivatives(warc.responses_from_pages(pages)).collect()
+    assert len(found) == 10 and len({r.record_id for r in found}) == 8 and len({r.refers_to for r in found}) == 4
+    assert {r.block for r in found if r.warc_type == "conversion"} == {"one", "two", ""}
+
+
+def test_elements_without_text_give_none(spark):
+    html = "<p>a<noscript>N<b>S</b></noscript><TEXTAREA rows=2>TA</textarea><template><p>TP</template><iframe src=x>F</iframe><p>b<textareas>c<template>rest"
+    (row,) = spark.createDataFrame([(html,)], "h string").select(warc.plain_text(F.col("h")).alias("t")).collect()
+    assert row.t == "a\nbc"

@@ -140,3 +140,14 @@ def test_many_sources_go_the_salted_way_with_the_same_result(spark, monkeypatch)
     few = sorted(map(tuple, mixing.mixture(df).collect()))
     monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
     assert sorted(map(tuple, mixing.mixture(df).collect())) == few
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, "a b c", "s", i, i + 1, "x", 2.0, True, "size") for i in range(6)] + [(None, "d", None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _words int, _id long, _source string, _size double, _copies boolean, size string")
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "copies"]
+    kept = {r.doc_id: r for r in out.collect()}
+    assert kept and all(tuple(kept[r[0]])[:-1] == r for r in rows if r[0] in kept)
+    again = mixing.mix(docs.withColumn("copies", mixing.F.lit("old"))).collect()
+    assert sorted(str(r.copies) for r in again) == sorted(str(r.copies) for r in kept.values())

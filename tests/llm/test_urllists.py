@@ -50,3 +50,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "domain string, listed boolean, ts timestamp")
     assert [r.blocked for r in urllists.evaluate(captures, none).collect()] == [False]
     assert urllists.evaluate(captures.limit(0), none).collect() == []
+
+
+def test_columns_of_any_name_stay(spark):
+    start = datetime(2024, 1, 1)
+    captures = spark.createDataFrame([("http://a.org/x", start, 1, 2, 3, 4)], "url string, fetched_at timestamp, _host int, _t int, domain int, bucket int")
+    lists = spark.createDataFrame([("a.org", True, start)], "domain string, listed boolean, ts timestamp")
+    (row,) = urllists.evaluate(captures, lists).collect()
+    assert (row._host, row._t, row.domain, row.bucket, row.host, row.blocked, row.matched) == (1, 2, 3, 4, "a.org", True, "a.org")
