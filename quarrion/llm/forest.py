@@ -135,7 +135,10 @@ def _edges(rows: pa.Table, least: float) -> list[pa.Array]:
 
 
 def _along(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Candidate edges of a sorted partition, and its first and last rows (part not null), which the seams between partitions are made of."""
+    """Candidate edges of a sorted partition, and its first and last rows (part not null), which the seams between partitions are made of.
+
+    A partition of NEAR rows or fewer has no last rows: all of its rows are first ones.
+    """
     part, held, started = TaskContext.get().partitionId(), None, False
 
     def seam(rows: pa.Table, last: bool) -> pa.RecordBatch:
@@ -156,10 +159,8 @@ def _along(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             yield linked(held)
             held = held.slice(held.num_rows - NEAR - 1)
     if held is not None:
-        if not started:
-            yield seam(held, False)
         yield linked(held)
-        yield seam(held.slice(max(0, held.num_rows - NEAR - 1)), True)
+        yield seam(held.slice(max(0, held.num_rows - NEAR - 1)), True) if started else seam(held, False)
 
 
 def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -169,8 +170,9 @@ def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     ordered = trees.repartitionByRange("tree", "prefix", "set_key").sortWithinPartitions("tree", "prefix", "set_key")
     found = checkpointed(ordered.mapInArrow(lambda b: _along(b, least), "a binary, b binary, part int, last boolean, tree int, prefix binary"))
     ends = found.where("part is not null")
-    # The end of a partition and the beginning of the next one that has rows make a seam.
-    parts = ends.select("part").distinct().withColumn("seam", F.row_number().over(Window.orderBy("part")))  # one row a partition
+    # The end of a partition, all short ones behind it and the beginning of the next that is not short make a seam.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = ends.groupBy("part").agg(F.max(F.col("last").cast("int")).alias("long")).select("part", F.coalesce(F.sum("long").over(before), F.lit(0)).alias("seam"))
     seams = ends.join(F.broadcast(parts), "part").select((F.col("seam") + F.col("last").cast("int")).alias("seam"), "tree", "prefix", F.col("a").alias("set_key"))
 
     def across(rows: pa.Table) -> pa.Table:

@@ -126,3 +126,40 @@ def test_bounds_spare_no_link():
     assert all(roots[i] == roots[j] for i, j in links)
     across = forest.confirm(sets[:2] + sets[:1], 85, [0, 1, 2], np.array([0, 0, 1]))
     assert across[2] == across[0] != across[1] or across[1] == across[0]
+
+
+def test_neighbours_lie_over_partitions_of_few_rows(spark):
+    """An order dealt over many partitions, most of fewer rows than a row meets, has the edges of one whole order."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 3, (60, forest.MINIMA)).astype(np.uint8)
+    sigs = np.concatenate([base, base[rng.integers(0, 60, 240)]])
+    flip = rng.random(sigs.shape) < 0.2
+    sigs[flip] = rng.integers(0, 3, int(flip.sum()))
+    rows = [(i.to_bytes(16, "big"), s.tobytes()) for i, s in enumerate(sigs)]
+    df = spark.createDataFrame(rows, "set_key binary, sig binary")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    found = {}
+    try:
+        for parts in (1, 7, 400):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            edges = [(bytes(r.a), bytes(r.b)) for r in forest.candidate_edges(df, 85).collect()]
+            up = {}
+            for a, b in edges:
+                up.setdefault(a, set()).add(b)
+                up.setdefault(b, set()).add(a)
+            reached, groups = set(), []
+            for k in sorted(up):
+                if k not in reached:
+                    group, todo = set(), [k]
+                    while todo:
+                        x = todo.pop()
+                        if x not in group:
+                            group.add(x)
+                            todo += up[x]
+                    reached |= group
+                    groups.append(frozenset(group))
+            found[parts] = set(groups)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found[1] == found[7] == found[400] and found[1]
