@@ -13,6 +13,7 @@ from quarrion.operators import families as P
 from quarrion.operators import graph as G
 from quarrion.operators import similarity as S
 from quarrion.plans.registry import Tables, query
+from quarrion.storage import checkpointed
 
 
 def _apps(t: Tables) -> DataFrame:
@@ -94,8 +95,10 @@ def g07_similar_menus(t: Tables) -> DataFrame:
 
 def _groups(t: Tables) -> tuple[DataFrame, DataFrame, int]:
     members, n = _members(t)
-    core = G.k_core(P.second_links(members, n), 2, "l", "r").select(F.col("a").alias("l"), F.col("b").alias("r"))
-    return P.strict_groups(core, members), members, n
+    members = checkpointed(members)
+    links = checkpointed(P.second_links(members, n).select("l", "r"))
+    core = G.k_core(links, 2, "l", "r").select(F.col("a").alias("l"), F.col("b").alias("r"))
+    return checkpointed(P.strict_groups(core, members)), members, n
 
 
 @query()
@@ -134,5 +137,34 @@ def g22_broken_fingerprints(t: Tables) -> DataFrame:
     """(family, feature) of fingerprints that a member of the family lacks: none."""
     apps = _apps(t)
     found = P.component_families(apps)
-    wanted = found.members.join(found.fingerprints.select("family", F.explode("fingerprint").alias("feature")), "family").select("family", "node", "feature")
-    return wanted.join(P.second_features(apps), ["node", "feature"], "left_anti").select("family", "feature").distinct()
+    return P.broken_fingerprints(found.members, found.fingerprints, P.second_features(apps))
+
+
+@query("SELECT n_nationkey AS family, feature FROM (SELECT n_nationkey, c_custkey, unnest(['L:' || n_name, 'S:' || c_mktsegment, 'H:' || c_acctbal::BIGINT % 2]) AS feature FROM nation JOIN customer ON c_nationkey = n_nationkey) JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS all_of FROM customer GROUP BY 1) USING (n_nationkey) GROUP BY n_nationkey, feature, all_of HAVING count(*) < all_of")
+def g22_broken_claims(t: Tables) -> DataFrame:
+    """Nations whose customers do not all have what some of them have, told by the invariant of fingerprints."""
+    own = F.array(F.concat(F.lit("L:"), "n_name"), F.concat(F.lit("S:"), "c_mktsegment"), F.concat(F.lit("H:"), (F.round("c_acctbal").cast("long") % 2).cast("string")))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").alias("family"), F.col("c_custkey").alias("node"), F.explode(own).alias("feature"))
+    claims = rows.groupBy("family").agg(F.collect_set("feature").alias("fingerprint"))
+    return P.broken_fingerprints(rows.select("family", "node").distinct(), claims, rows)
+
+
+def _bridged(t: Tables) -> DataFrame:
+    """(node, package, components) of customers: twelve names that thirty neighbours by key have, and six of a third of them."""
+    spelt = lambda c: F.regexp_replace(F.translate(c.cast("string"), "0123456789", "bcdfghklmn"), "(.)", "$1a")
+    g, s = spelt(F.floor(F.col("c_custkey") / 30)), spelt(F.col("c_custkey") % 3)
+    shared = [F.concat(F.lit("org.group"), g, F.lit(f".bridge.Bridge{x}"), g) for x in "ABCDEFGHIJKL"]
+    own = [F.concat(F.lit("org.part"), g, s, F.lit(f".own.Own{x}"), g, s) for x in "ABCDEF"]
+    return t.customer.select(F.col("c_custkey").alias("node"), F.lit("com.shop").alias("package"), F.concat_ws(" ", *shared, *own).alias("components"))
+
+
+@query("SELECT min(c_custkey) OVER (PARTITION BY c_custkey // 30) AS weak, min(c_custkey) OVER (PARTITION BY c_custkey // 30, c_custkey % 3) AS family, c_custkey AS node FROM customer")
+def g14_divided_customers(t: Tables) -> DataFrame:
+    """Groups of customers that bridging names hold together, divided without these."""
+    apps = _bridged(t)
+    n = apps.count()
+    members = checkpointed(P.bounded(P.second_features(apps), n))
+    links = checkpointed(P.second_links(members, n).select("l", "r"))
+    core = G.k_core(links, 2, "l", "r").select(F.col("a").alias("l"), F.col("b").alias("r"))
+    groups = checkpointed(P.strict_groups(core, members).select("family", "node"))
+    return P.divided_again(groups, members, n)

@@ -182,3 +182,37 @@ def test_weak_families_are_divided_again(spark):
             every[r.node].add(r.feature)
     for r in found.fingerprints.collect():
         assert all(set(r.fingerprint) <= every[n] for n in families[r.family])
+
+
+def merged_by_rating_all_pairs(cores, sizes):
+    """Families merged by rating all pairs again after every merge."""
+    held = [[{i}, n, set(c)] for i, (c, n) in enumerate(zip(cores, sizes, strict=True))]
+    kind = lambda s, k: {f for f in s if f[:2] in k}
+
+    def rate(x, y):
+        both = x[2] & y[2]
+        roots = [f for f in kind(both, ("H:",)) if "*" not in f]
+        if roots:
+            return 2, 1.0, len(roots), x[1] + y[1]
+        code = kind(both, ("S:", "L:"))
+        part = len(code) / (min(len(kind(z[2], ("S:", "L:"))) for z in (x, y)) or 1)
+        return (1, part, len(code), x[1] + y[1]) if len(kind(both, ("L:",))) >= 5 and (part >= 0.5 or len(code) >= 10) else None
+
+    while True:
+        rated = [(r, -i, -j) for i, x in enumerate(held) for j, y in enumerate(held) if i < j and (r := rate(x, y))]
+        if not rated:
+            return {m: min(x[0]) for x in held for m in x[0]}
+        _, i, j = max(rated)
+        y = held.pop(-j)
+        x = held[-i]
+        held[-i] = [x[0] | y[0], x[1] + y[1], x[2] & y[2]]
+
+
+def test_merging_by_a_heap_is_that_of_all_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        pool = [f"{k}:{'*' if rng.random() < 0.2 else ''}{i}" for k, n in (("H", 4), ("S", 8), ("L", 12), ("F", 3)) for i in range(n)]
+        cores = [set(rng.sample(pool, rng.randint(0, 20))) for _ in range(rng.randint(1, 12))]
+        sizes = [rng.randint(2, 6) for _ in cores]
+        into = P._Merging([set(c) for c in cores], list(sizes)).run()
+        assert dict(enumerate(into)) == merged_by_rating_all_pairs(cores, sizes)
