@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrion.operators.extract import calls
 from quarrion.storage import checkpointed
 
 # Levels of names and concatenations that are followed, characters of a value and of a declaration that is shown.
@@ -241,3 +242,15 @@ def resolved(found: DataFrame, asked: DataFrame, depth: int = DEPTH) -> DataFram
     why = marks.groupBy("app", "node").agg(F.min("mark").alias("mark"))
     status = F.when(F.col("value").isNotNull(), "resolved").when(F.col("mark") == 1, "missing").when(F.col("mark") == 2, "cycle").otherwise("deep")
     return asked.join(done, ["app", "node"], "left").join(why, ["app", "node"], "left").select("app", "unit", "id", "expression", "value", "definitions", status.alias("status"))
+
+
+def resolved_arguments(sources: DataFrame, name: str, path: str = "path", text: str = "text", app: str = "app") -> DataFrame:
+    """(app, unit, call, at, expression, value, definitions, status) of the arguments of all calls of a function in source files.
+
+    Calls are numbered in a file, arguments in a call, from 0; values are those of ``resolved``.
+    """
+    files = sources.select(F.col(app).cast("string").alias("app"), F.col(path).cast("string").alias("unit"), F.col(text).cast("string").alias("text"))
+    each = calls(files, ["app", "unit"], "text", name).select("app", "unit", "call", F.posexplode("arguments").alias("at", "expression"))
+    asked = checkpointed(each.withColumn("id", F.concat_ws(":", "call", "at", "unit")))
+    out = resolved(units(files, "unit", "text", "app"), asked)
+    return asked.select("app", "id", "call", "at").join(out, ["app", "id"]).drop("id").select("app", "unit", "call", "at", "expression", "value", "definitions", "status")

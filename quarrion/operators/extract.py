@@ -272,16 +272,19 @@ def binary_strings(files: DataFrame, least: int = 4) -> DataFrame:
     return files.select("path", "content").mapInArrow(lambda b: _strings(b, least), "path string, entry string, value string")
 
 
+_STRINGS = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+_COMMENTS = re.compile(rf"({_STRINGS})|//[^\n]*|/\*.*?\*/", re.S)
+_SIGNS = re.compile(rf"{_STRINGS}|[^\"'()\[\]{{}},]+|.", re.S)
+
+
 def call_arguments(text: str, name: str) -> list[list[str]]:
     """Arguments of the calls of a function: split at top-level commas, comments left out, strings kept whole."""
     out = []
-    clean = re.sub(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|//[^\n]*|/\*.*?\*/", lambda m: m[1] or " ", text, flags=re.S)
+    clean = _COMMENTS.sub(lambda m: m[1] or " ", text)
     for m in re.finditer(rf"(?<![\w$]){re.escape(name)}\s*\(", clean):
-        depth, args, at = 0, [""], m.end()
-        while at < len(clean):
-            string = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'").match(clean, at)
-            c = string[0] if string else clean[at]
-            at += len(c)
+        depth, args = 0, [""]
+        for sign in _SIGNS.finditer(clean, m.end()):
+            c = sign[0]
             if c in ("(", "[", "{"):
                 depth += 1
             elif c in (")", "]", "}"):

@@ -37,9 +37,10 @@ def java_sources(parts: DataFrame) -> DataFrame:
     linked = tree.join(up, "parent", "left").join(down, "child", "left")
     other = F.when(F.col("below").isNotNull(), F.col("child")).otherwise(F.when(F.col("k") >= 10, F.col("parent")))
     package = F.coalesce("below", "above")
+    call = F.lit('  void run() { Sdk.init(/* first, */ PATH, "id," + NAME, f(1, 2)); }\n')
     fields = F.concat(F.lit('  public static final String NAME = "'), "p_name", F.lit('"; // shown\n  static final String\n    PATH = '), F.when(other.isNull(), "NAME").otherwise(F.concat(F.lit("(P"), _string(other), F.lit('.PATH + "/") /* up; */ + NAME'))), F.lit(";\n"))
     imported = F.when(other.isNotNull() & (F.col("k") % 37 != 0), F.concat(F.lit("import shop."), package, F.lit(".P"), _string(other), F.lit(";\n"))).otherwise("")
-    text = F.concat(F.lit("package shop."), "brand", F.lit(";\n"), imported, F.lit("public class P"), _string("k"), F.lit(" {\n"), fields, F.lit("}\n"))
+    text = F.concat(F.lit("package shop."), "brand", F.lit(";\n"), imported, F.lit("public class P"), _string("k"), F.lit(" {\n"), fields, call, F.lit("}\n"))
     path = F.concat(F.lit("shop/"), "brand", F.lit("/P"), _string("k"), F.lit(".java"))
     return linked.select(F.lit("shop").alias("app"), path.alias("path"), text.alias("text"), "k")
 
@@ -65,6 +66,14 @@ def j21_resolved_constants(t: Tables) -> DataFrame:
     return out.select(F.col("id").alias("k"), "value", F.when(F.col("value").isNotNull(), F.size("definitions")).alias("n"))
 
 
+@query(f"WITH v AS ({_J21.strip()}) SELECT k, place, CASE place WHEN 0 THEN v.value WHEN 1 THEN 'id,' || p_name END AS value, CASE WHEN place = 1 OR (place = 0 AND v.value IS NOT NULL) THEN 'resolved' WHEN place = 2 THEN 'missing' END AS status FROM v JOIN part ON p_partkey = k, unnest([0, 1, 2]) AS u(place)")
+def e10_resolved_arguments(t: Tables) -> DataFrame:
+    """The values of the arguments of every class's call, over constants of other files."""
+    out = C.resolved_arguments(java_sources(t.part), "init")
+    k = F.regexp_extract("unit", "P([0-9]+)", 1).cast("long")
+    return out.select(k.alias("k"), F.col("at").alias("place"), "value", F.when((F.col("at") > 0) | F.col("value").isNotNull(), F.col("status")).alias("status"))
+
+
 def messages(events: DataFrame) -> DataFrame:
     """(event_id, message): error messages made of a cause, a signature of any class and a detail, chosen by the event's numbers."""
     pick = lambda words, c: F.get(F.array(*map(F.lit, words)), F.pmod(c, F.lit(len(words))).cast("int"))

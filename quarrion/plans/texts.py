@@ -203,6 +203,36 @@ def r10_rule_on_every_member(t: Tables) -> DataFrame:
     return rows.groupBy("p_type").agg(F.bool_and(holds).alias("all_hold"), F.count_if(holds).alias("n"))
 
 
+@query("SELECT p_partkey, p_partkey % 6 IN (0, 4) AS holds FROM part")
+def f16_wildcards(t: Tables) -> DataFrame:
+    """A wildcard stands for anything but a line feed; underscores and signs of patterns stand for themselves."""
+    k, n = F.col("p_partkey") % 6, F.col("p_name")
+    v = F.when(k == 0, F.concat(F.lit("a_b "), n, F.lit("c.d"))).when(k == 1, F.concat(F.lit("axb"), n, F.lit("c.d"))).when(k == 2, F.concat(F.lit("a_b"), n, F.lit("cxd"))).when(k == 3, F.concat(F.lit("a_b\n"), n, F.lit("c.d"))).when(k == 4, F.concat(F.lit("a_b\r"), n, F.lit("c.d\n"))).otherwise(F.concat(F.lit("p a_b"), n, F.lit("c.d")))
+    rows = t.part.select("p_partkey", F.array(F.lit("x"), v).alias("names"))
+    return rows.select("p_partkey", L.Compiler(rows.schema).rule("content_include(names,'a_b%c.d')").alias("holds"))
+
+
+@query("SELECT p_partkey, p_size = 7 AS by_camel, p_brand = 'Brand#3' AS by_digit, p_name = 'red bolt' AS by_itself, false AS unknown FROM part")
+def f15_field_names(t: Tables) -> DataFrame:
+    """Fields that rules name in camel case, with a number, or as they are."""
+    rows = t.part.select("p_partkey", F.col("p_size").alias("part_size"), F.col("p_brand").alias("brand_4_grams"), F.col("p_name").alias("PartName"))
+    c = L.Compiler(rows.schema)
+    rules = {"by_camel": "partSize == '7'", "by_digit": "brand4Grams == 'Brand#3'", "by_itself": "PartName == 'red bolt'", "unknown": "noField == 'x'"}
+    return rows.select("p_partkey", *(c.rule(r).alias(n) for n, r in rules.items()))
+
+
+_ORDER_RULES = [
+    L.Rule("urgent", "", "a", "oOrderpriority=~/^1/ && oOrderstatus=='O'"), L.Rule("none", "", "a", "oOrderstatus=='O' && o_orderpriority=='x' || oOrderstatus=='F'"),
+    L.Rule("many", "", "a", 'keywords_contains(o_orderpriority, "[A-Z]", 6)'), L.Rule("open", "", "a", "oOrderstatus=='O' || oOrderstatus=='P'"), L.Rule("urgent again", "", "a", "oOrderpriority=~/^1/"),
+]
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'O' THEN 'urgent' WHEN len(regexp_extract_all(o_orderpriority, '[A-Z]')) >= 6 THEN 'many' WHEN o_orderstatus IN ('O', 'P') THEN 'open' WHEN o_orderpriority LIKE '1%' THEN 'urgent again' END AS rule_id FROM orders")
+def j16_ordered_rules(t: Tables) -> DataFrame:
+    """The first of several rules, in their order, that holds for each order."""
+    return L.first_match(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), _ORDER_RULES).select("o_orderkey", "rule_id")
+
+
 @query("SELECT doc_id, k FROM (SELECT doc_id, md5(text) AS k, row_number() OVER (PARTITION BY md5(text) ORDER BY CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END, doc_id) AS n FROM documents) WHERE n = 1")
 def u05_preferred_findings(t: Tables) -> DataFrame:
     """Of findings with one key the structured source (even ids) displaces the other."""
