@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarrion.functions.text import stem
 from quarrion.operators import families as P
 from quarrion.operators import graph as G
+from quarrion.operators import libraries as B
 from quarrion.operators import similarity as S
 from quarrion.plans.registry import Tables, query
 from quarrion.storage import checkpointed
@@ -168,3 +169,23 @@ def g14_divided_customers(t: Tables) -> DataFrame:
     core = G.k_core(links, 2, "l", "r").select(F.col("a").alias("l"), F.col("b").alias("r"))
     groups = checkpointed(P.strict_groups(core, members).select("family", "node"))
     return P.divided_again(groups, members, n)
+
+
+def _built(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Libraries (node, package, uri) and classes (node, class) of customers.
+
+    Thirty neighbours by key share ten libraries, but every third thirty has common packages alone and shares ten classes.
+    """
+    k, g = F.col("c_custkey"), F.floor(F.col("c_custkey") / 30)
+    path = lambda x, c: F.concat(F.lit(f"package:{x}"), c.cast("string"), F.lit("/"))
+    libraries = [F.concat(path("shop", g), F.lit(f"{x}.dart")) for x in range(10)] + [F.concat(path("own", k), F.lit(f"{x}.dart")) for x in range(2)]
+    common = [F.lit(f"package:{p}/a{x}.dart") for p in ("dio", "http", "maps_web") for x in range(4)] + [F.lit("dart:core"), F.lit("file:///h/.pub-cache/x.dart")]
+    uris = F.when(g % 3 == 0, F.array(*common)).otherwise(F.array(*libraries, *common))
+    names = F.array(*(F.concat(F.lit(f"Order{x}G"), g.cast("string"), F.lit("<T>" if x in "BDFHJ" else "")) for x in "ABCDEFGHIJ"), F.lit("MyApp"), F.lit("_Private"), F.lit("Ab1"), F.concat(F.lit("Only"), k.cast("string")))
+    return t.customer.select(k.alias("node"), F.concat(F.lit("own"), k.cast("string")).alias("package"), F.explode(uris).alias("uri")), t.customer.select(k.alias("node"), F.explode(names).alias("class"))
+
+
+@query("SELECT min(c_custkey) OVER (PARTITION BY c_custkey // 30) AS family, c_custkey AS node, CASE WHEN c_custkey // 30 % 3 = 0 THEN 'classes' ELSE 'libraries' END AS stage FROM customer QUALIFY count(*) OVER (PARTITION BY c_custkey // 30) > 1")
+def g21_library_families(t: Tables) -> DataFrame:
+    """Families of customers by libraries, then by classes."""
+    return B.library_families(*_built(t))[0]

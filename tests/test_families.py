@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrion.operators import families as P
+from quarrion.operators import libraries as B
 
 APPS = "node long, package string, components string"
 
@@ -216,3 +217,36 @@ def test_merging_by_a_heap_is_that_of_all_pairs():
         sizes = [rng.randint(2, 6) for _ in cores]
         into = P._Merging([set(c) for c in cores], list(sizes)).run()
         assert dict(enumerate(into)) == merged_by_rating_all_pairs(cores, sizes)
+
+
+def test_library_features_and_classes(spark):
+    rows = [
+        (1, "me", "package:me/a.dart"), (1, "me", " package:me/a.dart "), (1, "me", "package:dio/x.dart"), (2, "dio", "package:dio/x.dart"), (1, "me", "dart:io"), (1, "me", "package:flutter/a"), (1, "me", "package:map_web/a"),
+        (1, "me", "file:///x/.pub-cache/a"), (1, "me", "file:///x/lib/a"), (1, None, "package:rare/a"), (3, "x", ""), (3, "x", None),
+    ]
+    rows += [(i, "p", "package:often/a") for i in range(10, 19)] + [(30, "often", "package:often/a")]
+    got = sorted((r.node, r.feature) for r in B.library_features(spark.createDataFrame(rows, "node long, package string, uri string")).collect())
+    assert got == [(1, "file:///x/lib/a"), (1, "package:me/a.dart"), (1, "package:rare/a"), (2, "package:dio/x.dart"), (30, "package:often/a")]
+    names = {"OrderPage": True, "MyApp": False, "_Order": False, "$Order": False, "Abc": False, "Abcd<T>": True, "Ab<Long>": False, "": False}
+    assert {r.c: r.t for r in names_frame(spark, *names).select("c", B.is_telling_class(F.col("c")).alias("t")).collect()} == names
+
+
+def test_weighted_links_match_all_pairs(spark):
+    rng = random.Random(12)
+    base = [set(rng.choices([f"f{i}" for i in range(40)], weights=[8, 8, *[1] * 38], k=rng.randint(6, 30))) for _ in range(40)]
+    sets = dict(enumerate(base + [s | {"new"} for s in base] + [set(list(s)[2:]) for s in base]))
+    members = spark.createDataFrame([(n, f) for n, s in sets.items() for f in s], "node long, feature string")
+    fit = {n: s for n, s in sets.items() if len(s) >= 8}
+    df = Counter(f for s in fit.values() for f in s)
+    w = {f: math.log((len(fit) + 1) / (d + 1)) + 1 for f, d in df.items()}
+    weigh = lambda s: sum(w[f] for f in s)
+    want = {(a, b) for a in fit for b in fit if a < b and len(fit[a] & fit[b]) >= 8 and weigh(fit[a] & fit[b]) >= 0.58 * weigh(fit[a] | fit[b]) - 1e-12 and weigh(fit[a] & fit[b]) >= 0.68 * min(weigh(fit[a]), weigh(fit[b])) - 1e-12}
+    assert {(r.l, r.r) for r in B.weighted_links(members).collect()} == want and len(want) > 20
+
+
+def test_families_by_libraries_then_by_classes(spark):
+    uris = [(n, "p", f"package:a{n // 3}/x{i}.dart") for n in range(6) for i in range(9)] + [(n, "p", "package:dio/x.dart") for n in range(6, 9)]
+    classes = [(n, f"Order{i}") for n in (0, 6, 7) for i in range(8)] + [(8, "Order1")]
+    found, marks = B.library_families(spark.createDataFrame(uris, "node long, package string, uri string"), spark.createDataFrame(classes, "node long, class string"))
+    assert {(r.family, r.node, r.stage) for r in found.collect()} == {(n // 3 * 3, n, "libraries") for n in range(6)} | {(6, 6, "classes"), (6, 7, "classes")}
+    assert {(r.family, tuple(r.fingerprint)) for r in marks.collect()} == {(g * 3, tuple(f"package:a{g}/x{i}.dart" for i in range(9))) for g in (0, 1)} | {(6, tuple(f"Order{i}" for i in range(8)))}
