@@ -178,7 +178,7 @@ def _built(t: Tables) -> tuple[DataFrame, DataFrame]:
     """
     k, g = F.col("c_custkey"), F.floor(F.col("c_custkey") / 30)
     path = lambda x, c: F.concat(F.lit(f"package:{x}"), c.cast("string"), F.lit("/"))
-    libraries = [F.concat(path("shop", g), F.lit(f"{x}.dart")) for x in range(10)] + [F.concat(path("own", k), F.lit(f"{x}.dart")) for x in range(2)]
+    libraries = [F.concat(path("shop", g), F.lit(f"{x}.dart")) for x in range(10)] + [F.concat(path("own", k), F.lit("0.dart"))]
     common = [F.lit(f"package:{p}/a{x}.dart") for p in ("dio", "http", "maps_web") for x in range(4)] + [F.lit("dart:core"), F.lit("file:///h/.pub-cache/x.dart")]
     uris = F.when(g % 3 == 0, F.array(*common)).otherwise(F.array(*libraries, *common))
     names = F.array(*(F.concat(F.lit(f"Order{x}G"), g.cast("string"), F.lit("<T>" if x in "BDFHJ" else "")) for x in "ABCDEFGHIJ"), F.lit("MyApp"), F.lit("_Private"), F.lit("Ab1"), F.concat(F.lit("Only"), k.cast("string")))
