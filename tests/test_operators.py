@@ -308,3 +308,38 @@ def test_gram_hashes(spark):
         want.add(v - 2**64 if v >= 2**63 else v)
     assert got == {0: sorted(want), 1: [], 2: None, 3: []}
     assert len(want) == 4
+
+
+def test_copies_are_compared_as_one_class(spark):
+    """Many copies and their near copies: pairs are made of classes, and all nodes' pairs, families and clusters follow from them."""
+    from pyspark.sql import functions as F
+
+    from quarrion.operators import similarity as S
+
+    words = [f"w{i}" for i in range(60)]
+    texts = {k: words for k in range(1, 41)} | {k: words[1:] for k in (41, 42)} | {50: ["other"], 51: [], 52: [], 53: ["lone", "pair"]}
+    rows = spark.createDataFrame([(k, w) for k, w in texts.items()] + [(53, ["pair", "lone", "third"]), (54, ["third", "lone", "pair"])], "k long, w array<string>")
+    sets = S.feature_sets(rows, "k", F.col("w"))
+    assert [(r.shared, r.l_size + r.r_size) for r in S.class_pairs_above(sets, 0.8, strict=True).collect()] == [(59, 119)]
+    every = {k: frozenset(w) for k, w in texts.items() if w} | {53: frozenset(("pair", "lone", "third")), 54: frozenset(("pair", "lone", "third"))}
+    want = {(a, b, len(x & y), len(x), len(y)) for a, x in every.items() for b, y in every.items() if a < b and len(x & y) > 0.8 * len(x | y)}
+    got = S.set_pairs_above(sets, 0.8, strict=True).collect()
+    assert len(got) == len(want) and {(r.l, r.r, r.shared, r.l_size, r.r_size) for r in got} == want
+    found = {(r.node, r.family, r.size) for r in S.set_families(sets, 0.8, strict=True).collect()}
+    assert found == {(k, 1, 42) for k in range(1, 43)} | {(53, 53, 2), (54, 53, 2)}
+
+
+def test_copies_cluster_like_nodes_of_their_own(spark):
+    """Complete linkage over classes with their numbers of copies gives the medoids of all nodes."""
+    from quarrion.operators import similarity as S
+
+    near = {(1, 2): 0.95, (1, 3): 0.9, (2, 3): 0.85, (3, 4): 0.81}
+    copies = {1: 1, 2: 3, 3: 2, 4: 1, 5: 2}
+    classes = spark.createDataFrame([(*p, s) for p, s in near.items()] + [(5, 5, 1.0)], "l long, r long, jaccard double")
+    own = spark.createDataFrame([(k, 5 if k == 5 else 1, n) for k, n in copies.items()], "node long, family long, copies long")
+    name = {k: [k, *(100 * k + i for i in range(1, n))] for k, n in copies.items()}
+    links = [(*sorted((a, b)), s) for (x, y), s in near.items() for a in name[x] for b in name[y]] + [(a, b, 1.0) for x in copies for a in name[x] for b in name[x] if a < b]
+    nodes = [(a, 5 if k == 5 else 1) for k in copies for a in name[k]]
+    plain = S.linkage_clusters(spark.createDataFrame(links, "l long, r long, jaccard double"), spark.createDataFrame(nodes, "node long, family long"), 0.2)
+    rows = lambda c: sorted((r.cluster, r["size"], r.medoid) for r in S.medoids(c, 2).collect())
+    assert rows(S.linkage_clusters(classes, own, 0.2)) == rows(plain) != []
