@@ -114,6 +114,19 @@ def test_items_are_located_however_short_they_are(spark):
     assert {(1, "i"), (2, "j"), (3, "k"), (6, "l"), (4, "o")} <= got
 
 
+def test_equal_items_are_located_once_in_whatever_numbers(spark, monkeypatch):
+    """More different items than are broadcast, equal items of many keys, keys of several items and texts."""
+    texts = [(1, "one two three four five six"), (1, "seven one two"), (2, "x one two three four five y"), (3, "three four"), (None, "seven")]
+    items = [(k, "one two") for k in "abc"] + [("d", "one two three four five"), ("e", "seven"), ("a", "seven"), ("a", "three four"), ("f", "two three four five six"), (None, "y"), ("g", "x one two three four")]
+    df, known = spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame(items, "i string, w string")
+    want = sorted({(k, i) for k, t in texts for i, w in items if w in t}, key=str)
+    for few in (100, 1):
+        monkeypatch.setattr(E, "FEW_ITEMS", few)
+        monkeypatch.setattr(E, "FEW_KEYS", few)
+        got = [(r.k, r.i) for r in E.located(df, "k", "t", known, "i", "w").collect()]
+        assert sorted(got, key=str) == want
+
+
 def test_one_scan_feeds_several_collectors(spark, tmp_path):
     rows = [(i, "mail a@b.cd and " * (i % 3) + f"call {i}") for i in range(50)] + [(99, None)]
     spark.createDataFrame(rows, "i int, t string").write.parquet(str(tmp_path / "in"))
