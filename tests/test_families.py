@@ -250,3 +250,17 @@ def test_families_by_libraries_then_by_classes(spark):
     found, marks = B.library_families(spark.createDataFrame(uris, "node long, package string, uri string"), spark.createDataFrame(classes, "node long, class string"))
     assert {(r.family, r.node, r.stage) for r in found.collect()} == {(n // 3 * 3, n, "libraries") for n in range(6)} | {(6, 6, "classes"), (6, 7, "classes")}
     assert {(r.family, tuple(r.fingerprint)) for r in marks.collect()} == {(g * 3, tuple(f"package:a{g}/x{i}.dart" for i in range(9))) for g in (0, 1)} | {(6, tuple(f"Order{i}" for i in range(8)))}
+
+
+def test_nodes_of_equal_features_are_linked_as_one(spark):
+    """Candidates are made of classes: forty equal nodes bring one, and their links to each other and to others are whole."""
+    from quarrion.operators import families as P
+
+    sets = {k: "abcdefgh" for k in range(40)} | {k: "abcdefgx" for k in range(40, 43)} | {50: "mnopq", 51: "rstuv", 52: "ab", 53: "ab"}
+    members = spark.createDataFrame([(k, f) for k, s in sets.items() for f in s], "node long, feature string")
+    reduced, owner, alike = P.by_classes(members)
+    assert {r.node for r in reduced.collect()} == {0, 40, 50, 51, 52} and owner.count() == len(sets)
+    assert {tuple(r) for r in alike.collect()} == {(0, 0), (40, 40), (52, 52)}
+    got = [(r.l, r.r, r.shared) for r in P.staged_links(members).collect()]
+    want = {(a, b, len(set(x) & set(y))) for a, x in sets.items() for b, y in sets.items() if a < b < 43}
+    assert len(got) == len(want) and set(got) == want
