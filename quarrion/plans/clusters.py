@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quarrion.functions.text import stem
 from quarrion.operators import families as P
-from quarrion.operators import graph as G
 from quarrion.operators import libraries as B
 from quarrion.operators import similarity as S
 from quarrion.plans.registry import Tables, query
@@ -97,8 +96,7 @@ def g07_similar_menus(t: Tables) -> DataFrame:
 def _groups(t: Tables) -> tuple[DataFrame, DataFrame, int]:
     members, n = _members(t)
     members = checkpointed(members)
-    links = checkpointed(P.second_links(members, n).select("l", "r"))
-    core = G.k_core(links, 2, "l", "r").select(F.col("a").alias("l"), F.col("b").alias("r"))
+    core = checkpointed(P.core_links(*P.second_class_links(members, n)))
     return checkpointed(P.strict_groups(core, members)), members, n
 
 
@@ -165,8 +163,7 @@ def g14_divided_customers(t: Tables) -> DataFrame:
     apps = _bridged(t)
     n = apps.count()
     members = checkpointed(P.bounded(P.second_features(apps), n))
-    links = checkpointed(P.second_links(members, n).select("l", "r"))
-    core = G.k_core(links, 2, "l", "r").select(F.col("a").alias("l"), F.col("b").alias("r"))
+    core = checkpointed(P.core_links(*P.second_class_links(members, n)))
     groups = checkpointed(P.strict_groups(core, members).select("family", "node"))
     return P.divided_again(groups, members, n)
 

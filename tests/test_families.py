@@ -264,3 +264,18 @@ def test_nodes_of_equal_features_are_linked_as_one(spark):
     got = [(r.l, r.r, r.shared) for r in P.staged_links(members).collect()]
     want = {(a, b, len(set(x) & set(y))) for a, x in sets.items() for b, y in sets.items() if a < b < 43}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_few_links_hold_the_two_core_together(spark):
+    """The nodes and components of the whole two-core, by classes whose nodes are linked with each other and by others."""
+    from quarrion.operators import families as P
+    from quarrion.operators import graph as G
+
+    copies = {1: 4, 2: 2, 3: 2, 4: 1, 5: 3, 6: 2, 7: 1, 8: 1}
+    owner = spark.createDataFrame([(10 * c + i, 10 * c) for c, m in copies.items() for i in range(m)], "node long, cls long")
+    links = spark.createDataFrame([(10 * a, 10 * b) for a, b in ((1, 1), (2, 3), (3, 4), (5, 5), (6, 6), (7, 8), (4, 7))], "l long, r long")
+    whole = G.k_core(P.of_classes(links, owner), 2, "l", "r")
+    few = P.core_links(links, owner)
+    parts = lambda df, a, b: sorted(tuple(r) for r in G.components(df, a, b).collect())
+    assert parts(few, "l", "r") == parts(whole, "a", "b") != []
+    assert few.count() < whole.count()
