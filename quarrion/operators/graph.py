@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrion.storage import checkpointed
+from quarrion.storage import by_merge, checkpointed
 
 
 #: Edges that one task works on; small graphs are not dealt out to more tasks than that takes.
@@ -70,9 +70,9 @@ def _to_least(both: DataFrame, hubs_possible: bool) -> DataFrame:
     stat = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).select("a", F.least("a", "m").alias("m"), "d")
     down = both.where("b >= a")
     if not hubs_possible:
-        return down.join(stat, "a").select("b", "m")
+        return down.join(by_merge(stat), "a").select("b", "m")
     hubs = F.broadcast(stat.where(F.col("d") > HUB).select("a", "m"))
-    rest = down.join(hubs.select("a"), "a", "left_anti").join(stat.where(F.col("d") <= HUB), "a")
+    rest = down.join(hubs.select("a"), "a", "left_anti").join(by_merge(stat.where(F.col("d") <= HUB)), "a")
     return down.join(hubs, "a").select("b", "m").union(rest.select("b", "m"))
 
 
@@ -99,7 +99,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
         large = _to_least(both, before[0] > HUB).select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
         down = large.where("a > b")
         lowest = down.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
-        small = down.join(lowest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = down.join(by_merge(lowest), "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = checkpointed(small.coalesce(tasks).union(lowest.select("a", F.col("m").alias("b"))).union(large.where("a = b")).distinct().coalesce(tasks))
         after = _state(now)
         if after == before:
@@ -117,7 +117,7 @@ def _degrees(edges: DataFrame) -> DataFrame:
 
 def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges of which neither end is among the nodes."""
-    return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_anti").join(nodes.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b")
+    return edges.join(by_merge(nodes.select(F.col("node").alias("a"))), "a", "left_anti").join(by_merge(nodes.select(F.col("node").alias("b"))), "b", "left_anti").select("a", "b")
 
 
 def _hanging(edges: DataFrame) -> DataFrame:
@@ -125,12 +125,12 @@ def _hanging(edges: DataFrame) -> DataFrame:
     degree = checkpointed(_degrees(edges))
     ends, links = degree.where("count = 1").select("node"), degree.where("count = 2").select("node")
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    chain = edges.join(links.withColumnRenamed("node", "a"), "a", "left_semi").join(links.withColumnRenamed("node", "b"), "b", "left_semi")
+    chain = edges.join(by_merge(links.withColumnRenamed("node", "a")), "a", "left_semi").join(by_merge(links.withColumnRenamed("node", "b")), "b", "left_semi")
     chain = links.select(F.col("node").alias("a"), F.col("node").alias("b")).union(chain.select("a", "b"))
     found = components(chain)
-    touched = both.join(ends.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
-    gone = found.join(touched, "node", "left_semi").select("component").distinct()
-    return ends.union(found.join(gone, "component", "left_semi").select("node")).distinct()
+    touched = both.join(by_merge(ends.withColumnRenamed("node", "a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+    gone = found.join(by_merge(touched), "node", "left_semi").select("component").distinct()
+    return ends.union(found.join(by_merge(gone), "component", "left_semi").select("node")).distinct()
 
 
 def k_core(edges: DataFrame, k: int = 2, a: str = "a", b: str = "b") -> DataFrame:

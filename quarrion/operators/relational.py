@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrion.functions.text import is_blank
+from quarrion.storage import by_merge
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -129,7 +130,7 @@ def common_features(members: DataFrame, group: str, node: str, feature: str) ->
     """(group, feature) of the features that every node of a group has."""
     size = members.groupBy(group).agg(F.count_distinct(node).alias("_size"))
     has = members.groupBy(group, feature).agg(F.count_distinct(node).alias("_has"))
-    return has.join(size, group).where("_has = _size").select(group, feature)
+    return has.join(by_merge(size), group).where("_has = _size").select(group, feature)
 
 
 def merged(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -279,3 +279,33 @@ def test_few_links_hold_the_two_core_together(spark):
     parts = lambda df, a, b: sorted(tuple(r) for r in G.components(df, a, b).collect())
     assert parts(few, "l", "r") == parts(whole, "a", "b") != []
     assert few.count() < whole.count()
+
+
+def plans_of(monkeypatch, *modules):
+    """The plans of all checkpoints that these modules make from now on, as they ran."""
+    from quarrion.storage import checkpointed
+
+    plans = []
+
+    def noted(df, eager=True):
+        out = checkpointed(df, eager)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    for m in modules:
+        monkeypatch.setattr(m, "checkpointed", noted)
+    return plans
+
+
+def test_dividing_again_keeps_tables_out_of_the_driver(spark, monkeypatch):
+    """No side of a join that grows with the applications is broadcast."""
+    from quarrion.operators import graph as G
+
+    plans = plans_of(monkeypatch, P, G)
+    features = spark.createDataFrame([(i, f) for i in range(24) for f in [f"L:B{k}" for k in range(6)] + [f"S:p{i % 2}.N{k}" for k in range(12)]], "node long, feature string")
+    members = P.bounded(features, 40)
+    weak = spark.range(24).select(F.lit(0).cast("long").alias("family"), F.col("id").alias("node"))
+    out = P.divided_again(weak, members, 40)
+    assert {(r.weak, r.family, r.node) for r in out.collect()} == {(0, i % 2, i) for i in range(24)}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
