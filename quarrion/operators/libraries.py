@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.operators.families import _pairs, cores, prefixes, strict_groups
-from quarrion.storage import checkpointed
+from quarrion.storage import by_merge, checkpointed
 
 # Packages that many applications share, endings of packages of platforms, and class names that say nothing.
 COMMON_PACKAGES = (
@@ -41,7 +41,7 @@ def library_features(uris: DataFrame) -> DataFrame:
     foreign = (F.col("root") != "") & ~F.col("root").eqNullSafe(F.col("package"))
     dull = F.col("root").isin(*COMMON_PACKAGES) | F.col("root").rlike("(?:" + "|".join(PLATFORM_ENDS) + ")$") | (F.col("df") > max(8, int(FOREIGN_SHARE * n)))
     out = F.startswith("uri", F.lit("dart:")) | F.startswith("uri", F.lit("package:flutter/")) | (F.startswith("uri", F.lit("file:")) & F.contains("uri", F.lit("/.pub-cache/")))
-    return rows.join(df, "root", "left").where(~out & ~(foreign & F.coalesce(dull, F.lit(False)))).select("node", F.col("uri").alias("feature")).distinct()
+    return rows.join(by_merge(df), "root", "left").where(~out & ~(foreign & F.coalesce(dull, F.lit(False)))).select("node", F.col("uri").alias("feature")).distinct()
 
 
 def is_telling_class(c: Column) -> Column:
@@ -57,25 +57,25 @@ def weighted_links(members: DataFrame, *, least: int = LEAST, likeness: float =
     reaches a part of the whole and a part of the lighter node's.
     """
     size = members.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    fit = checkpointed(members.join(size, "node").select("node", "feature"))
+    fit = checkpointed(members.join(by_merge(size), "node").select("node", "feature"))
     n = fit.select("node").distinct().count()
     df = fit.groupBy("feature").agg(F.count("*").alias("df"))
-    weighed = checkpointed(fit.join(df, "feature").select("node", "feature", "df", (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("weight")))
+    weighed = checkpointed(fit.join(by_merge(df), "feature").select("node", "feature", "df", (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("weight")))
     total = weighed.groupBy("node").agg(F.sum("weight").alias("total"))
     met = _pairs(prefixes(weighed, F.col("weight"), F.lit(likeness)))
-    left = met.join(weighed.select(F.col("node").alias("l"), "feature", "weight"), "l")
-    sums = left.join(weighed.select(F.col("node").alias("r"), "feature"), ["r", "feature"]).groupBy("l", "r").agg(F.count("*").alias("shared"), F.sum("weight").alias("both"))
+    left = met.join(by_merge(weighed.select(F.col("node").alias("l"), "feature", "weight")), "l")
+    sums = left.join(by_merge(weighed.select(F.col("node").alias("r"), "feature")), ["r", "feature"]).groupBy("l", "r").agg(F.count("*").alias("shared"), F.sum("weight").alias("both"))
     lw, rw = total.select(F.col("node").alias("l"), F.col("total").alias("lw")), total.select(F.col("node").alias("r"), F.col("total").alias("rw"))
-    rated = sums.join(lw, "l").join(rw, "r").withColumns({"likeness": F.col("both") / (F.col("lw") + F.col("rw") - F.col("both")), "containment": F.col("both") / F.least("lw", "rw")})
+    rated = sums.join(by_merge(lw), "l").join(by_merge(rw), "r").withColumns({"likeness": F.col("both") / (F.col("lw") + F.col("rw") - F.col("both")), "containment": F.col("both") / F.least("lw", "rw")})
     return rated.where((F.col("shared") >= least) & (F.col("likeness") >= likeness) & (F.col("containment") >= contained)).select("l", "r", "shared", "likeness", "containment")
 
 
 def _families(members: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
     """(family, node, stage), and (family, stage, fingerprint): what all members share, the rarest first."""
     groups = checkpointed(strict_groups(checkpointed(weighted_links(members)), members).select("family", "node"))
-    fit = members.join(members.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") >= LEAST), "node")
+    fit = members.join(by_merge(members.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") >= LEAST)), "node")
     df = fit.groupBy("feature").agg(F.count("*").alias("df"))
-    shared = cores(groups, members).join(df, "feature").groupBy("family").agg(F.array_sort(F.collect_list(F.struct("df", "feature"))).alias("f"))
+    shared = cores(groups, members).join(by_merge(df), "feature").groupBy("family").agg(F.array_sort(F.collect_list(F.struct("df", "feature"))).alias("f"))
     return groups.withColumn("stage", F.lit(stage)), shared.select("family", F.lit(stage).alias("stage"), F.col("f.feature").alias("fingerprint"))
 
 
@@ -86,5 +86,5 @@ def library_families(uris: DataFrame, classes: DataFrame) -> tuple[DataFrame, Da
     """
     first, marks = _families(checkpointed(library_features(uris)), "libraries")
     own = classes.where(is_telling_class(F.col("class"))).select("node", F.trim("class").alias("feature")).distinct()
-    second, more = _families(checkpointed(own.join(first.select("node"), "node", "left_anti")), "classes")
+    second, more = _families(checkpointed(own.join(by_merge(first.select("node")), "node", "left_anti")), "classes")
     return first.unionByName(second), marks.unionByName(more)

@@ -309,3 +309,14 @@ def test_dividing_again_keeps_tables_out_of_the_driver(spark, monkeypatch):
     assert {(r.weak, r.family, r.node) for r in out.collect()} == {(0, i % 2, i) for i in range(24)}
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_libraries_keep_tables_out_of_the_driver(spark, monkeypatch):
+    plans = plans_of(monkeypatch, B)
+    uris = spark.createDataFrame([(i, "p", f"package:a{i // 4}/x{k}.dart") for i in range(24) for k in range(9)], "node long, package string, uri string")
+    features = B.library_features(uris)
+    links = B.weighted_links(features)
+    assert features.count() == 24 * 9 and links.count() == 6 * 6
+    links.collect(), features.collect()
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (links, features)]
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
