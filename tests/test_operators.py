@@ -343,3 +343,11 @@ def test_copies_cluster_like_nodes_of_their_own(spark):
     plain = S.linkage_clusters(spark.createDataFrame(links, "l long, r long, jaccard double"), spark.createDataFrame(nodes, "node long, family long"), 0.2)
     rows = lambda c: sorted((r.cluster, r["size"], r.medoid) for r in S.medoids(c, 2).collect())
     assert rows(S.linkage_clusters(classes, own, 0.2)) == rows(plain) != []
+
+
+def test_short_sets_meet_without_a_shuffle_of_pairs(spark):
+    members = spark.createDataFrame([(n, f"f{(n * k) % 17}") for n in range(1, 40) for k in range(1, 5)], "node long, feature string").distinct()
+    for out in (S.cosines_above(members, S.idf(members), 0.35), S.pair_overlaps(members, 24)):
+        assert out.count() > 50
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(l#" not in plan and "HashAggregate(keys=[l#" not in plan
