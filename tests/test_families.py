@@ -320,3 +320,24 @@ def test_libraries_keep_tables_out_of_the_driver(spark, monkeypatch):
     links.collect(), features.collect()
     plans += [df._jdf.queryExecution().executedPlan().toString() for df in (links, features)]
     assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_dividing_again_makes_no_pairs_of_copies(spark, monkeypatch):
+    """What is held grows with the nodes, not with their pairs; nodes of two weak families with the same features stay apart."""
+    from quarrion.operators import graph as G
+    from quarrion.storage import checkpointed
+
+    rows = []
+
+    def noted(df, eager=True):
+        out = checkpointed(df, eager)
+        rows.append(out.count())
+        return out
+
+    for m in (P, G):
+        monkeypatch.setattr(m, "checkpointed", noted)
+    members = spark.createDataFrame([(i, f, 50, 1.0) for i in range(120) for f in [f"L:Weak{i // 60}"] + [f"S:p{i % 2}.N{k}" for k in range(10)]], "node long, feature string, df long, weight double")
+    weak = spark.range(120).select((F.col("id") >= 60).cast("long").alias("family"), F.col("id").alias("node"))
+    got = {(r.weak, r.family, r.node) for r in P.divided_again(weak, members, 2000).collect()}
+    assert got == {(i // 60, i // 60 * 60 + i % 2, i) for i in range(120)}
+    assert max(rows) <= members.count()
