@@ -165,10 +165,14 @@ def capped_list(df: DataFrame, key: Sequence[str], value: str, order: Sequence[C
 def nearest_version(rows: DataFrame, known: DataFrame, equal: Sequence[str], version: str) -> DataFrame:
     """For each row the known entry with the same ``equal`` columns whose version (array of numbers) is nearest.
 
-    Distances are compared element by element; at ties the higher version wins.
+    Distances are compared element by element; at ties the higher version wins. Each version is compared once, however many
+    rows have it; equal rows count once.
     """
-    k = known.select(*equal, F.col(version).alias("found_version"))
-    met = rows.join(k, list(equal))
+    asked = rows.select(*equal, version).distinct()
+    met = asked.join(known.select(*equal, F.col(version).alias("found_version")).distinct(), list(equal))
     off = F.zip_with(version, "found_version", lambda x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))))
-    own = [c for c in rows.columns]
-    return met.groupBy(*own).agg(F.min_by("found_version", F.struct(off.alias("d"), F.transform("found_version", lambda x: -x).alias("v"))).alias("found_version"))
+    nearest = met.groupBy(*equal, version).agg(F.min_by("found_version", F.struct(off.alias("d"), F.transform("found_version", lambda x: -x).alias("v"))).alias("found_version"))
+    a, b = rows.distinct().alias("a"), nearest.alias("b")
+    on = all_of(*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in equal), F.col(f"a.{version}").eqNullSafe(F.col(f"b.{version}")))
+    return a.join(b, on).select("a.*", "b.found_version")
+
