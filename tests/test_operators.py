@@ -351,3 +351,33 @@ def test_short_sets_meet_without_a_shuffle_of_pairs(spark):
         assert out.count() > 50
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(l#" not in plan and "HashAggregate(keys=[l#" not in plan
+
+
+def test_python_holds_few_rows_at_a_time(monkeypatch):
+    """Archives are taken out of an Arrow batch piece by piece."""
+    import pyarrow as pa
+
+    from quarrion.operators import archives as A
+
+    monkeypatch.setattr(E, "ROWS_AT_ONCE", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(35)]), pa.array([b"x"] * 35, pa.binary())], names=["path", "content"])
+    assert len(list(A._listed(iter([batch]), A._Held))) == 4
+    assert [len(x) for x in E.pieces_of(batch)] == [10, 10, 10, 5]
+
+
+def test_gram_hashes_over_pieces_are_those_of_one(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [f" w{(i * k) % 7} " if k % 3 else None for k in range(i % 9)] if i % 5 else None) for i in range(230)], "i int, t array<string>").coalesce(1)
+    found = lambda: [(r.i, r.h) for r in df.select("i", E.gram_hashes(F.col("t")).alias("h")).collect()]
+    pieces = found()
+    monkeypatch.setattr(E, "ROWS_AT_ONCE", 1000)
+    assert pieces == found() and len(pieces) == 230 and sum(bool(h) for _, h in pieces) > 50
+
+
+def test_versions_are_compared_once(spark):
+    """Rows of one version meet the known ones as one."""
+    rows = spark.createDataFrame([(i, "a" if i % 2 else "b", [i % 3]) for i in range(60)] + [(99, "c", [1]), (98, "a", None)], "k int, g string, v array<int>")
+    known = spark.createDataFrame([("a", [0]), ("a", [2]), ("b", [5]), ("a", [2])], "g string, v array<int>")
+    out = R.nearest_version(rows, known, ["g"], "v")
+    got = {r.k: r.found_version[0] for r in out.collect()}
+    assert got == {i: ({0: 0, 1: 2, 2: 2}[i % 3] if i % 2 else 5) for i in range(60)} | {98: got[98]}
+    assert "HashAggregate(keys=[g" in out._jdf.queryExecution().executedPlan().toString() or "SortAggregate(key=[g" in out._jdf.queryExecution().executedPlan().toString()
