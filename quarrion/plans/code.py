@@ -16,6 +16,7 @@ from quarrion.operators import frameworks as W
 from quarrion.operators import listings as B
 from quarrion.operators import requests as R
 from quarrion.operators import signatures as G
+from quarrion.operators.extract import pieces_of
 from quarrion.plans.registry import Tables, query
 
 
@@ -190,7 +191,7 @@ def packed(documents: DataFrame) -> DataFrame:
     """(path, content): an archive for each document, behind as many foreign bytes as its id modulo 50: its text, an archive with its source, and a picture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b)):
             for doc, text, lang, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 inner, outer = io.BytesIO(), io.BytesIO(b"\x7f" * (doc % 50))
                 outer.seek(0, io.SEEK_END)
