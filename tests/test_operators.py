@@ -347,7 +347,9 @@ def test_copies_cluster_like_nodes_of_their_own(spark):
 
 def test_short_sets_meet_without_a_shuffle_of_pairs(spark):
     members = spark.createDataFrame([(n, f"f{(n * k) % 17}") for n in range(1, 40) for k in range(1, 5)], "node long, feature string").distinct()
-    for out in (S.cosines_above(members, S.idf(members), 0.35), S.pair_overlaps(members, 24)):
+    key = lambda df: {(r.l, r.r, r.shared): round(r.cosine, 9) for r in df.collect()}
+    assert key(S.short_cosines_above(members, S.idf(members), 0.35)) == key(S.cosines_above(members, S.idf(members), 0.35))
+    for out in (S.short_cosines_above(members, S.idf(members), 0.35), S.pair_overlaps(members, 24)):
         assert out.count() > 50
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(l#" not in plan and "HashAggregate(keys=[l#" not in plan
