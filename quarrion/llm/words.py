@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text is a group of its own.
 GROUP_BYTES = 1_000_000
+#: Bytes, or words, that are hashed at once: tables of powers and passing arrays stay that small in each Python worker.
+HASHED = 1 << 16
 #: Multipliers of the two word polynomials and of the two window polynomials (odd, hence invertible).
 WORD_MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 RUN_MULT = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -38,7 +40,7 @@ BLANKS = separators((0x20, 0x20), (0x09, 0x0D))
 NOT_WORD = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=16)
 def _powers(mult: int, size: int) -> np.ndarray:
     out = np.full(size, mult, dtype=np.uint64)
     out[0] = 1
@@ -47,7 +49,7 @@ def _powers(mult: int, size: int) -> np.ndarray:
 
 def powers(mult: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of mult and of its inverse modulo 2**64."""
-    size = 1 << max(12, int(n).bit_length())
+    size = max(2 * HASHED, 1 << int(n).bit_length())  # one size serves nearly all
     return _powers(mult, size)[:n], _powers(pow(mult, -1, 1 << 64), size)[:n]
 
 
@@ -61,6 +63,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _spanned(values: np.ndarray, start: np.ndarray, end: np.ndarray, mult: int) -> np.ndarray:
+    """The polynomial hash of the values in each span [start, end)."""
+    up, down = powers(mult, len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[:-1], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 @dataclass
 class Words:
     """Words of a group of texts: byte spans, text number of each word, first word of each text."""
@@ -79,10 +89,15 @@ class Words:
         """One 64-bit hash a word."""
         if not len(self):
             return np.zeros(0, dtype=np.uint64)
-        up, down = powers(WORD_MULT[which], len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        out = np.empty(len(self), dtype=np.uint64)
+        lo = 0
+        while lo < len(self):  # a hash does not depend on its place, so whole words are taken up to HASHED bytes, one at least
+            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + HASHED, side="right")))
+            at = int(self.start[lo])
+            start, end = self.start[lo:hi] - at, self.end[lo:hi] - at
+            out[lo:hi] = _spanned(self.buf[at : at + int(end[-1])].astype(np.uint64) + np.uint64(1), start, end, WORD_MULT[which])
+            lo = hi
+        return out
 
     def runs(self, k: int) -> np.ndarray:
         """Starts (word numbers) of all runs of k words that lie in one text."""
@@ -97,10 +112,13 @@ def run_hashes(word_hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     n = len(word_hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    up, down = powers(RUN_MULT[which], len(word_hashes) + 1)
-    total = np.zeros(len(word_hashes) + 1, dtype=np.uint64)
-    np.cumsum(word_hashes * up[:-1], out=total[1:])
-    return mix((total[k:] - total[:n]) * down[:n])
+    out = np.empty(n, dtype=np.uint64)
+    step = max(HASHED, k)
+    for lo in range(0, n, step):
+        m = min(step, n - lo)
+        start = np.arange(m)
+        out[lo : lo + m] = _spanned(word_hashes[lo : lo + m + k - 1], start, start + k, RUN_MULT[which])
+    return out
 
 
 def split(texts: list[bytes], seps: np.ndarray) -> Words:
