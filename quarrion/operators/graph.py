@@ -79,9 +79,9 @@ def _to_least(both: DataFrame, hubs_possible: bool) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, component) of every node that has an edge; a component is named by its least node.
 
-    Every task joins the edges that it holds into stars; then large-star and small-star rounds
-    alternate: every node links its larger neighbours, then its smaller ones, to the least node it
-    knows. Paths shorten by a constant factor a round, and no round
+    Every task joins the edges of a range of nodes into stars, and stars that share a node are linked
+    by their centres. On these links large-star and small-star rounds alternate: every node links its
+    larger neighbours, then its smaller ones, to the least node it knows. Paths shorten by a constant factor a round, and no round
     holds a neighbourhood in one row; hubs meet their edges without a shuffle on the hub. Self-loops
     give a component of one; null ends are ignored. Rounds go on until nothing changes; the number of
     rounds grows with the logarithm of the nodes, and running out of ``max_rounds`` is an error.
@@ -89,8 +89,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     raw = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     now = checkpointed(raw.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     tasks = max(1, -(-now.count() // EDGES_A_TASK))
+    if tasks == 1:  # one task holds all edges, so its stars are the components
+        stars = now.coalesce(1).mapInArrow(_contracted, now.schema)
+        return stars.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component")).distinct()
+    # A task gets a range of nodes: where neighbours lie near each other, its stars hold whole stretches of the graph.
+    stars = checkpointed(now.repartitionByRange(tasks, "a", "b").mapInArrow(_contracted, now.schema))
+    ends = stars.union(stars.select(F.col("b").alias("a"), "b"))
+    labels = ends.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"), F.collect_set("b").alias("bs"))
+    labels = checkpointed(labels.select(F.col("a").alias("node"), F.col("m").alias("label"), F.when(F.col("m") < F.col("most"), F.col("bs")).alias("others")))
+    # Stars that share a node are linked; their centres are a smaller graph of the same components.
+    met = labels.where("others is not null").select(F.explode("others").alias("a"), F.col("label").alias("b")).where("a > b").distinct()
+    found = _rounds(met, max_rounds).withColumnsRenamed({"node": "label"})
+    return labels.select("node", "label").join(by_merge(found), "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+
+
+def _rounds(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, component) of the nodes of edges (a, b), a > b, by rounds of large and small stars."""
+    now = checkpointed(edges)
+    tasks = max(1, -(-now.count() // EDGES_A_TASK))
     now = checkpointed(now.coalesce(tasks).mapInArrow(_contracted, now.schema))
-    if tasks == 1:  # one task held all edges, so its stars are the components
+    if tasks == 1:
         return now.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component")).distinct()
     before = _state(now)
     now = now.coalesce(tasks)

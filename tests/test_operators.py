@@ -61,6 +61,13 @@ def test_components_of_hubs(spark, monkeypatch):
     assert {r.node: r.component for r in G.components(df).collect()} == brute_components(edges)
 
 
+def test_components_of_near_neighbours_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(G, "EDGES_A_TASK", 500)
+    edges = [(i, i + 1 + i * d % 9) for i in range(1000) for d in range(1, 8) if i % 400 < 380]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in G.components(df, max_rounds=0).collect()} == brute_components(edges)
+
+
 def test_components_of_a_path_that_does_not_settle_fail(spark, monkeypatch):
     monkeypatch.setattr(G, "EDGES_A_TASK", 10)
     df = spark.createDataFrame([(i * 37 % 200, i * 37 % 200 + 1) for i in range(200)], "a long, b long")
