@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Lines that open a class or a function, address lines, quoted strings, and operations that are not machine code.
@@ -227,35 +227,53 @@ def libraries(listings: DataFrame, app: str = "app", path: str = "path", text: s
     return rows.withColumns({"root": root, "package": package, "own": own})
 
 
-def entries(found: DataFrame) -> DataFrame:
-    """(app, package, entry_uri, entry_path, method, confidence, root_class, root_uri): where each app begins.
-
-    Of an app's own libraries the first by path that has a main function and starts the program is its entry, with high
-    confidence; else one with a main function, medium; else one that starts it, low. A root widget, whose build function
-    makes the root of the surface, confirms or replaces the entry if one alone is meant: made in main, else in the
-    entry's library, else in its package, else the only likely one of the app by its name.
-    """
+def _told(found: DataFrame) -> DataFrame:
+    """The libraries with what is chosen of their app: the entry ``e``, the root widget ``r`` and ``by``, how it was told. One shuffle by app."""
+    every = Window.partitionBy("app")
     name = F.lower(F.substring_index("path", "/", -1))
     rank = F.when(F.col("own") & F.col("has_main") & F.col("starts"), 0).when(F.col("own") & F.col("has_main"), 1).when(F.col("own") & F.col("starts"), 2)
-    order = F.struct(rank.alias("rank"), F.split("path", "/").alias("parts"))
-    chosen = found.where(rank.isNotNull()).groupBy("app").agg(F.min_by(F.struct(rank.alias("rank"), "path", "uri", "package", "root", "made"), order).alias("e"))
-    widgets = found.where("own").select("app", "path", "uri", "package", F.split("path", "/").alias("parts"), name.alias("name"), F.posexplode("widgets").alias("at", "w")).join(chosen, "app", "left")
-    made = F.array_contains("e.made", F.col("w.class")) | F.array_contains("e.made", F.col("w.build_class"))
-    near = [("direct", made), ("entry_library", F.col("path") == F.col("e.path")), ("same_package", (F.col("e.package") != "") & (F.col("package") == F.col("e.package"))), ("unique_root_widget", (F.col("name").isin("main.dart", "app.dart")) | F.col("w.class").rlike("(?:App|Root)$"))]
-    pick = F.struct(F.col("w.class").alias("class"), "uri", "package", "path")
-    sums = [c for n, on in near for c in (F.count_if(on).alias(n), F.min_by(F.when(on, pick), F.when(on, F.struct("parts", "at"))).alias(f"{n}_pick"))]
-    packaged = F.count_distinct(F.when(near[3][1] & (F.col("package") != ""), F.col("package"))).alias("packages")
-    rooted = widgets.groupBy("app").agg(*sums, packaged)
-    ways = [(F.col(n) == 1 if n != "unique_root_widget" else (F.col(n) == 1) & (F.col("packages") == 1), n) for n, _ in near]
+    order = F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.split("path", "/").alias("parts")))
+    chosen = F.min_by(F.struct(rank.alias("rank"), "path", "uri", "package", "root", "made"), order).over(every)
+    rows = found.withColumn("e", chosen)
+    likely = lambda w: name.isin("main.dart", "app.dart") | w["class"].rlike("(?:App|Root)$")
+    near = [
+        ("direct", lambda w: F.array_contains("e.made", w["class"]) | F.array_contains("e.made", w["build_class"])), ("entry_library", lambda w: F.col("path") == F.col("e.path")),
+        ("same_package", lambda w: (F.col("e.package") != "") & (F.col("package") == F.col("e.package"))), ("unique_root_widget", likely),
+    ]
+    none = F.array().cast("array<struct<class:string,build_class:string,roots:array<string>>>")
+    widgets = F.when(F.col("own"), F.coalesce("widgets", none)).otherwise(none)
+    rows = rows.withColumns({f"_{n}": F.filter(widgets, on) for n, on in near})
+    pick = lambda n: F.struct(F.get(f"_{n}", F.lit(0))["class"].alias("class"), "uri", "package", "path")
+    some = lambda n: F.size(f"_{n}") > 0
+    sums = {f"{n}_n": F.sum(F.size(f"_{n}")).over(every) for n, _ in near} | {f"{n}_pick": F.min_by(F.when(some(n), pick(n)), F.when(some(n), F.split("path", "/"))).over(every) for n, _ in near}
+    packages = F.size(F.collect_set(F.when(some("unique_root_widget") & (F.col("package") != ""), F.col("package"))).over(every))
+    rows = rows.withColumns({**sums, "packages": packages})
+    ways = [((F.col(f"{n}_n") == 1) & (F.lit(True) if n != "unique_root_widget" else F.col("packages") == 1), n) for n, _ in near]
     root, evidence = F.coalesce(*(F.when(w, F.col(f"{n}_pick")) for w, n in ways)), F.coalesce(*(F.when(w, F.lit(n)) for w, n in ways))
-    every = found.select("app").distinct().join(chosen, "app", "left").join(rooted.select("app", root.alias("r"), evidence.alias("by")), "app", "left")
+    return rows.select(*found.columns, "e", root.alias("r"), evidence.alias("by"))
+
+
+def _entry() -> list[Column]:
+    """The columns of ``entries`` behind app, by the columns of ``_told``."""
     tier, has_root = F.col("e.rank"), F.col("r").isNotNull()
     method = F.when(tier == 0, "main_and_runApp").when((tier == 1) & has_root, "main_root_widget_build_app").when(tier == 1, "main_only").when(tier == 2, "runApp_only").when(has_root, "root_widget_build_app").otherwise("unresolved")
     confidence = F.when(tier == 0, "high").when(tier == 1, F.when(F.col("by") == "direct", "high").otherwise("medium")).when(tier == 2, "low").when(has_root, "medium").otherwise("none")
     own_package = F.coalesce("e.package", F.lit(""))
     package = F.when(has_root & (own_package == ""), F.col("r.package")).otherwise(own_package)
     text = lambda c: F.coalesce(c, F.lit(""))
-    return every.select("app", package.alias("package"), text(F.coalesce("e.uri", "r.uri")).alias("entry_uri"), F.coalesce("e.path", "r.path").alias("entry_path"), method.alias("method"), confidence.alias("confidence"), text(F.col("r.class")).alias("root_class"), text(F.col("r.uri")).alias("root_uri"))
+    return [package.alias("package"), text(F.coalesce("e.uri", "r.uri")).alias("entry_uri"), F.coalesce("e.path", "r.path").alias("entry_path"), method.alias("method"), confidence.alias("confidence"), text(F.col("r.class")).alias("root_class"), text(F.col("r.uri")).alias("root_uri")]
+
+
+def entries(found: DataFrame) -> DataFrame:
+    """(app, package, entry_uri, entry_path, method, confidence, root_class, root_uri): where each app begins.
+
+    Of an app's own libraries the first by path that has a main function and starts the program is its entry, with high
+    confidence; else one with a main function, medium; else one that starts it, low. A root widget, whose build function
+    makes the root of the surface, confirms or replaces the entry if one alone is meant: made in main, else in the
+    entry's library, else in its package, else the only likely one of the app by its name.
+    """
+    told = _told(found).groupBy("app").agg(*(F.first(c).alias(c) for c in ("e", "r", "by")))
+    return told.select("app", *_entry())
 
 
 # Whole strings that are a remote address or a domain.
@@ -264,23 +282,29 @@ _DOMAIN = r"(?i)^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:com|net|org|cn|io
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """entries with library_uris, and the classes, urls and domains of the libraries of the entry's package, each sorted."""
-    start = entries(found)
-    uris = found.where("uri <> ''").groupBy("app").agg(F.array_sort(F.collect_set("uri")).alias("library_uris"))
-    keyed = start.select("app", F.col("package").alias("of"), "entry_uri", "entry_path", F.regexp_extract("entry_uri", "^package:([^/]+)/", 1).alias("of_root")).where("of <> '' and entry_path is not null")
-    same = F.when(F.col("of_root") != "", F.col("root") == F.col("of_root")).when(
-        F.startswith("entry_uri", F.lit("file:")), F.startswith("uri", F.lit("file:")) & F.contains("uri", F.concat(F.lit("/"), "of", F.lit("/")))
+    """entries with library_uris, and the classes, urls and domains of the libraries of the entry's package, each sorted.
+
+    Listings are read once: all that is told of an app comes from one shuffle of its libraries.
+    """
+    rows = _told(found).select("app", "path", "uri", "root", "classes", "strings", *_entry())
+    of, of_root = F.col("package"), F.regexp_extract("entry_uri", "^package:([^/]+)/", 1)
+    same = F.when(of_root != "", F.col("root") == of_root).when(
+        F.startswith("entry_uri", F.lit("file:")), F.startswith("uri", F.lit("file:")) & F.contains("uri", F.concat(F.lit("/"), of, F.lit("/")))
     ).otherwise(F.col("path") == F.col("entry_path"))
-    main = found.join(keyed, "app").where(same)
-    classes = main.select("app", F.explode("classes").alias("c")).groupBy("app").agg(F.array_sort(F.collect_set("c")).alias("classes"))
-    said = main.select("app", F.explode("strings").alias("s")).select("app", F.trim("s").alias("s")).distinct()
-    where = F.lower(F.regexp_replace(F.regexp_extract("s", "^[A-Za-z]+://([^/?#]*)", 1), "^.*@", ""))
-    host, port = F.regexp_replace(where, ":[0-9]*$", ""), F.regexp_extract(where, ":([0-9]+)$", 1)
-    remote = F.col("s").rlike(_REMOTE)
-    good = remote & F.contains(host, F.lit(".")) & ~host.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$") & ~host.rlike(r"^\.|\.\.|\.$|:") & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
-    named = ~good & F.col("s").rlike(_DOMAIN) & (F.coalesce(F.regexp_extract("s", ":([0-9]+)$", 1).try_cast("int"), F.lit(0)) <= 65535)
-    domain = F.when(good, F.when(port != "", F.concat(host, F.lit(":"), port.cast("int").cast("string"))).otherwise(host)).when(named, F.lower("s"))
-    network = said.groupBy("app").agg(F.array_sort(F.collect_set(F.when(good, F.col("s")))).alias("urls"), F.array_sort(F.collect_set(domain)).alias("domains"))
-    none = F.array().cast("array<string>")
-    out = start.join(uris, "app", "left").join(classes, "app", "left").join(network, "app", "left")
-    return out.withColumns({c: F.coalesce(c, none) for c in ("library_uris", "classes", "urls", "domains")})
+    main = (of != "") & F.col("entry_path").isNotNull() & same
+
+    def parts(s: Column) -> tuple[Column, Column]:
+        """Whether a string is a remote address, and its domain if it is one or names one."""
+        where = F.lower(F.regexp_replace(F.regexp_extract(s, "^[A-Za-z]+://([^/?#]*)", 1), "^.*@", ""))
+        host, port = F.regexp_replace(where, ":[0-9]*$", ""), F.regexp_extract(where, ":([0-9]+)$", 1)
+        good = s.rlike(_REMOTE) & F.contains(host, F.lit(".")) & ~host.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$") & ~host.rlike(r"^\.|\.\.|\.$|:") & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
+        named = ~good & s.rlike(_DOMAIN) & (F.coalesce(F.regexp_extract(s, ":([0-9]+)$", 1).try_cast("int"), F.lit(0)) <= 65535)
+        return good, F.when(good, F.when(port != "", F.concat(host, F.lit(":"), port.cast("int").cast("string"))).otherwise(host)).when(named, F.lower(s))
+
+    said = F.transform(F.filter("strings", lambda s: F.contains(s, F.lit("."))), lambda s: F.trim(s))  # what has no dot is neither
+    remote = F.filter(F.transform(said, lambda s: F.struct(F.when(parts(s)[0], s).alias("url"), parts(s)[1].alias("domain"))), lambda x: x["domain"].isNotNull())
+    rows = rows.withColumns({"classes": F.when(main, F.col("classes")), "said": F.when(main, remote)})
+    gathered = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(c)))))
+    start = ("package", "entry_uri", "entry_path", "method", "confidence", "root_class", "root_uri")
+    uris = F.array_sort(F.collect_set(F.when(F.col("uri") != "", F.col("uri")))).alias("library_uris")
+    return rows.groupBy("app").agg(*(F.first(c).alias(c) for c in start), uris, gathered("classes").alias("classes"), gathered("said.url").alias("urls"), gathered("said.domain").alias("domains"))
