@@ -59,15 +59,16 @@ def read_blocks(text: str) -> list[dict]:
     for number, line in enumerate(text.split("\n"), start=1):
         step = line.count("{") - line.count("}")
         if not in_class:
-            if _CLASS_LINE.match(line):
+            if "{" in line and _CLASS_LINE.match(line):
                 in_class, classes, outer, functions, opened = True, classes + 1, step, 0, number
-        elif block is None and _FUNCTION_LINE.match(line):
+        elif block is None and "{" in line and _FUNCTION_LINE.match(line):
             block, inner = {"class_no": classes, "class_line": opened, "function_no": functions, "line": number, "last_line": number, "closed": False, "strings": set(), "operations": []}, step
             out.append(block)
             functions += 1
         elif block is not None:
-            block["strings"].update(v for q in _QUOTED.findall(line) if _telling(v := _unquoted(q).strip()))
-            m = _ADDRESS.match(line)
+            if '"' in line:
+                block["strings"].update(v for q in _QUOTED.findall(line) if _telling(v := _unquoted(q).strip()))
+            m = _ADDRESS.match(line) if "0x" in line else None
             operation = m[2].split(";", 1)[0].strip() if m else ""
             if operation and not _GENERIC.match(operation):
                 block["operations"].append(operation)
@@ -178,19 +179,21 @@ def read_library(text: str) -> dict:
             creator = here
         elif creator and line == "  }":
             creator = None
-        names = {m[2] or m[1] for m in _MADE.finditer(line)}
+        makes = "Allocate" in line
+        names = {m[2] or m[1] for m in _MADE.finditer(line)} if makes else set()
         if creator:
             creator["states"] |= names
-        if here:
+        if here and (makes or "::" in line):
             here["roots"].update(r for r, call in _ROOT_CALLS.items() if call.search(line))
         if _MAIN.match(line):
             has_main = in_main = True
         elif in_main and line == "  }":
             in_main = False
-        starts = starts or bool(_STARTS.search(line))
+        starts = starts or ("runApp" in line and bool(_STARTS.search(line)))
         if in_main:
             made |= names | set(_INSTANCE.findall(line))
-        strings.update(_unquoted(q) for q in _QUOTED.findall(line))
+        if '"' in line:
+            strings.update(_unquoted(q) for q in _QUOTED.findall(line))
     for widget, c in classes.items():
         for state in c["states"] & classes.keys():
             classes[state]["owner"] = widget

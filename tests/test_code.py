@@ -76,6 +76,20 @@ public final class A {
 ASKED = ["ONE", "URL", "PATH", "CAST", "CALL", "LONG", "SELF", "TO", "AFTER", "A.PATH", "a.A.PATH", "B.GONE", "B.BY", "b.B.SHARED + A.ONE", "SHARED", "NEAR.HOST", "x + 1", "", '"lit" + ("a" + ("b"))', "C.N7", "C.N8", "((((C.N7))))", '"a" + ("b" + C.N6)', '"a" + ("b" + C.N7)', "HOST"]
 
 
+def test_files_are_parsed_once(spark):
+    files = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            files.add(batch.num_rows)
+            yield batch
+
+    found = C.units(spark.createDataFrame([("x", p, t) for p, t in SOURCES.items()], "app string, path string, text string").coalesce(1))
+    found = found.mapInArrow(counted, found.schema)
+    asked = spark.createDataFrame([("x", "a/A.java", 0, "PATH")], "app string, unit string, id long, expression string")
+    assert [r.status for r in C.resolved(found, asked).collect()] == ["resolved"] and files.value == len(SOURCES)
+
+
 def test_constants_match_a_recursion(spark):
     rows = [("x", p, t) for p, t in SOURCES.items()] + [("y", "a/A.java", 'package a; class A { static final String ONE = "other app"; }'), ("y", "empty.java", None)]
     found = C.units(spark.createDataFrame(rows, "app string, path string, text string"))
@@ -255,6 +269,18 @@ def test_entries_of_all_customers(spark, sf_dir):
     found.unpersist()
 
 
+def test_listings_are_read_once(spark, sf_dir):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = B.libraries(code.listings(Tables(spark, sf_dir).orders).limit(200).coalesce(1))
+    assert B.summary(found.mapInArrow(counted, found.schema)).collect() and read.value == 200
+
+
 def test_a_library_with_a_state_of_its_widget():
     text = "// lib: , url: package:app/main.dart\nclass Page extends StatefulWidget {\n  State createState() {\n    // AllocateStub -> x\n    r0 = AllocatePageStateStub -> _PageState\n  }\n}\nclass _PageState extends State<Page, X> {\n  build(c) {\n    GetMaterialApp::GetMaterialApp\n  }\n}\nclass :: {\n  static Future<void> main() {\n    Instance_Page\n  }\n}\n"
     r = B.read_library(text)
