@@ -117,6 +117,8 @@ COMMON_NAMES = (
     "children", "builder", "listener", "controller", "animation", "duration", "curve", "alignment", "padding", "margin", "semanticLabel", "textDirection", "textAlign", "mainAxisAlignment",
     "crossAxisAlignment",
 )
+# Signs of which every string of a kind has one: most words have none and are passed over at once.
+_TELLING = "[/:_㐀-鿿]|[a-z][A-Z]"
 KINDS = ("url", "library_uri", "api_route", "chinese_text", "camel_case", "structured_key")
 
 
@@ -155,7 +157,7 @@ def string_kinds(c: Column | str) -> Column:
     camel, structured = word & v.rlike(_CAMEL) & v.rlike("[a-z][A-Z]"), word & v.rlike(_STRUCTURED)
     found = [listed("url", urls), listed("library_uri", libraries), listed("api_route", routes), whole("chinese_text", chinese), whole("camel_case", camel), whole("structured_key", structured)]
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    return F.when(col(c).isNotNull() & ~is_public_noise(v), F.concat(*(F.coalesce(x, none) for x in found))).otherwise(none)
+    return F.when(col(c).rlike(_TELLING) & ~is_public_noise(v), F.concat(*(F.coalesce(x, none) for x in found))).otherwise(none)
 
 
 # Files of signatures and licences, and beginnings of the paths of frameworks' sources.

@@ -165,3 +165,10 @@ def test_fingerprints_of_a_yaml_file(spark, tmp_path):
     path.write_text("- product: pay\n- product: pay\n")
     with pytest.raises(ValueError, match="fingerprint 1"):
         readers.fingerprints(spark, str(path))
+
+
+def test_words_that_no_kind_can_hold_are_passed_over():
+    import re
+
+    told = ["https://a.example/x", "package:a/b", "file:///a", "/api/v1", "漢字", "orderCount", "order_item"]
+    assert all(re.search(R._TELLING, x) for x in told) and not any(re.search(R._TELLING, x) for x in ("word", "Word,", "12.5", "ABC", ""))
