@@ -362,6 +362,26 @@ def test_short_sets_meet_without_a_shuffle_of_pairs(spark):
         assert "hashpartitioning(l#" not in plan and "HashAggregate(keys=[l#" not in plan
 
 
+@pytest.mark.parametrize("threshold", [0.1, 0.34, 0.5, 0.8, 1.0])
+def test_pairs_of_short_sets_match_brute_force(spark, threshold):
+    rng = random.Random(int(threshold * 100))
+    base = [set(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=[20, 10, *[1] * 24], k=rng.randint(1, 7))) for _ in range(60)]
+    sets = dict(enumerate(base + base[:10] + [x | {"new"} for x in base[10:30]] + [{"a"}] * 5))
+    members = spark.createDataFrame([(n, f) for n, s in sets.items() for f in s] + [(None, "a"), (99, None)], "node long, feature string")
+    for strict in (False, True):
+        rows = S.short_pairs_above(members, threshold, strict).collect()
+        want = {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b]), j) for (a, b), j in brute_pairs(sets, threshold, strict).items()}
+        assert len(rows) == len(want) and {(r.l, r.r): (r.shared, r.l_size, r.r_size, r.jaccard) for r in rows} == want
+
+
+@pytest.mark.parametrize("name", ["j14_size_pruned_pairs", "f34_thresholded_pairs"])
+def test_pairs_of_orders_are_counted_where_they_meet(spark, sf_dir, name):
+    out = catalog.QUERIES[name](spark, sf_dir)
+    assert out.count() > 10
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "hashpartitioning(l#" not in plan and "HashAggregate(keys=[l#" not in plan
+
+
 def test_python_holds_few_rows_at_a_time(monkeypatch):
     """Archives are taken out of an Arrow batch piece by piece."""
     import pyarrow as pa
