@@ -164,9 +164,12 @@ def first_pattern(c: Column | str, named: list[tuple[str, str]], other: str = "o
 
 
 def jaccard(a: Column, b: Column, both_empty: float) -> Column:
-    """Shared over all distinct elements; two empty sets give ``both_empty``, one empty set 0."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Shared over all distinct elements; two empty sets give ``both_empty``, one empty set 0, no set null.
+
+    ``a`` stands here three times: if it is dear to make, make it a column first.
+    """
+    union = F.array_size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(both_empty)).otherwise(F.array_size(F.array_intersect(a, b)) / union)
 
 
 def normal_instruction(c: Column | str) -> Column:

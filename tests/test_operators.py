@@ -382,6 +382,19 @@ def test_pairs_of_orders_are_counted_where_they_meet(spark, sf_dir, name):
     assert "FlatMapCoGroups" not in plan and "hashpartitioning(l#" not in plan and "HashAggregate(keys=[l#" not in plan
 
 
+def test_words_of_whole_texts_are_split_once_and_as_by_sql(spark, tmp_path):
+    """Signs within words, white space of all kinds, empty texts and none; the split stands once in the plan."""
+    import duckdb
+
+    texts = [None, "", " \t\n", "the de of", "the\x0bx of", "the\x01de the,de", " the\f\t\n\rof ", "the\u00a0x", "a,b a\x01b the the", "of de the of a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out = catalog.QUERIES["f32_jaccard"](spark, str(tmp_path))
+    assert dict(map(tuple, out.collect())) == dict(duck.execute(catalog.ORACLES["f32_jaccard"]).fetchall())
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_python_holds_few_rows_at_a_time(monkeypatch):
     """Archives are taken out of an Arrow batch piece by piece."""
     import pyarrow as pa
