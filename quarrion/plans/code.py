@@ -51,8 +51,8 @@ WITH RECURSIVE own AS (SELECT p_partkey AS k, regexp_replace(lower(p_brand), '[^
 tree AS (SELECT o.*, CASE WHEN d.k IS NOT NULL THEN d.k WHEN o.k >= 10 THEN o.k // 10 END AS other FROM own o LEFT JOIN own d ON o.k % 25 = 0 AND d.k = o.k * 10),
 bound AS (SELECT t.* FROM tree t JOIN own u ON u.k = t.other WHERE t.k % 37 <> 0 OR u.brand = t.brand),
 walk AS (
-  SELECT k, name AS path, 1 AS height, 2 AS n FROM tree WHERE other IS NULL
-  UNION ALL SELECT b.k, walk.path || '/' || b.name, CASE WHEN b.k IS NULL THEN 0 ELSE height + 3 END, n + 2 FROM bound b JOIN walk ON b.other = walk.k WHERE height + 4 <= 8 AND length(walk.path || '/' || b.name) <= 512
+  SELECT k, name AS path, 2 AS n FROM tree WHERE other IS NULL
+  UNION ALL SELECT b.k, walk.path || '/' || b.name, n + 2 FROM bound b JOIN walk ON b.other = walk.k
 )
 SELECT k, path AS value, n FROM own LEFT JOIN walk USING (k)
 """
@@ -60,17 +60,17 @@ SELECT k, path AS value, n FROM own LEFT JOIN walk USING (k)
 
 @query(_J21)
 def j21_resolved_constants(t: Tables) -> DataFrame:
-    """The PATH of every part's class, resolved over imports and packages."""
+    """The PATH of every part's class, resolved over imports and packages, however deep it nests and long it gets."""
     sources = java_sources(t.part)
     asked = sources.select("app", F.col("path").alias("unit"), F.col("k").alias("id"), F.lit("PATH").alias("expression"))
-    out = C.resolved(C.units(sources), asked)
+    out = C.resolved(C.units(sources), asked, depth=None, definitions="names")
     return out.select(F.col("id").alias("k"), "value", F.when(F.col("value").isNotNull(), F.size("definitions")).alias("n"))
 
 
 @query(f"WITH v AS ({_J21.strip()}) SELECT k, place, CASE place WHEN 0 THEN v.value WHEN 1 THEN 'id,' || p_name END AS value, CASE WHEN place = 1 OR (place = 0 AND v.value IS NOT NULL) THEN 'resolved' WHEN place = 2 THEN 'missing' END AS status FROM v JOIN part ON p_partkey = k, unnest([0, 1, 2]) AS u(place)")
 def e10_resolved_arguments(t: Tables) -> DataFrame:
-    """The values of the arguments of every class's call, over constants of other files."""
-    out = C.resolved_arguments(java_sources(t.part), "init")
+    """The values of the arguments of every class's call, over constants of other files, however deep they nest and long they get."""
+    out = C.resolved_arguments(java_sources(t.part), "init", depth=None, definitions="none")
     k = F.regexp_extract("unit", "P([0-9]+)", 1).cast("long")
     return out.select(k.alias("k"), F.col("at").alias("place"), "value", F.when((F.col("at") > 0) | F.col("value").isNotNull(), F.col("status")).alias("status"))
 

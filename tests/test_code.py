@@ -107,6 +107,27 @@ def test_constants_match_a_recursion(spark):
     assert by["C.N7"].value == "last" and by["CAST"].value is None
 
 
+def test_constants_without_limits(spark):
+    """Without a depth nothing is cut: chains beyond it, long values and circles end as they are."""
+    found = C.units(spark.createDataFrame([("x", p, t) for p, t in SOURCES.items()], "app string, path string, text string"))
+    asked = spark.createDataFrame([("x", "a/A.java", i, e) for i, e in enumerate(["C.N14", "LONG", "AFTER", "B.BY", "C.N8 + LONG + C.N8"])], "app string, unit string, id long, expression string")
+    for definitions in ("names", "evidence", "none"):
+        out = {r.id: r for r in C.resolved(found, asked, depth=None, definitions=definitions).collect()}
+        assert [out[i].value for i in range(5)] == ["last", "l" * 513, None, None, "last" + "l" * 513 + "last"]
+        assert [out[i].status for i in range(5)] == ["resolved", "resolved", "cycle", "missing", "resolved"]
+        names = [d if definitions == "names" else d.constant for d in out[4].definitions] if definitions != "none" else None
+        assert names is None or names == [*(f"C.N{i}" for i in range(8, -1, -1)), "a.A.LONG"]
+
+
+def test_deep_paths_of_parts_have_values(spark, sf_dir, tmp_path):
+    """Parts up to three names deep are no longer the only ones: of every part that hangs on no circle the PATH is known."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").limit(1)
+    keys = spark.range(1, 20000, 1111).union(spark.createDataFrame([(k,) for k in (1, 11, 111, 1111, 11111, 111111)], "id long")).distinct()
+    part.crossJoin(keys).withColumn("p_partkey", F.col("id")).drop("id").write.parquet(f"{tmp_path}/part.parquet")
+    out = {r.k: r for r in code.j21_resolved_constants(spark, str(tmp_path)).collect()}
+    assert out[111111].value.count("/") == 5 and out[111111].n == 12 and out[11111].n == 10
+
+
 def test_constants_of_no_files(spark):
     found = C.units(spark.createDataFrame([], "app string, path string, text string"))
     asked = spark.createDataFrame([("x", "u", 1, '"a" + "b"'), ("x", "u", 2, "A.B")], "app string, unit string, id long, expression string")
