@@ -264,6 +264,26 @@ def test_filters_leave_few_candidates_of_frequent_features(spark, sf_dir):
     assert {(r.l, r.r) for r in S.pairs_above(members, 0.8).collect()} == set(pairs)
 
 
+def test_sets_that_meet_by_chance_are_dropped_in_the_join(spark, monkeypatch):
+    """Sets of a small vocabulary meet at many items; bitmaps leave hardly more candidates than pairs, and lose none."""
+    rng = random.Random(8)
+    base = [set(rng.sample(range(40), 15) + rng.sample(range(1000, 1400), 25)) for _ in range(300)]
+    sets = dict(enumerate(base + [set(sorted(x)[1:]) | {9999} for x in base[:40]] + [set()]))
+    members = spark.createDataFrame([(n, str(f)) for n, s in sets.items() for f in s], "node long, feature string")
+    candidates, real = [], S.checkpointed
+
+    def counted(df, *args):
+        out = real(df, *args)
+        if "l_size" in df.columns:
+            candidates.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "checkpointed", counted)
+    want = brute_pairs(sets, 0.8)
+    assert {(r.l, r.r) for r in S.pairs_above(members, 0.8).collect()} == set(want) and len(want) >= 40
+    assert len(candidates) == 1 and candidates[0] <= 2 * len(want)
+
+
 @pytest.mark.parametrize("least", [0.2, 0.55, 0.82, 1.0])
 def test_cosines_match_brute_force(spark, least):
     rng = random.Random(int(least * 100))
