@@ -298,6 +298,30 @@ def test_cosines_match_brute_force(spark, least):
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
+def test_cosines_rate_few_candidates(spark, monkeypatch):
+    """Vectors that meet by chance are dropped in the join, copies are one class, and no pair is lost."""
+    rng = random.Random(5)
+    base = [set(rng.sample(range(40), 15) + rng.sample(range(1000, 1400), 25)) for _ in range(200)]
+    sets = dict(enumerate(base + [set(sorted(x)[1:]) | {9999} for x in base[:30]] + base[:30]))
+    members = spark.createDataFrame([(n, str(f)) for n, s in sets.items() for f in s], "node long, feature string")
+    candidates, real = [], S.checkpointed
+
+    def counted(df, *args):
+        out = real(df, *args)
+        if "l_norm2" in df.columns:
+            candidates.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "checkpointed", counted)
+    df = {f: sum(f in s for s in sets.values()) for s in sets.values() for f in s}
+    w2 = {f: (math.log((len(sets) + 1) / (d + 1)) + 1) ** 2 for f, d in df.items()}
+    norm = {n: math.sqrt(sum(w2[f] for f in s)) for n, s in sets.items()}
+    want = {(a, b): c for a in sets for b in sets if a < b and (c := sum(w2[f] for f in sets[a] & sets[b]) / (norm[a] * norm[b])) >= 0.75}
+    got = {(r.l, r.r): (r.shared, r.cosine) for r in S.cosines_above(members, S.idf(members), 0.75).collect()}
+    assert got.keys() == want.keys() and all(got[p][0] == len(sets[p[0]] & sets[p[1]]) and abs(got[p][1] - want[p]) < 1e-9 for p in want)
+    assert len(candidates) == 1 and 30 <= candidates[0] <= 90
+
+
 def dense_linkage(n, edges, cut):
     """Complete linkage on all pairs of clusters."""
     d = {(i, j): 1.0 for i in range(n) for j in range(i + 1, n)} | {(i, j): x for x, i, j in edges}
